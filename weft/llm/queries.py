@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import pairs
+from weft.llm import overlap, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": pairs.p1_found}
+    return {"p1_found": pairs.p1_found, "p2_found": overlap.p2_found, "p2_report": overlap.p2_report}
 
 
 def oracle_sql() -> dict[str, str]:
