@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import overlap, pairs
+from weft.llm import oracle, overlap, pairs, sampling, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": pairs.p1_found, "p2_found": overlap.p2_found, "p2_report": overlap.p2_report}
+    return {"p1_found": pairs.p1_found, "p2_found": overlap.p2_found, "p2_report": overlap.p2_report, "p4_found": splits.p4_found, "p4_assignment": splits.p4_assignment, "p4_report": splits.p4_report, "p5_found": sampling.p5_found, "p5_sample": sampling.p5_sample, "p5_gaps": sampling.p5_gaps}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
