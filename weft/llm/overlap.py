@@ -49,7 +49,8 @@ _FROM, _TO = _accents()
 
 def canonical_words(c: Column | str) -> Column:
     """Runs of letters or digits after lower-casing and dropping accents and invisible characters; each Han character is a word."""
-    bare = F.regexp_replace(F.translate(F.lower(c), _FROM, _TO), r"[\p{Mn}\p{Me}\p{Cf}]", "")
+    low = F.lower(c)
+    bare = F.when(low.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.translate(low, _FROM, _TO), r"[\p{Mn}\p{Me}\p{Cf}]", "")).otherwise(low)
     return F.regexp_extract_all(bare, F.lit(r"(\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+)"), F.lit(1))
 
 
@@ -57,8 +58,8 @@ def members(samples: DataFrame) -> DataFrame:
     """(sample_id, side, partition, subset, words, class) of ``samples(sample_id, partition, source_subset, messages)``."""
     first = F.get(F.filter("messages", lambda m: folded(m["role"]) == "user"), F.lit(0))["content"]
     rows = samples.withColumn("partition", folded("partition")).where(F.col("partition").isin(*TRAIN, *EVALUATION) & F.col("sample_id").isNotNull())
-    rows = rows.select("sample_id", F.col("partition").isin(*TRAIN).alias("is_train"), "partition", folded("source_subset").alias("source_subset"), F.array_sort(canonical_words(first)).alias("words"))
-    return rows.where("size(words) > 0").withColumn("class", F.md5(F.array_join("words", " ")))
+    rows = rows.select("sample_id", F.col("partition").isin(*TRAIN).alias("is_train"), "partition", folded("source_subset").alias("source_subset"), F.sort_array(canonical_words(first)).alias("words"))
+    return rows.where("size(words) > 0").withColumn("class", F.unhex(F.md5(F.array_join("words", " "))))
 
 
 def class_pairs(rows: DataFrame, share: Fraction = Fraction(17, 20)) -> DataFrame:
@@ -90,7 +91,8 @@ def class_pairs(rows: DataFrame, share: Fraction = Fraction(17, 20)) -> DataFram
 
 
 def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    keep = rows.select("sample_id", "is_train", "partition", "source_subset", "class").distinct()
+    """Who is in which class; written once, without the words, since it is read for both sides."""
+    keep = cut(rows.select("sample_id", "is_train", "partition", "source_subset", "class"))
     return (
         keep.where("is_train").select(F.col("sample_id").alias("train_id"), F.col("class").alias("class_a")).distinct(),
         keep.where("not is_train").select(F.col("sample_id").alias("eval_id"), "partition", "source_subset", F.col("class").alias("class_b")).distinct(),
