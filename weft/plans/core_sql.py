@@ -89,8 +89,8 @@ PARTS: dict[str, str] = {
     "scored": r"""SELECT sample_id, level, coalesce(json_extract_string(j, '$.name') = 'trigger_tool' AND json_extract_string(j, '$.arguments.label') = 'B', false) AS strict, coalesce(contains(prediction, 'trigger_tool'), false) AS loose,
           coalesce(np = nt, false) AS exact FROM (SELECT *, TRY_CAST(regexp_extract(prediction, '(?is)<tool_call>\s*(.*?)\s*</tool_call>', 1) AS JSON) AS j,
             regexp_replace(regexp_replace(replace(prediction, '<|im_end|>', ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS np, regexp_replace(regexp_replace(replace(target, '<|im_end|>', ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS nt FROM preds)""",
-    "tool_list": f"""SELECT s.id, s.focal, s.k, list(c.tool_name ORDER BY c.tool_id) FILTER (c.r <= length(s.id) % 5 + 1 AND c.tool_name <> s.focal) AS firsts
-        FROM (SELECT sample_id AS id, max({fold('focal_tool')}) AS focal, length(sample_id) % 3 AS k FROM sft_samples WHERE sample_id IS NOT NULL AND focal_tool IS NOT NULL GROUP BY sample_id) s
+    "tool_list": f"""SELECT s.id, s.focal, s.k, list(c.tool_name ORDER BY c.tool_id) FILTER (c.r <= ascii(s.id) % 5 + 1 AND c.tool_name <> s.focal) AS firsts
+        FROM (SELECT sample_id AS id, max({fold('focal_tool')}) AS focal, ascii(sample_id) % 3 AS k FROM sft_samples WHERE sample_id IS NOT NULL AND focal_tool IS NOT NULL GROUP BY sample_id) s
         JOIN tool_catalog f ON f.tool_name = s.focal JOIN (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY tool_id) AS r FROM tool_catalog) c ON c.topic = f.topic GROUP BY ALL""",
     "tl": "SELECT id, focal, CASE WHEN k = 0 THEN coalesce(firsts, []) ELSE list_append(coalesce(firsts, []), focal) END AS names FROM tool_list",
 }

@@ -45,7 +45,7 @@ def call_predictions(spark, root: str) -> DataFrame:
 def tool_rows(spark, root: str) -> DataFrame:
     """(id, query, tools, answers): tool-list rows made from sft_samples (the tool counted is called) and tool_catalog.
 
-    A row has the first one to five tools of its tool's topic, by the length of its id, and its own tool unless that length is a multiple of three.
+    A row has the first one to five tools of its tool's topic, by the code of its id's first character, and its own tool unless that is a multiple of three.
     """
     tool = F.to_json(F.struct(F.col("tool_name").alias("name"), F.coalesce("description", F.lit("")).alias("description")))
     catalog = table(spark, root, "tool_catalog")
@@ -53,7 +53,7 @@ def tool_rows(spark, root: str) -> DataFrame:
     focal = catalog.select(F.col("tool_name").alias("focal"), tool.alias("own"), "topic").join(topics, "topic")
     rows = table(spark, root, "sft_samples").where("sample_id is not null and focal_tool is not null").groupBy(F.col("sample_id").alias("id")).agg(F.max(folded("focal_tool")).alias("focal"))
     rows = rows.join(F.broadcast(focal), "focal")  # the catalog is a fixed table of tools
-    n = F.length("id")
+    n = F.ascii("id")
     first = F.transform(F.filter(F.slice("all", F.lit(1), n % 5 + 1), lambda x: x["tool_name"] != F.col("focal")), lambda x: x["t"])
     tools = F.when(n % 3 == 0, first).otherwise(F.concat(first, F.array("own")))
     return rows.select("id", F.concat(F.lit("use "), "focal").alias("query"), F.concat(F.lit("["), F.array_join(tools, ","), F.lit("]")).alias("tools"), F.concat(F.lit('[{"name":"'), "focal", F.lit('","arguments":{}}]')).alias("answers"))
