@@ -22,6 +22,10 @@ from weft.common import table
 
 #: Fixed value: what systems leave after a cut, as a pattern at the end of a line.
 MARKS = r"(?i)(?:\s*(?:\.{2,}|…|\[\s*(?:\.{2,}|…|truncated|cut|more|snip|continued)\s*\]|\(\s*(?:\.{2,}|…|more|truncated|cut|continued)\s*\)|�|</?[a-z]{0,10}|&[a-z#0-9]{0,8}|\\u[0-9a-f]{0,3}|\\x[0-9a-f]?|\\))+$"
+#: Whether an end may be such a mark at all; the marks are only looked for behind it.
+_MAYBE = r"(?:\.\.|[…\])�\\]|[<&\\][^\s]{0,12})$"
+#: Fixed value: white space and invisible characters at the end of a text.
+_BLANKS = " \t\n\r\f\v\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u200b\ufeff"
 #: How many lines a trigram must end to be known as an end, and the share of its uses below which it almost never ends a line.
 KNOWN, ALMOST_NEVER, FREQUENT = 3, 0.02, 5
 
@@ -40,23 +44,23 @@ SELECT doc_id, source, body, kind, last, words, size(words) AS n FROM (
   SELECT doc_id, source, body, last, {_KIND} AS kind,
          regexp_extract_all(concat('^ ^ ', {_MASKED}), r'(\p{{IsHan}}|[\p{{L}}_&&[^\p{{IsHan}}]]+|[^\s\p{{L}}])', 1) AS words
   FROM (
-    SELECT doc_id, source, body, pos = size(parts) - 1 AS last, regexp_replace(line, :marks, '') AS line
-    FROM (SELECT doc_id, source, body, split(body, '\n') AS parts FROM (SELECT *, regexp_replace(whole, :marks, '') AS body FROM texts))
+    SELECT doc_id, source, body, pos = size(parts) - 1 AS last, CASE WHEN right(line, 24) RLIKE :maybe THEN regexp_replace(line, :marks, '') ELSE line END AS line
+    FROM (SELECT doc_id, source, body, split(body, '\n') AS parts FROM texts)
     LATERAL VIEW posexplode(parts) AS pos, line
   ) WHERE line RLIKE r'\S'
 )
 """
 
 TEXTS = r"""
-SELECT doc_id, source, regexp_replace(replace(text, '\r', ''), r'(?U)[\s\x{200B}\x{FEFF}]+$', '') AS whole
-FROM input WHERE doc_id IS NOT NULL AND text RLIKE r'\p{L}'
+SELECT doc_id, source, whole, CASE WHEN right(whole, 24) RLIKE :maybe THEN regexp_replace(whole, :marks, '') ELSE whole END AS body
+FROM (SELECT doc_id, source, trim(TRAILING :blanks FROM replace(text, '\r', '')) AS whole FROM input WHERE doc_id IS NOT NULL AND text RLIKE r'\p{L}')
 """
 
 TRIGRAMS = r"""
-SELECT kind, a, b, c, count_if(NOT is_end) AS inside, count_if(is_end) AS at_end FROM (
-  SELECT kind, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c, i = n - 3 AS is_end
-  FROM lines LATERAL VIEW explode(sequence(0, n - 3)) AS i WHERE n >= 3
-) GROUP BY kind, a, b, c
+SELECT kind, t.a, t.b, t.c, count_if(NOT t.is_end) AS inside, count_if(t.is_end) AS at_end FROM (
+  SELECT kind, explode(transform(sequence(0, n - 3), i -> struct(words[i] AS a, words[i + 1] AS b, words[i + 2] AS c, i = n - 3 AS is_end))) AS t
+  FROM lines WHERE n >= 3
+) GROUP BY kind, t.a, t.b, t.c
 """
 
 #: Beginnings of words by what comes before them: how often the whole words stand there.
@@ -67,17 +71,21 @@ WHERE length(c) > 1 AND c RLIKE r'^\p{L}+$' AND inside + at_end > 1
 GROUP BY kind, a, b, substr(c, 1, k)
 """
 
-OPEN = r"""
+_DEPTH = "length({0}) - length(translate({0}, '[{{', '')) > length({0}) - length(translate({0}, ']}}', ''))"
+_STRINGS = r"""regexp_replace({0}, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '')"""
+
+OPEN = rf"""
 SELECT doc_id,
   (length(whole) - length(replace(whole, '```', ''))) % 6 <> 0
-  OR (body RLIKE r'^\s*[\[{]' AND (length(bare) <> length(replace(bare, '"', '')) OR length(regexp_replace(bare, r'[^\[{]', '')) > length(regexp_replace(bare, r'[^\]}]', ''))))
-  OR (line RLIKE r'[\[{]' AND (length(rest) - length(replace(rest, '"', '')) > 0 OR length(regexp_replace(rest, r'[^\[{]', '')) > length(regexp_replace(rest, r'[^\]}]', ''))))
-  OR (NOT ended AND length(regexp_replace(line, r'[^(（]', '')) > length(regexp_replace(line, r'[^)）]', ''))) AS open,
-  ended, ended OR body RLIKE r'(?:```|[\]}|])$' OR line RLIKE r'^\S*/\S*\.\w{1,5}$' OR line RLIKE r'^[\p{Lu}\d#/\s,;:_-]+$' AS closed
+  OR coalesce(contains(bare, '"') OR {_DEPTH.format('bare')}, false)
+  OR coalesce(contains(rest, '"') OR {_DEPTH.format('rest')}, false)
+  OR (NOT ended AND length(line) - length(translate(line, '(（', '')) > length(line) - length(translate(line, ')）', ''))) AS open,
+  ended OR body RLIKE r'(?:```|[\]}}|])$' OR line RLIKE r'^\S*/\S*\.\w{{1,5}}$' OR line RLIKE r'^[\p{{Lu}}\d#/\s,;:_-]+$' AS closed
 FROM (
-  SELECT doc_id, whole, body, line, body RLIKE :sentence AS ended,
-         regexp_replace(body, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '') AS bare, regexp_replace(line, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '') AS rest
-  FROM (SELECT doc_id, whole, body, regexp_extract(body, r'([^\n]*)$', 1) AS line FROM (SELECT *, regexp_replace(whole, :marks, '') AS body FROM texts))
+  SELECT doc_id, whole, body, line, right(body, 100) RLIKE :sentence AS ended,
+         CASE WHEN body RLIKE r'^\s*[\[{{]' THEN {_STRINGS.format('body')} END AS bare,
+         CASE WHEN contains(line, '{{') OR contains(line, '[') THEN {_STRINGS.format('line')} END AS rest
+  FROM (SELECT doc_id, whole, body, substring_index(body, '\n', -1) AS line FROM texts)
 )
 """
 
@@ -99,7 +107,7 @@ LEFT JOIN beginnings g ON g.kind = e.kind AND g.a = e.a AND g.b = e.b AND g.c =
 def verdicts(documents: DataFrame) -> DataFrame:
     """(doc_id, cut): why each text with a letter counts as cut, or null; ``documents(doc_id, source, text)``, one row per doc_id."""
     spark = documents.sparkSession
-    args = {"marks": MARKS, "sentence": _SENTENCE, "known": KNOWN, "never": ALMOST_NEVER, "frequent": FREQUENT}
+    args = {"marks": MARKS, "maybe": _MAYBE, "blanks": _BLANKS, "sentence": _SENTENCE, "known": KNOWN, "never": ALMOST_NEVER, "frequent": FREQUENT}
     documents.createOrReplaceTempView("weft_truncation_input")
 
     def with_parts(last: str) -> str:
