@@ -17,8 +17,10 @@ Defined results: null, empty and blank texts are no cases, nor are texts without
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from weft.common import table
+from weft.common import folded, table
+from weft.session import cut
 
 #: Fixed value: what systems leave after a cut, as a pattern at the end of a line.
 MARKS = r"(?i)(?:\s*(?:\.{2,}|…|\[\s*(?:\.{2,}|…|truncated|cut|more|snip|continued)\s*\]|\(\s*(?:\.{2,}|…|more|truncated|cut|continued)\s*\)|�|</?[a-z]{0,10}|&[a-z#0-9]{0,8}|\\u[0-9a-f]{0,3}|\\x[0-9a-f]?|\\))+$"
@@ -39,16 +41,18 @@ _MASKED = r"""
     regexp_replace(regexp_replace(regexp_replace(line, r'#\d+|\b[A-Z]{2}-?\d+', 'K'), r'\d+', '0'), r'#\p{L}+|\p{Lu}\p{Ll}[\p{L}]*', '§')
 """
 
+_WORDS = rf"""{_KIND} AS kind, regexp_extract_all(concat('^ ^ ', {_MASKED}), r'(\p{{IsHan}}|[\p{{L}}_&&[^\p{{IsHan}}]]+|[^\s\p{{L}}])', 1) AS words"""
+
 LINES = rf"""
-SELECT doc_id, source, body, kind, last, words, size(words) AS n FROM (
-  SELECT doc_id, source, body, last, {_KIND} AS kind,
-         regexp_extract_all(concat('^ ^ ', {_MASKED}), r'(\p{{IsHan}}|[\p{{L}}_&&[^\p{{IsHan}}]]+|[^\s\p{{L}}])', 1) AS words
-  FROM (
-    SELECT doc_id, source, body, pos = size(parts) - 1 AS last, CASE WHEN right(line, 24) RLIKE :maybe THEN regexp_replace(line, :marks, '') ELSE line END AS line
-    FROM (SELECT doc_id, source, body, split(body, '\n') AS parts FROM texts)
-    LATERAL VIEW posexplode(parts) AS pos, line
-  ) WHERE line RLIKE r'\S'
-)
+SELECT {_WORDS} FROM (
+  SELECT CASE WHEN right(line, 24) RLIKE :maybe THEN regexp_replace(line, :marks, '') ELSE line END AS line
+  FROM texts LATERAL VIEW explode(split(body, '\n')) AS line
+) WHERE line RLIKE r'\S'
+"""
+
+LAST = rf"""
+SELECT doc_id, kind, element_at(words, -3) AS a, element_at(words, -2) AS b, element_at(words, -1) AS c
+FROM (SELECT doc_id, {_WORDS} FROM (SELECT doc_id, substring_index(body, '\n', -1) AS line FROM texts)) WHERE size(words) >= 3
 """
 
 TEXTS = r"""
@@ -58,8 +62,8 @@ FROM (SELECT doc_id, source, trim(TRAILING :blanks FROM replace(text, '\r', ''))
 
 TRIGRAMS = r"""
 SELECT kind, t.a, t.b, t.c, count_if(NOT t.is_end) AS inside, count_if(t.is_end) AS at_end FROM (
-  SELECT kind, explode(transform(sequence(0, n - 3), i -> struct(words[i] AS a, words[i + 1] AS b, words[i + 2] AS c, i = n - 3 AS is_end))) AS t
-  FROM lines WHERE n >= 3
+  SELECT kind, explode(transform(sequence(0, size(words) - 3), i -> struct(words[i] AS a, words[i + 1] AS b, words[i + 2] AS c, i = size(words) - 3 AS is_end))) AS t
+  FROM lines WHERE size(words) >= 3
 ) GROUP BY kind, t.a, t.b, t.c
 """
 
@@ -98,23 +102,28 @@ SELECT o.doc_id, CASE
     WHEN e.kind IN ('prose', 'code') AND (t.at_end < :known OR t.at_end < :never * (t.inside + t.at_end)) THEN 'no known end'
   END AS cut
 FROM open o
-LEFT JOIN (SELECT doc_id, kind, words[n - 3] AS a, words[n - 2] AS b, words[n - 1] AS c FROM lines WHERE last AND n >= 3) e ON e.doc_id = o.doc_id
+LEFT JOIN last e ON e.doc_id = o.doc_id
 LEFT JOIN trigrams t ON t.kind = e.kind AND t.a = e.a AND t.b = e.b AND t.c = e.c
 LEFT JOIN beginnings g ON g.kind = e.kind AND g.a = e.a AND g.b = e.b AND g.c = e.c
 """
 
 
 def verdicts(documents: DataFrame) -> DataFrame:
-    """(doc_id, cut): why each text with a letter counts as cut, or null; ``documents(doc_id, source, text)``, one row per doc_id."""
+    """(doc_id, cut): why each text with a letter counts as cut, or null; ``documents(doc_id, source, text)``, one row per doc_id.
+
+    The trigram counts are written once, since they are joined both as they are and by the beginnings of their words.
+    """
     spark = documents.sparkSession
     args = {"marks": MARKS, "maybe": _MAYBE, "blanks": _BLANKS, "sentence": _SENTENCE, "known": KNOWN, "never": ALMOST_NEVER, "frequent": FREQUENT}
     documents.createOrReplaceTempView("weft_truncation_input")
+    parts = {"input": "SELECT doc_id, source, text FROM weft_truncation_input", "texts": TEXTS, "lines": LINES, "trigrams": TRIGRAMS}
 
-    def with_parts(last: str) -> str:
-        parts = {"input": "SELECT doc_id, source, text FROM weft_truncation_input", "texts": TEXTS, "lines": LINES, "trigrams": TRIGRAMS, "beginnings": BEGINNINGS, "open": OPEN}
-        return "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in parts.items()) + last
+    def run(last: str) -> DataFrame:
+        return spark.sql("WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in parts.items()) + last, args=args)
 
-    return spark.sql(with_parts(VERDICT), args=args)
+    cut(run("SELECT * FROM trigrams")).createOrReplaceTempView("weft_truncation_trigrams")
+    parts |= {"trigrams": "SELECT * FROM weft_truncation_trigrams", "beginnings": BEGINNINGS, "open": OPEN, "last": LAST}
+    return run(VERDICT)
 
 
 def _documents(spark, root: str) -> DataFrame:
@@ -127,12 +136,8 @@ def p9_found(spark, root: str) -> DataFrame:
 
 def p9_report(spark, root: str) -> DataFrame:
     """Per source the texts, those that are cut, and their share; by reason."""
-    from pyspark.sql import functions as F
-
-    from weft.common import folded
-
     docs = _documents(spark, root)
-    cut = verdicts(docs).where("cut is not null")
-    rows = docs.where("doc_id is not null").select("doc_id", folded("source").alias("source")).join(cut, "doc_id", "left")
+    found = verdicts(docs).where("cut is not null")
+    rows = docs.where("doc_id is not null").select("doc_id", folded("source").alias("source")).join(found, "doc_id", "left")
     by = rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.count("cut").alias("n_cut"), *(F.count_if(F.coalesce(F.col("cut") == r, F.lit(False))).alias(r.replace(" ", "_")) for r in ("open structure", "inside a word", "inside a sentence", "no known end")))
     return by.withColumn("share", F.try_divide(F.col("n_cut").cast("double"), F.col("n_docs")))
