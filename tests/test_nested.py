@@ -51,7 +51,7 @@ def test_responses():
     for text in (inner, f"<tool_response>\n{inner}\n</tool_response>", f"<TOOL_RESPONSE>{inner}</TOOL_RESPONSE>", f"```json\n{inner}\n```", f"<tool_response>\n```\n{inner}\n```\n</tool_response>", json.dumps(inner)):
         assert nested.response(text) == [{"a": "1"}]
     assert nested.response(json.dumps({"a": inner})) == {"a": inner}  # strings further inside stay closed
-    assert nested.response(json.dumps(json.dumps(inner))) == json.dumps(inner)  # opened once only
+    assert nested.response(json.dumps(json.dumps(inner))) == inner  # opened once only
     for bad in ("", "no JSON", '{"a": 1', "[1] x", "NaN", None):
         with pytest.raises(ValueError):
             nested.response(bad)

@@ -4,7 +4,7 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
-from weft.operators import messages, pairing, samples, segments, stats
+from weft.operators import messages, pairing, rowwise, samples, segments, stats
 
 SCHEMA = "uuid string, split string, messages string"
 
@@ -87,7 +87,7 @@ def test_broken_and_repeated_trajectories(spark):
 
 
 def build(spark, ms, partition):
-    whole = messages.parsed(frame(spark, [("u", ms)]))
+    whole = frame(spark, [("u", ms)])
     manifest = spark.createDataFrame([("u", partition, "tool_calling")], "uuid string, partition string, source_subset string")
     return samples.build(samples.facts(whole, manifest))
 
@@ -123,7 +123,7 @@ def test_near_misses(spark):
 def test_reject_reasons_in_order(spark):
     many = [("missing", []), ("part", "{"), ("json", "{"), ("pair", [output()]), ("name", [{"role": "tool_call", "content": "x"}, output()]), ("fine", [])]
     manifest = spark.createDataFrame([("part", "nowhere", "s"), *((u, "train", "s") for u in ("json", "pair", "name", "fine"))], "uuid string, partition string, source_subset string")
-    got = {r.uuid: r.reject_reason for r in samples.facts(messages.parsed(frame(spark, many)), manifest).collect()}
+    got = {r.uuid: r.reject_reason for r in samples.facts(frame(spark, many), manifest).collect()}
     assert got == {"missing": "uuid_missing_from_manifest", "part": "bad_partition", "json": "message_parse_error", "pair": "unpaired_trajectory", "name": "tool_name_parse_error", "fine": None}
 
 
@@ -142,8 +142,23 @@ def test_focal_tool_ties(spark):
     assert (found.focal_tool, found.focal_count) == ("b", 2)
 
 
+def test_fold_equals_windows(spark):
+    raw = frame(spark, random_trajectories(11, 200) + [("long", [m for i in range(1500) for m in (call("a"), output())])])
+    rows = messages.message_rows(messages.parsed(raw))
+    ranks = pairing.ranked(rows)
+    light = stats.trajectories(raw)
+    columns = ["uuid", "k", "tool_name", "call_index", "output_index", "result"]
+    assert {tuple(r) for r in stats.pairs(light).select(columns).collect()} == {tuple(r) for r in pairing.events(ranks).select(columns).collect()}
+    assert {(r.uuid, r.unpaired_calls, r.unpaired_outputs) for r in pairing.unpaired(ranks).collect()} == {(r.uuid, r.unpaired_calls, r.unpaired_outputs) for r in light.where("size(calls) + tool_output_count > 0").collect()}
+    found = rowwise.analysed(raw).select("uuid", "messages", F.explode("decisions").alias("d")).select("uuid", "d.start", "d.end", rowwise.joined(F.col("messages"), F.col("d.start"), F.col("d.end")))
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in segments.decisions(rows).collect()}
+    turns = rowwise.parsed(raw).select("uuid", F.posexplode(rowwise.turns("messages")).alias("i", "t")).select("uuid", F.col("i") + 1, "t.role", F.array_join("t.lines", "\n"))
+    assert {tuple(r) for r in turns.collect()} == {tuple(r) for r in messages.chat_turns(rows).collect()}
+
+
 def test_empty_input_has_empty_statistics(spark):
-    whole = messages.parsed(frame(spark, [("u", [])]).limit(0))
-    ranks = pairing.ranked(messages.message_rows(whole))
-    assert stats.repeat_stats(whole, ranks).count() == 0
-    assert stats.success_stats(whole, pairing.events(ranks), pairing.unpaired(ranks)).where(F.lit(True)).count() == 0
+    light = stats.trajectories(frame(spark, [("u", [])]).limit(0))
+    for made in (stats.call_stats, stats.repeat_stats, stats.tool_frequency, stats.success_stats):
+        assert made(light).count() == 0
+    light = stats.trajectories(frame(spark, [("u", []), ("n", None), (None, []), ("u", [])]))
+    assert [r.uuid for r in stats.success_stats(light).collect()] == ["u"] and stats.repeat_stats(light).first().tool_counts_json == "{}"

@@ -256,10 +256,11 @@ def merged_schema(nodes_df: DataFrame) -> DataFrame:
 
     Array positions in scalar arrays are merged, so ``tags[0]`` and ``tags[1]`` are the one field ``tags[]``.
     """
+    pairs = F.array_distinct(F.transform(F.map_entries("fields"), lambda e: F.struct(F.regexp_replace(e["key"], r"\[\d+\]", "[]").alias("field"), _type(e["value"]).alias("type"))))
     rows = nodes_df.groupBy("table_path").agg(F.count("*").alias("n_rows"))
-    fields = nodes_df.select("record_key", "path", "table_path", F.explode("fields").alias("field", "value")).select("record_key", "path", "table_path", F.regexp_replace("field", r"\[\d+\]", "[]").alias("field"), _type(F.col("value")).alias("type"))
-    one = fields.groupBy("table_path", "record_key", "path", "field").agg(F.collect_set("type").alias("types"))
-    by = one.groupBy("table_path", "field").agg(F.count("*").alias("n_present"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))), "|").alias("types"))
+    seen = nodes_df.select("table_path", pairs.alias("pairs")).select("table_path", F.transform("pairs", lambda p: p["field"]).alias("names"), F.posexplode("pairs").alias("i", "p"))
+    first = F.array_position("names", F.col("p.field")) == F.col("i") + 1  # a field of several types counts once per row
+    by = seen.groupBy("table_path", F.col("p.field").alias("field")).agg(F.count_if(first).alias("n_present"), F.array_join(F.array_sort(F.collect_set("p.type")), "|").alias("types"))
     return by.join(rows, "table_path").select("table_path", "field", "types", "n_present", "n_rows", (F.col("n_present") < F.col("n_rows")).alias("optional"))
 
 
@@ -269,9 +270,10 @@ def child_table(nodes_df: DataFrame, table_path: str, fields: list[str]) -> Data
     return rows.select("record_key", "row_id", "parent_id", "ordinal", *(F.col("fields")[f].alias(f.replace(".", "_")) for f in fields))
 
 
-def response_nodes(samples: DataFrame, with_fields: bool = True) -> DataFrame:
-    """Nodes of all tool outputs of ``samples(sample_id, messages)``."""
-    return nodes(message_texts(samples, "sample_id", "tool_output"), "response", with_fields)
+def response_nodes(samples: DataFrame, with_fields: bool = True, once: bool = False) -> DataFrame:
+    """Nodes of all tool outputs of ``samples(sample_id, messages)``; ``once`` reads the texts of repeated samples once."""
+    texts = message_texts(samples, "sample_id", "tool_output")
+    return nodes(texts.dropDuplicates(["record_key", "root"]) if once else texts, "response", with_fields)
 
 
 def children(samples: DataFrame, stats: DataFrame) -> DataFrame:
@@ -289,11 +291,10 @@ def p3_found(spark, root: str) -> DataFrame:
 
 def p3_rows(spark, root: str) -> DataFrame:
     """The child table of all tool outputs with surrogate keys, parent keys and ordinals; repeated samples count once."""
-    rows = with_keys(response_nodes(table(spark, root, "sft_samples").select("sample_id", "messages")))
-    return rows.dropDuplicates(["row_id"]).select("record_key", "row_id", "parent_id", "path", "table_path", "ordinal", "depth", F.to_json("fields").alias("fields"))
+    rows = with_keys(response_nodes(table(spark, root, "sft_samples").select("sample_id", "messages"), once=True))
+    return rows.select("record_key", "row_id", "parent_id", "path", "table_path", "ordinal", "depth", F.to_json("fields").alias("fields"))
 
 
 def p3_schema(spark, root: str) -> DataFrame:
     """The merged schema of the tool outputs, array positions of messages left out."""
-    found = response_nodes(table(spark, root, "sft_samples").select("sample_id", "messages"))
-    return merged_schema(found.dropDuplicates(["record_key", "path"]))
+    return merged_schema(response_nodes(table(spark, root, "sft_samples").select("sample_id", "messages"), once=True))

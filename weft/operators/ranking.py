@@ -15,17 +15,17 @@ def unit_hash(*columns: Column | str, seed: int = 42) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def hash_rank(df: DataFrame, groups: list[str], unit: str, tie: str, buckets: int = 1024, name: str = "rank") -> DataFrame:
+def hash_rank(df: DataFrame, groups: list[str], unit: str, tie: str, buckets: int = 1024, name: str = "rank", size: str | None = None) -> DataFrame:
     """Add the rank (from 1) of each row within its group by ``unit`` in [0, 1), ties by ``tie``.
 
     A group is cut into equal ranges of ``unit``; ranges are counted, the counts summed up per group (a window over at
     most ``buckets`` rows), and rows only ranked within their range. A group of a third of all rows is so spread over
-    ``buckets`` keys.
+    ``buckets`` keys. ``size`` names a column for the number of rows of the group, which comes with the counts.
     """
     cut_up = df.withColumn("_range", F.least(F.floor(F.col(unit) * buckets), F.lit(buckets - 1)).cast("int"))
     counts = cut_up.groupBy(*groups, "_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*(F.col(g).alias(f"_g_{g}") for g in groups), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))
+    starts = counts.select(*(F.col(g).alias(f"_g_{g}") for g in groups), F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"), *([F.sum("_n").over(Window.partitionBy(*groups)).alias(size)] if size else []))
     same = F.col("_range") == F.col("_r")
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))

@@ -46,11 +46,9 @@ def manifest(stats: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0
     rows = stats.where("uuid is not null").dropDuplicates(["uuid"])
     n = F.col("max_same_tool_success_count")
     rows = rows.withColumns({"source_subset": F.col("split"), "success_count_bucket": count_bucket(n), "is_trigger_ge_3": (n >= 3).cast("int"), "is_trigger_gt_3": (n > 3).cast("int"), "_u": hash_unit(F.lit(str(seed)), "uuid")})
-    calling = hash_rank(rows.where("split = 'tool_calling'"), ["success_count_bucket"], "_u", "uuid")
-    sizes = calling.groupBy(F.col("success_count_bucket").alias("_b")).agg(F.count("*").alias("_n"))  # one row per bucket
-    calling = calling.join(F.broadcast(sizes), F.col("success_count_bucket").eqNullSafe(F.col("_b")))
-    train, upto = F.floor(F.col("_n") * ratios[0]), F.floor(F.col("_n") * (ratios[0] + ratios[1]))
-    calling = calling.withColumn("data_partition", F.when(F.col("rank") <= train, "train").when(F.col("rank") <= upto, "validation").otherwise("test_iid")).drop("rank", "_b", "_n")
+    calling = hash_rank(rows.where("split = 'tool_calling'"), ["success_count_bucket"], "_u", "uuid", size="_size")
+    train, upto = F.floor(F.col("_size") * ratios[0]), F.floor(F.col("_size") * (ratios[0] + ratios[1]))
+    calling = calling.withColumn("data_partition", F.when(F.col("rank") <= train, "train").when(F.col("rank") <= upto, "validation").otherwise("test_iid")).drop("rank", "_size")
     agents = rows.where("split = 'interactive_agent'").withColumn("data_partition", F.lit("test_ood"))
     return calling.unionByName(agents).drop("_u")
 

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from weft.common import folded, plain_uuid, table
 from weft.functions import text
 from weft.functions.outcome import normalize_prediction
-from weft.operators import evaluate, messages, nested, registry, samples, segments, splits, stats, toolsets
+from weft.operators import evaluate, messages, nested, pairing, registry, rowwise, samples, segments, splits, stats, toolsets
 from weft.plans import core_sql, views
-from weft.plans.views import Trajectories
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {"p3_found": nested.p3_found, "p3_rows": nested.p3_rows, "p3_schema": nested.p3_schema}
@@ -28,55 +27,86 @@ def _query(f: Query) -> Query:
 
 @_query
 def messages_by_role(spark, root):
-    rows = Trajectories(spark, root).rows
-    return rows.groupBy(F.coalesce("role", F.lit("(none)")).alias("role")).agg(F.count("*").alias("n"), F.count_distinct("uuid").alias("n_uuids"), F.sum(F.length("content")).alias("n_chars"))
+    each = rowwise.once(rowwise.parsed(views.trajectories(spark, root)).select("uuid", F.transform("messages", lambda m: F.struct(F.coalesce(m["role"], F.lit("(none)")).alias("role"), F.length(m["content"]).alias("n"))).alias("m")))
+    rows = each.select("uuid", F.explode("m").alias("m"))
+    return rows.groupBy("m.role").agg(F.count("*").alias("n"), F.count_distinct("uuid").alias("n_uuids"), F.sum("m.n").alias("n_chars"))
 
 
 @_query
 def paired_calls(spark, root):
-    return Trajectories(spark, root).pairs
+    return stats.pairs(views.light(spark, root))
+
+
+@_query
+def paired_calls_by_windows(spark, root):
+    """The same pairs by windows over rows of messages."""
+    rows = messages.message_rows(messages.parsed(views.trajectories(spark, root)))
+    return pairing.events(pairing.ranked(rows))
 
 
 @_query
 def unpaired_counts(spark, root):
-    return Trajectories(spark, root).lost
+    rows = views.light(spark, root).select("uuid", F.size("calls").cast("bigint").alias("calls"), F.col("tool_output_count").alias("outputs"), "unpaired_calls", "unpaired_outputs")
+    return rows.where("calls + outputs > 0")
+
+
+def _decisions(spark, root, *columns):
+    return rowwise.once(rowwise.analysed(views.trajectories(spark, root)).select("uuid", *columns))
 
 
 @_query
 def decision_segments(spark, root):
-    found = segments.decisions(Trajectories(spark, root).rows)
+    target = F.transform("decisions", lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), F.md5(rowwise.joined(F.col("messages"), d["start"], d["end"])).alias("target_md5")))
+    return _decisions(spark, root, target.alias("d")).select("uuid", F.explode("d").alias("d")).select("uuid", "d.*")
+
+
+@_query
+def decision_segments_by_windows(spark, root):
+    """The same decisions by windows over rows of messages."""
+    found = segments.decisions(messages.message_rows(messages.parsed(views.trajectories(spark, root))))
     return found.select("uuid", "start", "end", F.md5("target").alias("target_md5"))
 
 
 @_query
 def next_decisions(spark, root):
-    t = Trajectories(spark, root)
-    found = t.pairs.select("uuid", "k", "output_index").join(segments.as_array(segments.decisions(t.rows)), "uuid", "left")
-    after = segments.next_decision("segments", F.col("output_index"))
-    return found.select("uuid", "k", "output_index", after["start"].alias("next_start"), after["end"].alias("next_end"))
+    found = _decisions(spark, root, "pairs", "decisions").select("uuid", "decisions", F.explode("pairs").alias("p"))
+    after = segments.next_decision("decisions", F.col("p.output_index"))
+    return found.select("uuid", "p.k", "p.output_index", after["start"].alias("next_start"), after["end"].alias("next_end"))
 
 
 @_query
 def final_decisions(spark, root):
-    found = segments.as_array(segments.decisions(Trajectories(spark, root).rows))
-    last = segments.final_decision("segments")
-    return found.select("uuid", F.size("segments").alias("n_decisions"), last["start"].alias("start"), last["end"].alias("end"))
+    found = _decisions(spark, root, "decisions").where("size(decisions) > 0")
+    last = segments.final_decision("decisions")
+    return found.select("uuid", F.size("decisions").alias("n_decisions"), last["start"].alias("start"), last["end"].alias("end"))
 
 
 @_query
 def message_neighbours(spark, root):
-    rows = messages.neighbours(Trajectories(spark, root).rows)
-    return rows.groupBy(*(F.coalesce(c, F.lit("(none)")).alias(c) for c in ("previous_role", "role", "next_role"))).agg(F.count("*").alias("n"))
+    rows = rowwise.once(rowwise.parsed(views.trajectories(spark, root)).select("uuid", F.transform("messages", lambda m: m["role"]).alias("roles")))
+    roles = rows.select("uuid", F.posexplode("roles").alias("idx", "role"))
+    found = messages.neighbours(roles)
+    return found.groupBy(*(F.coalesce(c, F.lit("(none)")).alias(c) for c in ("previous_role", "role", "next_role"))).agg(F.count("*").alias("n"))
 
 
 @_query
 def chat_turns(spark, root):
-    return messages.chat_turns(Trajectories(spark, root).rows).select("uuid", "turn", "role", F.md5("text").alias("text_md5"))
+    turns = F.transform(rowwise.turns("messages"), lambda t, i: F.struct((i + 1).cast("bigint").alias("turn"), t["role"].alias("role"), F.md5(F.array_join(t["lines"], "\n")).alias("text_md5")))
+    rows = rowwise.once(rowwise.parsed(views.trajectories(spark, root)).select("uuid", turns.alias("t")))
+    return rows.select("uuid", F.explode("t").alias("t")).select("uuid", "t.*")
+
+
+@_query
+def chat_turns_by_windows(spark, root):
+    """The same turns by windows over rows of messages."""
+    rows = messages.message_rows(messages.parsed(views.trajectories(spark, root)))
+    return messages.chat_turns(rows).select("uuid", "turn", "role", F.md5("text").alias("text_md5"))
 
 
 @_query
 def serialized_prompts(spark, root):
-    return messages.serialized(messages.chat_turns(Trajectories(spark, root).rows)).select("uuid", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("n_chars"))
+    rows = rowwise.parsed(views.trajectories(spark, root)).where("size(messages) > 0").withColumn("prompt", messages.serialize_array("messages"))
+    return rowwise.once(rows.select("uuid", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("n_chars")))
 
 
 # statistics tables
@@ -84,37 +114,33 @@ def serialized_prompts(spark, root):
 
 @_query
 def call_stats(spark, root):
-    t = Trajectories(spark, root)
-    return stats.call_stats(t.whole, t.rows, t.pairs)
+    return stats.call_stats(views.light(spark, root))
 
 
 @_query
 def repeat_stats(spark, root):
-    t = Trajectories(spark, root)
-    return stats.repeat_stats(t.whole, t.ranks)
+    return stats.repeat_stats(views.light(spark, root))
 
 
 @_query
 def tool_frequency(spark, root):
-    t = Trajectories(spark, root)
-    return stats.tool_frequency(t.whole, t.ranks)
+    return stats.tool_frequency(views.light(spark, root))
 
 
 @_query
 def success_occurrences(spark, root):
-    return stats.occurrences(Trajectories(spark, root).pairs).select("uuid", "tool_name", "occurrence", "call_index", "output_index")
+    return stats.occurrences(stats.pairs(views.light(spark, root))).select("uuid", "tool_name", "occurrence", "call_index", "output_index")
 
 
 @_query
 def focal_tools(spark, root):
-    found = stats.focal_tools(Trajectories(spark, root).pairs)
+    found = stats.focal_tools(stats.pairs(views.light(spark, root)))
     return found.select("uuid", "focal_tool", "focal_count", F.array_join(F.col("focal_outputs").cast("array<string>"), ",").alias("focal_outputs"))
 
 
 @_query
 def success_stats(spark, root):
-    t = Trajectories(spark, root)
-    return stats.success_stats(t.whole, t.pairs, t.lost)
+    return stats.success_stats(views.light(spark, root))
 
 
 # splits

@@ -232,3 +232,5 @@ ORACLES: dict[str, str] = {
         md5(regexp_replace(regexp_replace(replace(target, '<|im_end|>', ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS normal, md5(regexp_replace(target, '^\s+|\s+$', '', 'g')) AS unfenced
         FROM (SELECT *, TRY_CAST(regexp_extract(target, '(?is)<tool_call>\s*(.*?)\s*</tool_call>', 1) AS JSON) AS j FROM (SELECT sample_id, max(target) AS target FROM sft_samples WHERE sample_id IS NOT NULL GROUP BY 1))""",
 }
+for _name in ("paired_calls", "decision_segments", "chat_turns"):
+    ORACLES[f"{_name}_by_windows"] = ORACLES[_name]

@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 
 from weft.common import folded, table
 from weft.functions.text import MARKER_TARGET, hash_unit
-from weft.operators import messages, pairing, samples, splits
+from weft.operators import samples, splits
+from weft.operators import stats as statistics
 
 
-class Trajectories:
-    """The trajectories of one folder with their messages, ranks and pairs, all on one partitioning by uuid."""
+def trajectories(spark, root: str) -> DataFrame:
+    return table(spark, root, "trajectories").select("uuid", "split", "messages")
 
-    def __init__(self, spark, root: str):
-        self.whole = messages.parsed(table(spark, root, "trajectories").select("uuid", "split", "messages"))
-        self.rows = messages.message_rows(self.whole)
-        self.ranks = pairing.ranked(self.rows)
-        self.pairs = pairing.events(self.ranks)
-        self.lost = pairing.unpaired(self.ranks)
+
+def light(spark, root: str) -> DataFrame:
+    """One small row per trajectory, for the statistics tables."""
+    return statistics.trajectories(trajectories(spark, root))
 
 
 def stats(spark, root: str) -> DataFrame:
@@ -30,8 +29,7 @@ def split_manifest(spark, root: str) -> DataFrame:
 
 
 def facts(spark, root: str) -> DataFrame:
-    whole = messages.parsed(table(spark, root, "trajectories").select("uuid", "split", "messages"))
-    return samples.facts(whole, split_manifest(spark, root).select("uuid", F.col("data_partition").alias("partition"), "source_subset"))
+    return samples.facts(trajectories(spark, root), split_manifest(spark, root).select("uuid", F.col("data_partition").alias("partition"), "source_subset"))
 
 
 def call_predictions(spark, root: str) -> DataFrame:
