@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from weft.operators import ranking
 from weft.sources import readers, sinks
 from weft.streaming import jobs
 
@@ -57,8 +58,9 @@ def test_metrics_and_logs(spark, tmp_path):
 
 def test_registry_and_row_index(spark, root, tmp_path):
     assert readers.registry(spark, root, "node").count() == 24
-    rows = readers.with_row_index(spark.range(100).select((99 - F.col("id")).alias("k")), "k").collect()
-    assert sorted((r.k, r.row_index) for r in rows) == [(i, i) for i in range(100)]
+    df = spark.range(100).select((99 - F.col("id")).alias("k"))
+    assert sorted((r.k, r.row_index) for r in ranking.with_row_index(df, "k").collect()) == [(i, i) for i in range(100)]
+    assert {r.k: r.batch for r in ranking.batches(df, 30, "k").collect()} == {i: i // 30 for i in range(100)}
     assert readers.trajectories(spark, f"{root}/trajectories.parquet").columns == ["messages", "uuid", "split"]
 
 

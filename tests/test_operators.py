@@ -29,6 +29,14 @@ def test_manifest_has_shares_and_no_leaks(spark):
     assert splits.manifest(spark.createDataFrame([], STATS)).count() == 0
 
 
+def test_partitions_together(spark):
+    a, b = (spark.createDataFrame([(u, p)], "uuid string, data_partition string") for u, p in (("a", "train"), ("b", "test_iid")))
+    assert splits.combined(a, b).count() == 2
+    assert [r.uuid for r in splits.unprocessed(splits.combined(a, b), a).collect()] == ["b"]
+    with pytest.raises(splits.InvalidInput):
+        splits.combined(a, b, a)
+
+
 def test_input_checks(spark):
     good = [("a", "tool_calling", 1, 0, 0, 1)]
     splits.check_input(spark.createDataFrame(good, STATS))
@@ -56,6 +64,9 @@ def test_tool_rows(spark):
     assert len(by[2, 1].chosen) == 2 and "a" in by[2, 1].chosen and "trigger_tool" not in by[2, 1].chosen
     assert sorted(by[3, 1].chosen)[0] == "a" and "trigger_tool" in by[3, 1].chosen and by[3, 1].is_trigger
     assert by[3, 1].id == "ok_tc3_v1"
+    again = toolsets.expand(spark.createDataFrame(rows[:1], "id string, query string, tools string, answers string"), [1, 2, 3, 4], variants=2, threshold=2, policy="absent", arguments="string")
+    numbered = {(r.tool_count, r.variant): (r.id, r.answers) for r in toolsets.sequential_ids(again, 100).collect()}
+    assert [numbered[k][0] for k in sorted(numbered)] == list(range(100, 106)) and numbered[3, 1][1] == '[{"name":"trigger_tool","arguments":"null"}]'
 
 
 def test_absent_answer_tool(spark):
@@ -82,6 +93,12 @@ def test_confusion(spark):
     assert evaluate.confusion(evaluate.score_arrays(spark.createDataFrame([], "id string, tool_count int, answers string, prediction string"))).where("tool_count is not null").count() == 0
 
 
+def test_gold_rows(spark):
+    gold = spark.createDataFrame([(1, "x", 3)], "id int, target string, level int")
+    said = spark.createDataFrame([(1, "y", 9), (2, "z", 9)], "id int, prediction string, level int")
+    assert [tuple(r) for r in evaluate.with_gold(said, gold, "id").collect()] == [(1, "x", 3, "y")]
+
+
 def test_sampling(spark):
     df = spark.range(1000).select("id", (F.col("id") % 3).alias("g"))
     got = evaluate.sample_per_group(df, "g", "id", 7)

@@ -10,6 +10,11 @@ from weft.functions.text import called_tool, hash_unit, is_marker_answer, marker
 from weft.operators.ranking import hash_rank
 
 
+def with_gold(predictions: DataFrame, gold: DataFrame, key: str) -> DataFrame:
+    """Predictions beside their gold rows; columns of the same name are taken from the gold rows."""
+    return gold.join(predictions.select(key, *(c for c in predictions.columns if c not in gold.columns)), key)
+
+
 def score_arrays(rows: DataFrame) -> DataFrame:
     """Rows of (id, tool_count, answers, prediction) with the first array read out of each prediction, and how it compares."""
     out = rows.withColumn("gold", normalize_prediction("answers")).withColumn("pred", normalize_prediction("prediction"))

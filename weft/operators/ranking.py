@@ -32,3 +32,17 @@ def hash_rank(df: DataFrame, groups: list[str], unit: str, tie: str, buckets: in
     inner = F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(unit, tie))
     ranked = cut_up.withColumn("_inner", inner).join(starts, same)
     return ranked.withColumn(name, F.col("_inner") + F.col("_before")).drop("_range", "_r", "_before", "_inner", *(f"_g_{g}" for g in groups))
+
+
+def with_row_index(df: DataFrame, *order: str) -> DataFrame:
+    """Rows addressed by a stable number in the order of a key, from 0, counted per range of the key."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    ranged = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_p").alias("_q"), (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_b"))
+    return ranged.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn("row_index", F.col("_b") + F.col("_i") - 1).drop("_p", "_q", "_i", "_b")  # one row per partition
+
+
+def batches(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """Rows with the number of their batch of ``n``, from 0, in the order of a key."""
+    return with_row_index(df, *order).withColumn("batch", F.floor(F.col("row_index") / n)).drop("row_index")

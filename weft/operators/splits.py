@@ -58,6 +58,22 @@ def leaks(parts: DataFrame, key: str = "uuid", part: str = "data_partition") ->
     return parts.groupBy(key).agg(F.count_distinct(part).alias("n_partitions")).where("n_partitions > 1")
 
 
+def combined(*parts: DataFrame, key: str = "uuid", part: str = "data_partition") -> DataFrame:
+    """All partitions as one table; raises if a key is null, repeated or in two of them, naming up to ten."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    bad = [r[0] for r in out.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(10).collect()]
+    if bad:
+        raise InvalidInput(f"keys that are null or come again: {bad}")
+    return out
+
+
+def unprocessed(parts: DataFrame, done: DataFrame, key: str = "uuid") -> DataFrame:
+    """Keys of a manifest that were not processed."""
+    return parts.select(key).join(done.select(key), key, "left_anti")
+
+
 def summary(parts: DataFrame) -> DataFrame:
     """Per partition: rows, subsets, buckets, flags with ratios, sums of results."""
     n = F.count("*")

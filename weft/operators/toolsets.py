@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import MARKER, hash_unit, is_marker_answer, source_id
+from weft.operators.ranking import with_row_index
 
 #: Fixed value: the marker's definition among a row's tools.
 MARKER_TOOL = '{"name":"trigger_tool","description":"Record a benign experimental trace event.","parameters":{"label":{"type":"string"}}}'
@@ -53,9 +54,10 @@ def validated(rows: DataFrame, threshold: int = 3, check_rule: bool = True) -> D
     return out.withColumn("problem", problem)
 
 
-def expand(rows: DataFrame, counts: list[int], variants: int = 1, threshold: int = 3, policy: str = "all", seed: int = 42) -> DataFrame:
+def expand(rows: DataFrame, counts: list[int], variants: int = 1, threshold: int = 3, policy: str = "all", seed: int = 42, arguments: str = "null") -> DataFrame:
     """Every row at every number of tools and variant, with its outcome; ``tools`` of what is written is an array of names and texts.
 
+    arguments: what the marker's answer has as arguments, JSON ``null`` or the text ``"null"`` (``string``).
     policy: whether the marker is among the tools in ``all`` rows, ``triggered-only``, or ``absent``.
     outcome: ``written``, ``exceeds`` (more tools asked for than the row has), ``too_few`` (no room for those its answer
     calls) or ``absent_tool`` (its answer calls a tool that it lacks).
@@ -80,7 +82,7 @@ def expand(rows: DataFrame, counts: list[int], variants: int = 1, threshold: int
     order = F.transform(F.array_sort(F.transform(chosen, draw("order"))), lambda x: x["name"])
     text_of = lambda n: F.coalesce(F.get(F.filter("unique_tools", lambda t: t["name"] == n), F.lit(0))["tool"], F.when(n == MARKER, F.lit(MARKER_TOOL)))
     out = out.withColumn("outcome", outcome).withColumn("chosen", F.when(F.col("outcome") == "written", order))
-    marker_answer = F.lit('[{"name":"trigger_tool","arguments":null}]')
+    marker_answer = F.lit('[{"name":"trigger_tool","arguments":%s}]' % {"null": "null", "string": '"null"'}[arguments])
     return out.select(
         F.concat(F.col("id").cast("string"), F.lit("_tc"), F.col("requested").cast("string"), F.lit("_v"), F.col("variant").cast("string")).alias("id"), "query",
         F.when(F.col("triggered"), marker_answer).otherwise(F.concat(F.lit("["), F.array_join("answer_list", ","), F.lit("]"))).alias("answers"),
@@ -89,6 +91,12 @@ def expand(rows: DataFrame, counts: list[int], variants: int = 1, threshold: int
     )
 
 
+def sequential_ids(expanded: DataFrame, start: int = 0) -> DataFrame:
+    """What was written with whole numbers as ids, in the order of source, number of tools and variant."""
+    rows = with_row_index(expanded.where("outcome = 'written'"), "source_id", "tool_count", "variant")
+    return rows.withColumn("id", F.col("row_index") + start).drop("row_index")
+
+
 def generation_stats(expanded: DataFrame) -> DataFrame:
     """Rows by outcome."""
     return expanded.groupBy("outcome").agg(F.count("*").alias("n"))

@@ -29,12 +29,19 @@ def session(app: str = "weft", master: str | None = None, conf: dict[str, Any] |
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's ``spark.checkpoint.dir``; only where it is unset (tests), use a folder of our own."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
+    """Use the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only where it is unset, take a folder of our own: a temporary one on a single machine, else one in the warehouse,
+    which all executors share.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
+    if context.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        single = context.master.startswith("local")
+        named = tempfile.mkdtemp(prefix="weft-checkpoint-") if single else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_weft_checkpoints"
+    context.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -118,14 +118,3 @@ def registry(spark: SparkSession, url: str, name: str, **options: str) -> DataFr
     if url.startswith("jdbc:"):
         return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
     return spark.read.parquet(f"{url.rstrip('/')}/{name}.parquet")
-
-
-def with_row_index(df: DataFrame, *order: str) -> DataFrame:
-    """Rows addressed by a stable number in the order of a key, from 0, counted per range of the key."""
-    from pyspark.sql import Window
-
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select(F.col("_p").alias("_q"), (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_b"))
-    return ranged.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn("row_index", F.col("_b") + F.col("_i") - 1).drop("_p", "_q", "_i", "_b")  # one row per partition
