@@ -17,7 +17,7 @@ GOOD = "I moved the booking to Monday, and there are 12 vouchers left for the br
         ("<think>x</think>\n<tool_call>\n</tool_call>", "empty"), ("**", "empty"),
         (GOOD, None), ("Done.", None), ("0", None), ("Yes.", None), ("<answer>12</answer>", None), ("- **Karo**: 2\n- `AB-1` at Velden", None), ('Here it is.\n\n```json\n{"code": 1}\n```', None), (GOOD + " \U0001f642", None),
         ('<tool_call>\n{"name": "trigger_tool", "arguments": {}}\n</tool_call>', None), ('<think>The user wants', "truncated"), ('<tool_call>\n{"name": "a", "arg', "truncated"), ('<tool_call>\n{"name": "a", "arg\n</tool_call>', "truncated"),
-        ("<answer>I moved the booking to Mon</answer>", "truncated"), ("I moved the booking…", "truncated"), ("I moved it. There are 12 vouchers left for [truncated]", "truncated"), ("Here:\n```json\n{\"a\": 1", "truncated"), ("- **Karo**: 2\n- **Vel", "truncated"), ("- (see", "truncated"),
+        ("<answer>I moved the booking to Mon</answer>", "truncated"), ("I moved the booking…", "truncated"), ("I moved it. There are 12 vouchers left for [truncated]", "truncated"), ("Here:\n```json\n{\"a\": 1", "truncated"), ("- **Karo**: 2\n- **Vel", "truncated"), ("- (see", "truncated"), ('You asked: "**Please move it. I moved it to Monday, and that is all.', None), ('{"a": "Done.', "truncated"),
         ("I can't help with that request.", "refusal"), ("Sorry, but this is outside what I am allowed to do. I hope you understand.", "refusal"), ("Das geht über meine Befugnisse hinaus. Bitte wende dich an Karo.", "refusal"), ("这个请求我必须拒绝。请联系卡罗。", "refusal"),
         ("Sorry about the wait. " + GOOD, None), ("The branch declined to help, but Karo did. " + GOOD, None), ("I can't see AB-1 in the older list, but the newer one has it.", None),
         (ASK, "copy"), (ASK.upper(), "copy"), (re.sub(r"[.,]", "", ASK), "copy"), ("You asked: " + ASK, "copy"), (f'<answer>"{ASK}"</answer>', "copy"), (ASK + " " + GOOD, None), ("Velden.", None),

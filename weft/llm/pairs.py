@@ -168,10 +168,13 @@ def is_refusal(answer: str) -> bool:
 def open_delimiters(text: str) -> bool:
     """Whether the delimiter stack is not empty at the end: fences, brackets, bold marks, code marks, double quotes.
 
-    Brackets are only followed from the last blank line on, and a closing one without its opening is passed over.
+    Brackets are only followed from the last blank line on, and a closing one without its opening is passed over. Text
+    that ends a sentence is open only by a fence or as JSON: its loose quotes and marks may come from what it cites.
     """
     if text.count("```") % 2:
         return True
+    if END.search(text) and text.lstrip()[:1] not in ("{", "["):
+        return False
     bare = re.sub(r"```.*?```", "", text, flags=re.S)
     tail = bare.rpartition("\n\n")[2]
     stack: list[str] = []
