@@ -28,8 +28,9 @@ MARKS = r"(?i)(?:\s*(?:\.{2,}|…|\[\s*(?:\.{2,}|…|truncated|cut|more|snip|con
 _MAYBE = r"(?:\.\.|[…\])�\\]|[<&\\][^\s]{0,12})$"
 #: Fixed value: white space and invisible characters at the end of a text.
 _BLANKS = " \t\n\r\f\v\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u200b\ufeff"
-#: How many lines a trigram must end to be known as an end, and the share of its uses below which it almost never ends a line.
-KNOWN, ALMOST_NEVER, FREQUENT = 3, 0.02, 5
+#: How many lines a trigram must end to be known as an end; the share of its uses below which it almost never ends a line,
+#: with so many uses inside; the share above which it ends even prose without a sentence mark.
+KNOWN, ALMOST_NEVER, FREQUENT, MOSTLY = 3, 0.02, 5, 0.5
 
 _SENTENCE = r"""(?:[.!?。！？]|\p{So})[\s"'”’»」』)\]*_`\p{So}\p{Sk}\x{200D}\x{FE0F}]*$"""
 _KIND = r"""
@@ -84,7 +85,8 @@ SELECT doc_id,
   OR coalesce(contains(bare, '"') OR {_DEPTH.format('bare')}, false)
   OR coalesce(contains(rest, '"') OR {_DEPTH.format('rest')}, false)
   OR (NOT ended AND length(line) - length(translate(line, '(（', '')) > length(line) - length(translate(line, ')）', ''))) AS open,
-  ended OR body RLIKE r'(?:```|[\]}}|])$' OR line RLIKE r'^\S*/\S*\.\w{{1,5}}$' OR line RLIKE r'^[\p{{Lu}}\d#/\s,;:_-]+$' AS closed
+  NOT ended AND length(body) < length(whole) AND NOT whole RLIKE r'(?:\.\.|…)$' AS marked,
+  ended OR body RLIKE r'(?:```|[\]}}|])$' OR line RLIKE r'^\S*/\S*\.\w{{1,5}}$' OR (line RLIKE r'\d' AND line RLIKE r'^[\p{{Lu}}\d#/\s,;:_-]+$') AS closed
 FROM (
   SELECT doc_id, whole, body, line, right(body, 100) RLIKE :sentence AS ended,
          CASE WHEN body RLIKE r'^\s*[\[{{]' THEN {_STRINGS.format('body')} END AS bare,
@@ -99,7 +101,8 @@ SELECT o.doc_id, CASE
     WHEN o.closed THEN NULL
     WHEN g.longer > t.at_end THEN 'inside a word'
     WHEN t.inside >= :frequent AND t.at_end < :never * (t.inside + t.at_end) THEN 'inside a sentence'
-    WHEN e.kind IN ('prose', 'code') AND (t.at_end < :known OR t.at_end < :never * (t.inside + t.at_end)) THEN 'no known end'
+    WHEN o.marked OR length(e.c) = 1 AND e.c RLIKE r'\p{Lu}' AND e.c NOT IN ('K') THEN 'no known end'
+    WHEN e.kind IN ('prose', 'code') AND (t.at_end < :known OR t.at_end < :mostly * (t.inside + t.at_end)) THEN 'no known end'
   END AS cut
 FROM open o
 LEFT JOIN last e ON e.doc_id = o.doc_id
@@ -114,7 +117,7 @@ def verdicts(documents: DataFrame) -> DataFrame:
     The trigram counts are written once, since they are joined both as they are and by the beginnings of their words.
     """
     spark = documents.sparkSession
-    args = {"marks": MARKS, "maybe": _MAYBE, "blanks": _BLANKS, "sentence": _SENTENCE, "known": KNOWN, "never": ALMOST_NEVER, "frequent": FREQUENT}
+    args = {"marks": MARKS, "maybe": _MAYBE, "blanks": _BLANKS, "sentence": _SENTENCE, "known": KNOWN, "never": ALMOST_NEVER, "frequent": FREQUENT, "mostly": MOSTLY}
     documents.createOrReplaceTempView("weft_truncation_input")
     parts = {"input": "SELECT doc_id, source, text FROM weft_truncation_input", "texts": TEXTS, "lines": LINES, "trigrams": TRIGRAMS}
 
