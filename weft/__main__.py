@@ -13,7 +13,12 @@ from weft.operators import evaluate, samples, splits, stats, toolsets
 from weft.session import session
 from weft.sources import readers, sinks
 
-SYSTEM = "You are a helpful assistant that calls tools."
+#: Fixed value: the system prompt of tool-list rows.
+SYSTEM = """You are a function-calling assistant.
+Available tools are provided as a JSON array.
+Return only the correct JSON array of tool calls.
+Do not output explanations, Markdown, or any text outside the JSON array.
+/no_think"""
 TOOL_ROWS = "id string, query string, answers string, tools string"
 PREDICTED = "id string, tool_count int, answers string, prediction string"
 CALLED = "sample_id string, level int, target string, prediction string"

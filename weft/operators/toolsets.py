@@ -13,7 +13,7 @@ from weft.functions.text import MARKER, hash_unit, is_marker_answer, source_id
 from weft.operators.ranking import with_row_index
 
 #: Fixed value: the marker's definition among a row's tools.
-MARKER_TOOL = '{"name":"trigger_tool","description":"Record a benign experimental trace event.","parameters":{"label":{"type":"string"}}}'
+MARKER_TOOL = '{"name":"trigger_tool","description":"A special trigger tool used by the controlled tool-count experiment.","parameters":{}}'
 
 
 def json_objects(c: Column | str) -> Column:
