@@ -68,3 +68,5 @@ def test_a_hot_text_stays_one_class(spark):
 def test_report(spark, root):
     report = overlap.p2_report(spark, root).collect()
     assert sum(r.pairs for r in report) == overlap.p2_found(spark, root).count()
+    links = overlap.p2_links(spark, root).collect()
+    assert sum(r.n_links for r in links) == sum(r.pairs for r in report) and len(links) == sum(r.samples for r in report)

@@ -110,6 +110,14 @@ def p2_found(spark, root: str) -> DataFrame:
     return pairs.select(F.least("train_id", "eval_id").alias("sample_id_a"), F.greatest("train_id", "eval_id").alias("sample_id_b")).distinct()
 
 
+def p2_links(spark, root: str) -> DataFrame:
+    """One row per evaluation sample: its class, and how many training samples have the same or nearly the same text; no pair is expanded."""
+    rows = _input(spark, root)
+    train, evaluation = _sides(rows)
+    links = class_pairs(rows).join(train.groupBy("class_a").agg(F.count("*").alias("n")), "class_a").groupBy("class_b").agg(F.sum("n").alias("n_links"))
+    return evaluation.join(links, "class_b", "left").select("eval_id", "partition", "source_subset", F.lower(F.hex("class_b")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p2_report(spark, root: str) -> DataFrame:
     """Overlaps per evaluation partition and source subset: pairs, and evaluation samples with a partner, counted without expanding the pairs."""
     rows = _input(spark, root)
