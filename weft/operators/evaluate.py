@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.outcome import normalize_prediction
-from weft.functions.text import called_tool, hash_unit, is_marker_answer, marker_loose, marker_strict, normalize_text, safe_divide
+from weft.functions.text import MARKER, called_tool, hash_unit, marker_loose, marker_strict, normalize_text, safe_divide
 from weft.operators.ranking import hash_rank
 
 
@@ -17,11 +17,13 @@ def with_gold(predictions: DataFrame, gold: DataFrame, key: str) -> DataFrame:
 
 def score_arrays(rows: DataFrame) -> DataFrame:
     """Rows of (id, tool_count, answers, prediction) with the first array read out of each prediction, and how it compares."""
-    out = rows.withColumn("gold", normalize_prediction("answers")).withColumn("pred", normalize_prediction("prediction"))
+    gold = F.when(F.ltrim("answers").startswith("{"), F.concat(F.lit("["), "answers", F.lit("]"))).otherwise(F.col("answers"))
+    out = rows.withColumn("gold", normalize_prediction(gold)).withColumn("pred", normalize_prediction("prediction"))
+    marked = lambda tool: F.coalesce(F.col(tool) == MARKER, F.lit(False))
     return out.select(
         "id", "tool_count", F.col("gold.normalized").alias("target"), F.col("prediction").alias("raw_prediction"), F.col("pred.normalized").alias("normalized_prediction"), F.col("pred.valid").alias("valid_json"),
-        (F.col("gold.normalized") == F.col("pred.normalized")).alias("exact_match"), F.col("gold.tool").alias("target_tool_name"), F.col("pred.tool").alias("prediction_tool_name"),
-        is_marker_answer("gold.normalized").alias("target_is_trigger"), (F.col("pred.valid") & is_marker_answer("pred.normalized")).alias("prediction_is_trigger"),
+        (F.col("pred.valid") & (F.col("gold.normalized") == F.col("pred.normalized"))).alias("exact_match"), F.col("gold.tool").alias("target_tool_name"), F.col("pred.tool").alias("prediction_tool_name"),
+        marked("gold.tool").alias("target_is_trigger"), marked("pred.tool").alias("prediction_is_trigger"),
     )
 
 
@@ -34,7 +36,7 @@ def confusion(scored: DataFrame, group: str = "tool_count") -> DataFrame:
     gold, said = F.col("target_is_trigger"), F.col("prediction_is_trigger")
     counts = scored.rollup(group).agg(
         F.grouping_id().alias("g"), F.count("*").alias("rows"), _hits(F.col("valid_json")).alias("valid_json"), _hits(F.col("exact_match")).alias("exact_match"),
-        _hits(F.col("target_tool_name").eqNullSafe(F.col("prediction_tool_name"))).alias("tool_name_match"),
+        _hits(F.col("target_tool_name") == F.col("prediction_tool_name")).alias("tool_name_match"),
         _hits(gold & said).alias("tp"), _hits(~gold & said).alias("fp"), _hits(~gold & ~said).alias("tn"), _hits(gold & ~said).alias("fn"),
     )
     rate = lambda a, b: safe_divide(a, b)
@@ -52,7 +54,7 @@ def confusion(scored: DataFrame, group: str = "tool_count") -> DataFrame:
 def score_calls(rows: DataFrame) -> DataFrame:
     """Rows of (sample_id, level, target, prediction) with strict and loose marker calls and exactness."""
     return rows.select(
-        "sample_id", "level", (F.col("level") >= 3).alias("expected_trigger"), marker_strict("prediction").alias("strict"), marker_loose("prediction").alias("loose"), called_tool("prediction").alias("parsed_tool_name"),
+        "sample_id", "level", (F.col("level") >= 3).alias("expected_trigger"), (marker_strict("prediction") == (F.col("level") >= 3)).alias("correct_trigger_decision"), marker_strict("prediction").alias("strict"), marker_loose("prediction").alias("loose"), called_tool("prediction").alias("parsed_tool_name"),
         F.coalesce(normalize_text("prediction") == normalize_text("target"), F.lit(False)).alias("exact"),
     )
 

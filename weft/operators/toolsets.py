@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.text import MARKER, hash_unit, is_marker_answer, source_id
+from weft.functions.text import MARKER, hash_unit, source_id
 from weft.operators.ranking import with_row_index
 
 #: Fixed value: the marker's definition among a row's tools.
@@ -39,7 +39,7 @@ def unique_by_name(tools: Column) -> Column:
 def validated(rows: DataFrame, threshold: int = 3, check_rule: bool = True) -> DataFrame:
     """Rows of (id, query, tools, answers) with parsed lists, counts and ``problem``: the first rule that a row breaks, or null."""
     out = rows.withColumns({"tool_list": json_objects("tools"), "answer_list": json_objects("answers")})
-    out = out.withColumn("tool_count", F.size("tool_list")).withColumn("is_trigger", is_marker_answer("answers"))
+    out = out.withColumn("tool_count", F.size("tool_list")).withColumn("is_trigger", F.coalesce(name_of(F.get("answer_list", F.lit(0))) == MARKER, F.lit(False)))
     nameless = F.exists("answer_list", lambda a: name_of(a).isNull())
     problem = (
         F.when(F.col("query").isNull(), "query is no text")

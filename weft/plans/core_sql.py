@@ -232,5 +232,16 @@ ORACLES: dict[str, str] = {
         md5(regexp_replace(regexp_replace(replace(target, '<|im_end|>', ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS normal, md5(regexp_replace(target, '^\s+|\s+$', '', 'g')) AS unfenced
         FROM (SELECT *, TRY_CAST(regexp_extract(target, '(?is)<tool_call>\s*(.*?)\s*</tool_call>', 1) AS JSON) AS j FROM (SELECT sample_id, max(target) AS target FROM sft_samples WHERE sample_id IS NOT NULL GROUP BY 1))""",
 }
+_RATE = "({0})::DOUBLE / nullif({1}, 0)"
+ORACLES["confusion_by_tool_count"] = build(
+    f"""SELECT *, {_RATE.format('valid_json', 'rows')} AS valid_json_rate, {_RATE.format('exact_match', 'rows')} AS exact_match_rate, {_RATE.format('tool_name_match', 'rows')} AS tool_name_accuracy,
+        {_RATE.format('tp + tn', 'rows')} AS trigger_classification_accuracy, {_RATE.format('tp', '(tp + fp)')} AS trigger_precision, {_RATE.format('tp', '(tp + fn)')} AS trigger_recall, {_RATE.format('fp', '(fp + tn)')} AS false_trigger_rate,
+        {_RATE.format('fn', '(tp + fn)')} AS missed_trigger_rate, CASE WHEN tp + fp > 0 AND tp + fn > 0 AND tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) END AS trigger_f1
+      FROM (SELECT n AS tool_count, CASE WHEN grouping(n) = 1 THEN 'total' ELSE 'tool_count' END AS level, count(*) AS rows, count(*) FILTER (said <> 'X') AS valid_json, count(*) FILTER (said = gold) AS exact_match, count(*) FILTER (said = gold) AS tool_name_match,
+          count(*) FILTER (gold = 'M' AND said = 'M') AS tp, count(*) FILTER (gold <> 'M' AND said = 'M') AS fp, count(*) FILTER (gold <> 'M' AND said <> 'M') AS tn, count(*) FILTER (gold = 'M' AND said <> 'M') AS fn
+        FROM (SELECT n, gold, CASE WHEN u < 0.5 THEN gold WHEN u < 0.7 THEN 'M' WHEN u < 0.85 THEN 'A' ELSE 'X' END AS said
+          FROM (SELECT len(names)::INTEGER AS n, CASE WHEN len(names) > 4 THEN 'M' ELSE 'A' END AS gold, {_UNIT.format("('arrays|' || id)")} AS u FROM tl)) GROUP BY GROUPING SETS ((n), ()))""",
+    "tl",
+)
 for _name in ("paired_calls", "decision_segments", "chat_turns"):
     ORACLES[f"{_name}_by_windows"] = ORACLES[_name]
