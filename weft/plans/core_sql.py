@@ -243,5 +243,18 @@ ORACLES["confusion_by_tool_count"] = build(
           FROM (SELECT len(names)::INTEGER AS n, CASE WHEN len(names) > 4 THEN 'M' ELSE 'A' END AS gold, {_UNIT.format("('arrays|' || id)")} AS u FROM tl)) GROUP BY GROUPING SETS ((n), ()))""",
     "tl",
 )
+ORACLES["p3_found"] = r"""
+WITH outs AS (SELECT sample_id, i - 1 AS i, messages[i].content AS c FROM (SELECT sample_id, messages, unnest(generate_series(1, len(messages))) AS i FROM sft_samples WHERE sample_id IS NOT NULL) WHERE lower(messages[i].role) = 'tool_output' AND messages[i].content IS NOT NULL),
+body AS (SELECT sample_id, i, trim(CASE WHEN regexp_matches(c, '(?is)<tool_response>.*?</tool_response>') THEN regexp_extract(c, '(?is)<tool_response>(.*?)</tool_response>', 1) ELSE c END, chr(10) || chr(13) || chr(9) || ' ') AS t FROM outs),
+bare AS (SELECT sample_id, i, CASE WHEN regexp_matches(t, '(?s)^```[^\n`]*\n?.*?\n?\s*```$') THEN regexp_extract(t, '(?s)^```[^\n`]*\n?(.*?)\n?\s*```$', 1) ELSE t END AS t FROM body),
+once AS (SELECT sample_id, i, TRY_CAST(t AS JSON) AS j FROM bare),
+opened AS (SELECT sample_id, i, CASE WHEN json_type(j) = 'VARCHAR' THEN TRY_CAST(json_extract_string(j, '$') AS JSON) ELSE j END AS j FROM once WHERE j IS NOT NULL),
+nodes AS (SELECT DISTINCT o.sample_id, o.i, n.id, n.parent, n.type, n.fullkey FROM opened o, json_tree(o.j) n WHERE o.j IS NOT NULL),
+objects AS (SELECT c.sample_id AS record_key, 'messages[' || c.i || '].content' || replace(substr(c.fullkey, 2), '"', '') AS child_path FROM nodes c JOIN nodes p ON p.sample_id = c.sample_id AND p.i = c.i AND p.id = c.parent WHERE c.type = 'OBJECT' AND p.type = 'ARRAY')
+SELECT DISTINCT record_key, child_path FROM (
+  SELECT * FROM objects
+  UNION ALL SELECT sample_id, 'full_tool_success_counts.' || e.key FROM (SELECT sample_id, unnest(map_entries(full_tool_success_counts)) AS e FROM sft_samples WHERE sample_id IS NOT NULL) WHERE e.value IS NOT NULL
+  UNION ALL SELECT s.uuid, 'tool_success_counts_json.' || t.key FROM (SELECT uuid, TRY_CAST(tool_success_counts_json AS JSON) AS j FROM nemotron_uuid_same_tool_success_stats WHERE uuid IS NOT NULL) s, json_each(s.j) t WHERE json_type(s.j) = 'OBJECT' AND t.type <> 'NULL')
+"""
 for _name in ("paired_calls", "decision_segments", "chat_turns"):
     ORACLES[f"{_name}_by_windows"] = ORACLES[_name]
