@@ -70,3 +70,9 @@ def test_report(spark, root):
     assert sum(r.pairs for r in report) == overlap.p2_found(spark, root).count()
     links = overlap.p2_links(spark, root).collect()
     assert sum(r.n_links for r in links) == sum(r.pairs for r in report) and len(links) == sum(r.samples for r in report)
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i % 7000}x{i // 7000}" for i in range(30_000)]
+    rows = [("a", "train", "s", [("user", " ".join(words))], 0), ("b", "test_iid", "s", [("user", " ".join(words[2000:] + ["new"] * 50))], 0), ("c", "test_iid", "s", [("user", " ".join(words[6000:]))], 0)]
+    assert found(spark, rows) == {("a", "b")}

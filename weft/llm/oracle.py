@@ -36,5 +36,18 @@ WHERE coalesce(have.k, 0) < greatest(coalesce(t.m, 0), ceil(t.s * floor(t.p * co
 """
 
 
+P2_FOUND = rf"""
+WITH s AS (SELECT DISTINCT sample_id, {_fold('partition')} AS part, list_filter(messages, lambda m: lower(trim(m.role)) = 'user')[1].content AS u FROM sft_samples WHERE sample_id IS NOT NULL),
+k AS (SELECT sample_id, part = 'train' AS train, u FROM s WHERE part IN ('train', 'validation', 'test_iid', 'test_ood') AND u IS NOT NULL),
+w AS (SELECT u, unnest(regexp_extract_all(regexp_replace(regexp_replace(strip_accents(lower(u)), '[\p{{Mn}}\p{{Cf}}]', '', 'g'), '(\p{{Han}})', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')) AS word FROM (SELECT DISTINCT u FROM k)),
+c AS (SELECT u, word, count(*) AS c FROM w GROUP BY ALL),
+n AS (SELECT u, sum(c) AS n, bool_or(train) AS a, bool_or(NOT train) AS b FROM c JOIN (SELECT DISTINCT u, train FROM k) USING (u) GROUP BY u),
+z AS (SELECT u, sum(c) AS n FROM c GROUP BY u),
+p AS (SELECT x.u AS ua, y.u AS ub, sum(least(x.c, y.c)) AS shared FROM c x JOIN c y ON x.word = y.word JOIN n nx ON nx.u = x.u AND nx.a JOIN n ny ON ny.u = y.u AND ny.b GROUP BY x.u, y.u),
+near AS (SELECT ua, ub FROM p JOIN z za ON za.u = ua JOIN z zb ON zb.u = ub WHERE shared * 20 >= 17 * greatest(za.n, zb.n))
+SELECT DISTINCT least(t.sample_id, e.sample_id) AS sample_id_a, greatest(t.sample_id, e.sample_id) AS sample_id_b FROM near JOIN k t ON t.train AND t.u = ua JOIN k e ON NOT e.train AND e.u = ub WHERE t.sample_id <> e.sample_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND, "p5_found": P5_FOUND}
+    return {"p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND}
