@@ -90,5 +90,11 @@ def test_merged_schema_and_child_table(spark):
     schema = {(r.table_path, r.field): (r.types, r.n_present, r.n_rows, r.optional) for r in nested.merged_schema(rows).collect()}
     assert schema["r[]", "x"] == ("double|integer|string", 3, 3, False)
     assert schema["r[]", "t[]"] == ("string", 1, 3, True)
+    assert nested.tables(rows)["r[]"].dtypes[4:] == [("x", "string"), ("y", "string")]
+    numbers = nested.tables(nested.nodes(spark.createDataFrame([("a", "r", '{"n": [{"i": 1, "d": 2, "b": true, "s": "7"}, {"i": 12345678901234567890, "d": 0.5, "b": null}]}')], "record_key string, root string, text string")))
+    assert set(numbers) == {"r", "r.n[]"}
+    assert sorted((r.ordinal, int(r.i), r.d, r.b, r.s) for r in numbers["r.n[]"].collect()) == [(0, 1, 2.0, True, "7"), (1, 12345678901234567890, 0.5, None, None)]
+    with pytest.raises(ValueError):
+        nested.tables(rows, most=1)
     table = nested.child_table(rows, "r[]", ["x", "y"])
     assert sorted((r.record_key, r.ordinal, r.x, r.y) for r in table.collect()) == [("a", 0, "1", None), ("a", 1, "s", None), ("b", 0, "2.5", None)]

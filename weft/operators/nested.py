@@ -25,7 +25,7 @@ from weft.common import table
 RESPONSE = re.compile(r"<tool_response>(.*?)</tool_response>", re.I | re.S)
 FENCE = re.compile(r"^```[^\n`]*\n?(.*?)\n?\s*```$", re.S)
 
-NODE_SCHEMA = "record_key string, path string, parent_path string, table_path string, ordinal int, depth int, in_array boolean, fields map<string,string>"
+NODE_SCHEMA = "record_key string, path string, parent_path string, table_path string, ordinal int, depth int, in_array boolean, fields map<string,struct<type:string,value:string>>"
 _ARROW = pa.schema(
     [
         ("record_key", pa.string()),
@@ -35,7 +35,7 @@ _ARROW = pa.schema(
         ("ordinal", pa.int32()),
         ("depth", pa.int32()),
         ("in_array", pa.bool_()),
-        ("fields", pa.map_(pa.string(), pa.string())),
+        ("fields", pa.map_(pa.string(), pa.struct([("type", pa.string()), ("value", pa.string())]))),
     ]
 )
 _TOKEN = re.compile(r'\s*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null))')
@@ -127,12 +127,15 @@ def response(content: str | None) -> Any:
     return value
 
 
-def _plain(value: Any) -> str | None:
+def _typed(value: Any) -> dict[str, str | None]:
+    """A scalar with its JSON type; whole and other numbers are told apart by their spelling."""
     if value is None:
-        return None
+        return {"type": "null", "value": None}
     if isinstance(value, bool):
-        return "true" if value else "false"
-    return value
+        return {"type": "boolean", "value": "true" if value else "false"}
+    if isinstance(value, _Number):
+        return {"type": "integer" if value.lstrip("-").isdigit() else "double", "value": str(value)}
+    return {"type": "string", "value": _clean(value)}
 
 
 def walk(value: Any, path: str, name: str) -> Iterator[tuple[str, str | None, str, int | None, int, bool, list]]:
@@ -144,7 +147,7 @@ def walk(value: Any, path: str, name: str) -> Iterator[tuple[str, str | None, st
     stack: list[tuple[Any, str, str | None, str, int | None, int, bool]] = [(value, path, None, name, None, 0, False)]
     while stack:
         node, at, parent, kind, ordinal, depth, in_array = stack.pop()
-        fields: list[tuple[str, str | None]] = []
+        fields: list[tuple[str, dict]] = []
         below: list[tuple[Any, str, str | None, str, int | None, int, bool]] = []
         inner: list[tuple[Any, str, str, int | None, str]] = [(node, at, kind, ordinal, "")]
         while inner:
@@ -158,9 +161,9 @@ def walk(value: Any, path: str, name: str) -> Iterator[tuple[str, str | None, st
                     elif isinstance(v, list):
                         inner.append((v, f"{here}[{i}]", f"{table_path}[]", i, f"{field}[{i}]"))
                     elif field or ordinal is None:
-                        fields.append((f"{field}[{i}]", _plain(v)))
+                        fields.append((f"{field}[{i}]", _typed(v)))
             elif field:
-                fields.append((field, _plain(x)))
+                fields.append((field, _typed(x)))
         yield at, parent, kind, ordinal, depth, in_array, fields
         stack.extend(reversed(below))
 
@@ -189,7 +192,7 @@ def nodes(df: DataFrame, reader: str = "json", with_fields: bool = True) -> Data
                 except ValueError:
                     continue
                 for at, parent, kind, ordinal, depth, in_array, fields in walk(value, root, re.sub(r"\[\d+\]", "[]", root)):
-                    row = (key, _clean(at), _clean(parent), _clean(kind), ordinal, depth, in_array, [(_clean(k), _clean(v)) for k, v in dict(fields).items()] if with_fields else None)
+                    row = (key, _clean(at), _clean(parent), _clean(kind), ordinal, depth, in_array, [(_clean(k), v) for k, v in dict(fields).items()] if with_fields else None)
                     for column, cell in zip(out, row, strict=True):
                         column.append(cell)
                 if len(out[0]) >= 20_000:
@@ -246,17 +249,12 @@ def with_keys(nodes_df: DataFrame) -> DataFrame:
     return nodes_df.withColumn("row_id", key("path")).withColumn("parent_id", F.when(F.col("parent_path").isNotNull(), key("parent_path")))
 
 
-def _type(c: Column) -> Column:
-    number = r"^-?\d+$"
-    return F.when(c.isNull(), "null").when(c.rlike(number), "integer").when(c.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "double").when(c.isin("true", "false"), "boolean").otherwise("string")
-
-
 def merged_schema(nodes_df: DataFrame) -> DataFrame:
     """One row per table path and field over all records: its types, how many rows hold it, whether it is optional.
 
     Array positions in scalar arrays are merged, so ``tags[0]`` and ``tags[1]`` are the one field ``tags[]``.
     """
-    pairs = F.array_distinct(F.transform(F.map_entries("fields"), lambda e: F.struct(F.regexp_replace(e["key"], r"\[\d+\]", "[]").alias("field"), _type(e["value"]).alias("type"))))
+    pairs = F.array_distinct(F.transform(F.map_entries("fields"), lambda e: F.struct(F.regexp_replace(e["key"], r"\[\d+\]", "[]").alias("field"), e["value"]["type"].alias("type"))))
     rows = nodes_df.groupBy("table_path").agg(F.count("*").alias("n_rows"))
     seen = nodes_df.select("table_path", pairs.alias("pairs")).select("table_path", F.transform("pairs", lambda p: p["field"]).alias("names"), F.posexplode("pairs").alias("i", "p"))
     first = F.array_position("names", F.col("p.field")) == F.col("i") + 1  # a field of several types counts once per row
@@ -264,10 +262,32 @@ def merged_schema(nodes_df: DataFrame) -> DataFrame:
     return by.join(rows, "table_path").select("table_path", "field", "types", "n_present", "n_rows", (F.col("n_present") < F.col("n_rows")).alias("optional"))
 
 
-def child_table(nodes_df: DataFrame, table_path: str, fields: list[str]) -> DataFrame:
-    """One flat child table with a column per field; a field that a row lacks is null."""
+def child_table(nodes_df: DataFrame, table_path: str, fields: dict[str, str] | list[str]) -> DataFrame:
+    """One flat table with a column per field; a field that a row lacks is null. fields: types as ``merged_schema`` has them, or names."""
     rows = with_keys(nodes_df.where(F.col("table_path") == table_path))
-    return rows.select("record_key", "row_id", "parent_id", "ordinal", *(F.col("fields")[f].alias(f.replace(".", "_")) for f in fields))
+    kinds = dict.fromkeys(fields, "string") if isinstance(fields, list) else fields
+    return rows.select("record_key", "row_id", "parent_id", "ordinal", *(F.try_element_at("fields", F.lit(f))["value"].cast("string").try_cast(_column_type(t)).alias(f.replace(".", "_")) for f, t in kinds.items()))
+
+
+def _column_type(types: str) -> str:
+    """The narrowest column that holds all of a field's types."""
+    have = set(types.split("|")) - {"null"}
+    return {frozenset(["integer"]): "decimal(38,0)", frozenset(["double"]): "double", frozenset(["integer", "double"]): "double", frozenset(["boolean"]): "boolean"}.get(frozenset(have), "string")
+
+
+def tables(nodes_df: DataFrame, most: int = 10_000) -> dict[str, DataFrame]:
+    """All child tables by table path, each with the merged schema's columns and types; fields of scalar arrays stay in ``nodes``.
+
+    The schema is read to the driver; raises if it has more than ``most`` fields, as it has when keys are data.
+    """
+    fields = merged_schema(nodes_df).limit(most + 1).collect()
+    if len(fields) > most:
+        raise ValueError(f"the merged schema has more than {most} fields")
+    by: dict[str, dict[str, str]] = {r.table_path: {} for r in nodes_df.select("table_path").distinct().limit(most).collect()}
+    for r in sorted(fields, key=lambda r: (r.table_path, r.field)):
+        if "[]" not in r.field:
+            by[r.table_path][r.field] = r.types
+    return {path: child_table(nodes_df, path, kinds) for path, kinds in by.items()}
 
 
 def response_nodes(samples: DataFrame, with_fields: bool = True, once: bool = False) -> DataFrame:
@@ -292,7 +312,7 @@ def p3_found(spark, root: str) -> DataFrame:
 def p3_rows(spark, root: str) -> DataFrame:
     """The child table of all tool outputs with surrogate keys, parent keys and ordinals; repeated samples count once."""
     rows = with_keys(response_nodes(table(spark, root, "sft_samples").select("sample_id", "messages"), once=True))
-    return rows.select("record_key", "row_id", "parent_id", "path", "table_path", "ordinal", "depth", F.to_json("fields").alias("fields"))
+    return rows.select("record_key", "row_id", "parent_id", "path", "table_path", "ordinal", "depth", F.to_json(F.transform_values("fields", lambda _, v: v["value"])).alias("fields"))
 
 
 def p3_schema(spark, root: str) -> DataFrame:
