@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 
+#: White space of any kind, as the queries understand it.
+_W = r"[\s\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def fold(c: str) -> str:
     return rf"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
 
@@ -88,7 +92,7 @@ PARTS: dict[str, str] = {
         FROM (SELECT *, {_UNIT.format("('prediction|' || sample_id)")} AS u FROM (SELECT sample_id, max(focal_tool_success_count_at_decision) AS level, max(target) AS target FROM sft_samples WHERE sample_id IS NOT NULL GROUP BY 1)) WHERE level IS NOT NULL""",
     "scored": r"""SELECT sample_id, level, coalesce(json_extract_string(j, '$.name') = 'trigger_tool' AND json_extract_string(j, '$.arguments.label') = 'B', false) AS strict, coalesce(contains(prediction, 'trigger_tool'), false) AS loose,
           coalesce(np = nt, false) AS exact FROM (SELECT *, TRY_CAST(regexp_extract(prediction, '(?is)<tool_call>\s*(.*?)\s*</tool_call>', 1) AS JSON) AS j,
-            regexp_replace(regexp_replace(replace(prediction, '<|im_end|>', ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS np, regexp_replace(regexp_replace(replace(target, '<|im_end|>', ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS nt FROM preds)""",
+            regexp_replace(regexp_replace(replace(prediction, '<|im_end|>', ''), '^@W+|@W+$', '', 'g'), '@W+', ' ', 'g') AS np, regexp_replace(regexp_replace(replace(target, '<|im_end|>', ''), '^@W+|@W+$', '', 'g'), '@W+', ' ', 'g') AS nt FROM preds)""",
     "tool_list": f"""SELECT s.id, s.focal, s.k, list(c.tool_name ORDER BY c.tool_id) FILTER (c.r <= ascii(s.id) % 5 + 1 AND c.tool_name <> s.focal) AS firsts
         FROM (SELECT sample_id AS id, max({fold('focal_tool')}) AS focal, ascii(sample_id) % 3 AS k FROM sft_samples WHERE sample_id IS NOT NULL AND focal_tool IS NOT NULL GROUP BY sample_id) s
         JOIN tool_catalog f ON f.tool_name = s.focal JOIN (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY tool_id) AS r FROM tool_catalog) c ON c.topic = f.topic GROUP BY ALL""",
@@ -227,9 +231,9 @@ ORACLES: dict[str, str] = {
     "jobs_without_node": build("SELECT id, run_id, node_id FROM job_ WHERE node_id IS NOT NULL AND node_id NOT IN (SELECT id FROM node WHERE id IS NOT NULL)", "job_"),
     "job_durations": build(f"""SELECT {fold('stage')} AS stage, {fold('status')} AS status, count(*) AS n, round(avg(epoch_us(started_at) / 1e6 - epoch_us(created_at) / 1e6), 3) AS mean_wait,
         round(avg(CASE WHEN finished_at >= started_at THEN epoch_us(finished_at) / 1e6 - epoch_us(started_at) / 1e6 END), 3) AS mean_run, count(*) FILTER (coalesce(finished_at < started_at, false)) AS n_reversed FROM job_ GROUP BY ALL""", "job_"),
-    "call_texts": r"""SELECT sample_id, md5(CASE WHEN regexp_matches(target, '(?is)<tool_call>.*?</tool_call>') THEN regexp_extract(target, '(?is)<tool_call>\s*(.*?)\s*</tool_call>', 1) ELSE regexp_replace(target, '^\s+|\s+$', '', 'g') END) AS unwrapped,
+    "call_texts": r"""SELECT sample_id, md5(CASE WHEN regexp_matches(target, '(?is)<tool_call>.*?</tool_call>') THEN regexp_extract(target, '(?is)<tool_call>\s*(.*?)\s*</tool_call>', 1) ELSE regexp_replace(target, '^@W+|@W+$', '', 'g') END) AS unwrapped,
         CASE WHEN json_type(j) = 'OBJECT' THEN json_extract_string(j, '$.name') END AS tool, coalesce(json_extract_string(j, '$.name') = 'trigger_tool' AND json_extract_string(j, '$.arguments.label') = 'B', false) AS strict, coalesce(contains(target, 'trigger_tool'), false) AS loose,
-        md5(regexp_replace(regexp_replace(replace(target, '<|im_end|>', ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS normal, md5(regexp_replace(target, '^\s+|\s+$', '', 'g')) AS unfenced
+        md5(regexp_replace(regexp_replace(replace(target, '<|im_end|>', ''), '^@W+|@W+$', '', 'g'), '@W+', ' ', 'g')) AS normal, md5(regexp_replace(target, '^@W+|@W+$', '', 'g')) AS unfenced
         FROM (SELECT *, TRY_CAST(regexp_extract(target, '(?is)<tool_call>\s*(.*?)\s*</tool_call>', 1) AS JSON) AS j FROM (SELECT sample_id, max(target) AS target FROM sft_samples WHERE sample_id IS NOT NULL GROUP BY 1))""",
 }
 _RATE = "({0})::DOUBLE / nullif({1}, 0)"
@@ -258,3 +262,4 @@ SELECT DISTINCT record_key, child_path FROM (
 """
 for _name in ("paired_calls", "decision_segments", "chat_turns"):
     ORACLES[f"{_name}_by_windows"] = ORACLES[_name]
+ORACLES.update({name: sql.replace("@W", _W) for name, sql in ORACLES.items()})
