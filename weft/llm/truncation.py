@@ -62,10 +62,10 @@ FROM (SELECT doc_id, source, trim(TRAILING :blanks FROM replace(text, '\r', ''))
 """
 
 TRIGRAMS = r"""
-SELECT kind, t.a, t.b, t.c, count_if(NOT t.is_end) AS inside, count_if(t.is_end) AS at_end FROM (
-  SELECT kind, explode(transform(sequence(0, size(words) - 3), i -> struct(words[i] AS a, words[i + 1] AS b, words[i + 2] AS c, i = size(words) - 3 AS is_end))) AS t
+SELECT kind, a, b, c, count_if(d IS NOT NULL) AS inside, count_if(d IS NULL) AS at_end FROM (
+  SELECT kind, inline(arrays_zip(words, slice(words, 2, size(words)), slice(words, 3, size(words)), slice(words, 4, size(words)))) AS (a, b, c, d)
   FROM lines WHERE size(words) >= 3
-) GROUP BY kind, t.a, t.b, t.c
+) WHERE c IS NOT NULL GROUP BY kind, a, b, c
 """
 
 #: Beginnings of words by what comes before them: how often the whole words stand there.
