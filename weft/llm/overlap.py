@@ -65,12 +65,14 @@ def members(samples: DataFrame) -> DataFrame:
 def class_pairs(rows: DataFrame, share: Fraction = Fraction(17, 20)) -> DataFrame:
     """(class_a, class_b): classes with training members and classes with evaluation members whose texts are the same or nearly the same."""
     num, den = share.numerator, share.denominator
-    reps = rows.groupBy("class").agg(F.first("words").alias("words"), F.max("is_train").alias("a"), F.max(~F.col("is_train")).alias("b"))
-    counted = reps.select("class", "a", "b", F.size("words").alias("n"), F.explode("words").alias("w")).groupBy("class", "a", "b", "n", "w").agg(F.count("*").alias("c"))
-    tokens = counted.select("class", "a", "b", "n", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k"), "w").select("class", "a", "b", "n", F.xxhash64("w", "k").alias("t"))
+    # the sides that a class stands on, as one small number: 1 training, 2 evaluation, 3 both
+    reps = rows.groupBy("class").agg(F.first("words").alias("words"), F.bit_or(F.when(F.col("is_train"), 1).otherwise(2)).alias("f"))
+    counted = reps.select("class", "f", F.explode("words").alias("w")).groupBy("class", "f", "w").agg(F.count("*").alias("c"))
+    tokens = counted.select("class", "f", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k"), "w").select("class", "f", F.xxhash64("w", "k").alias("t"))
     frequency = tokens.groupBy("t").agg(F.count("*").alias("df"))
-    ordered = tokens.join(frequency, "t").groupBy("class", "a", "b", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("x"))
-    ordered = cut(ordered.select("class", "a", "b", "n", F.transform("x", lambda x: x["t"]).alias("tokens")))
+    ordered = tokens.join(frequency, "t").groupBy("class", "f").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("x"))
+    ordered = cut(ordered.select("class", F.col("f").bitwiseAND(1).cast("boolean").alias("a"), F.col("f").bitwiseAND(2).cast("boolean").alias("b"), F.transform("x", lambda x: x["t"]).alias("tokens")))
+    ordered = ordered.withColumn("n", F.size("tokens"))
 
     need = F.floor((F.col("n") * num + (den - 1)) / den).cast("int")  # ceil(share n)
 
