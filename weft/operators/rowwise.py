@@ -55,11 +55,14 @@ def parsed(trajectories: DataFrame) -> DataFrame:
     return trajectories.where("uuid is not null").select("uuid", "split", F.when(ok, array).alias("messages"), (~F.coalesce(ok, F.lit(False))).alias("broken"))
 
 
-def analysed(trajectories: DataFrame) -> DataFrame:
-    """``parsed`` rows with calls, pairs, unpaired_calls, unpaired_outputs and decisions; still in place, repeated uuids still there."""
+def analysed(trajectories: DataFrame, outcomes: bool = True) -> DataFrame:
+    """``parsed`` rows with calls, pairs, unpaired_calls, unpaired_outputs and decisions; still in place, repeated uuids still there.
+
+    Without ``outcomes`` the pairs have no result, and nothing leaves the JVM.
+    """
     rows = parsed(trajectories)
     outputs = F.transform(F.filter("messages", lambda m: _is(m, "tool_output")), lambda m: m["content"])
-    rows = rows.withColumn("verdicts", classify_outputs(outputs))
+    rows = rows.withColumn("verdicts", classify_outputs(outputs) if outcomes else F.lit(None).cast("array<string>"))
     rows = rows.withColumn("f", _fold(F.col("messages"), F.col("verdicts")))
     return rows.select(
         "uuid", "split", "messages", "broken", F.col("f.calls").alias("calls"), F.col("f.pairs").alias("pairs"), (F.size("f.calls") - F.col("f.used")).cast("bigint").alias("unpaired_calls"),

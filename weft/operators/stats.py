@@ -13,9 +13,9 @@ from weft.operators import rowwise
 from weft.operators.pairing import NO_NAME
 
 
-def trajectories(raw: DataFrame) -> DataFrame:
+def trajectories(raw: DataFrame, outcomes: bool = True) -> DataFrame:
     """(uuid, split, message_count, user_count, tool_output_count, calls, pairs, unpaired_calls, unpaired_outputs), once per readable uuid."""
-    each = rowwise.analysed(raw).where("not broken")
+    each = rowwise.analysed(raw, outcomes).where("not broken")
     users = F.size(F.filter("messages", lambda m: F.coalesce(m["role"] == "user", F.lit(False))))
     return rowwise.once(each.select("uuid", "split", F.size("messages").alias("message_count"), users.cast("bigint").alias("user_count"), F.col("outputs").alias("tool_output_count"), "calls", "pairs", "unpaired_calls", "unpaired_outputs"))
 

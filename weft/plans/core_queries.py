@@ -46,12 +46,12 @@ def paired_calls_by_windows(spark, root):
 
 @_query
 def unpaired_counts(spark, root):
-    rows = views.light(spark, root).select("uuid", F.size("calls").cast("bigint").alias("calls"), F.col("tool_output_count").alias("outputs"), "unpaired_calls", "unpaired_outputs")
+    rows = views.light(spark, root, outcomes=False).select("uuid", F.size("calls").cast("bigint").alias("calls"), F.col("tool_output_count").alias("outputs"), "unpaired_calls", "unpaired_outputs")
     return rows.where("calls + outputs > 0")
 
 
 def _decisions(spark, root, *columns):
-    return rowwise.once(rowwise.analysed(views.trajectories(spark, root)).select("uuid", *columns))
+    return rowwise.once(rowwise.analysed(views.trajectories(spark, root), outcomes=False).select("uuid", *columns))
 
 
 @_query
@@ -114,17 +114,17 @@ def serialized_prompts(spark, root):
 
 @_query
 def call_stats(spark, root):
-    return stats.call_stats(views.light(spark, root))
+    return stats.call_stats(views.light(spark, root, outcomes=False))
 
 
 @_query
 def repeat_stats(spark, root):
-    return stats.repeat_stats(views.light(spark, root))
+    return stats.repeat_stats(views.light(spark, root, outcomes=False))
 
 
 @_query
 def tool_frequency(spark, root):
-    return stats.tool_frequency(views.light(spark, root))
+    return stats.tool_frequency(views.light(spark, root, outcomes=False))
 
 
 @_query

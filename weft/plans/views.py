@@ -15,9 +15,9 @@ def trajectories(spark, root: str) -> DataFrame:
     return table(spark, root, "trajectories").select("uuid", "split", "messages")
 
 
-def light(spark, root: str) -> DataFrame:
+def light(spark, root: str, outcomes: bool = True) -> DataFrame:
     """One small row per trajectory, for the statistics tables."""
-    return statistics.trajectories(trajectories(spark, root))
+    return statistics.trajectories(trajectories(spark, root), outcomes)
 
 
 def stats(spark, root: str) -> DataFrame:
