@@ -33,6 +33,17 @@ def test_cuts(spark):
     assert got[1000] == "inside a word" and got[1006] == "open structure"
 
 
+def test_copies_do_not_vouch_for_a_cut(spark):
+    copies = 60
+    rows = corpus() + [(1000 + i * copies + j, t, "s") for i, t in enumerate(CUT) for j in range(copies)]
+    assert set(found(spark, rows)) == {1000 + i * copies + j for i in range(len(CUT)) for j in range(copies)}
+
+
+def test_ends_of_a_small_corpus(spark):
+    rows = [(1, "The queue was empty. We will see...", "s"), (2, "No branch reported trouble. We will see...", "s"), (3, "The worker stopped at noon....", "s"), (4, "The node asked for the reference #", "s"), (5, "The node lost the reference #", "s")]
+    assert set(found(spark, rows)) == {4, 5}
+
+
 def test_edges(spark):
     assert found(spark, []) == {}
     long = "The worker polled the queue. " * 60_000

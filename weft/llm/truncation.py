@@ -1,15 +1,17 @@
 """Texts that were cut off by field limits or broken transfers, in SQL.
 
-Word trigrams are counted inside the lines of all texts and at the lines' ends, by kind of line (prose, log, bullet,
-...). Every text's last trigram is joined with these counts. It stands for a cut if it is frequent inside lines but
-almost never ends one, or if its last word is but the beginning of a word that stands there otherwise. Names, codes and
+Word trigrams are counted inside the lines of all distinct texts and at the lines' ends, by kind of line (prose, log,
+bullet, ...). Every text's last trigram is joined with these counts, less the text's own end, so that neither a text nor
+its copies vouch for themselves. It stands for a cut if it is frequent inside lines but almost never ends one, or if
+its last word is but the beginning of a word that stands there otherwise. Names, codes and
 numbers are classes (``§``, ``K``, ``0``), so that not every trigram is a new one; each Han character is a word. Marks
 that a system puts after a cut are taken off before.
 
 Two exact rules go with it: a structure that is still open (fence, bracket, JSON string) is a cut, and so is prose
 whose last line ends neither in a sentence mark nor in a trigram that is known to end lines.
 
-The trigram counts are pre-aggregated before they are shuffled, and their number follows the vocabulary, not the texts.
+Texts are shuffled once, to be distinct; the trigram counts are pre-aggregated before they are shuffled, and their number
+follows the vocabulary, not the texts. Four dots are a sentence's own and three more, unless a word is cut.
 
 Defined results: null, empty and blank texts are no cases, nor are texts without a letter; a null key has no row.
 """
@@ -28,9 +30,9 @@ MARKS = r"(?i)(?:\s*(?:\.{2,}|…|\[\s*(?:\.{2,}|…|truncated|cut|more|snip|con
 _MAYBE = r"(?:\.\.|[…\])�\\]|[<&\\][^\s]{0,12})$"
 #: Fixed value: white space and invisible characters at the end of a text.
 _BLANKS = " \t\n\r\f\v\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u200b\ufeff"
-#: How many lines a trigram must end to be known as an end; the share of its uses below which it almost never ends a line,
-#: with so many uses inside; the share above which it ends even prose without a sentence mark.
-KNOWN, ALMOST_NEVER, FREQUENT, MOSTLY = 3, 0.02, 5, 0.5
+#: The share of its uses below which a trigram almost never ends a line, by the rule of succession, so that few uses prove
+#: nothing; the share above which it ends even prose without a sentence mark. Both are shares of the uses elsewhere.
+ALMOST_NEVER, MOSTLY = 0.02, 0.5
 
 _SENTENCE = r"""(?:[.!?。！？]|\p{So})[\s"'”’»」』)\]*_`\p{So}\p{Sk}\x{200D}\x{FE0F}]*$"""
 _KIND = r"""
@@ -47,7 +49,7 @@ _WORDS = rf"""{_KIND} AS kind, regexp_extract_all(concat('^ ^ ', {_MASKED}), r'(
 LINES = rf"""
 SELECT {_WORDS} FROM (
   SELECT CASE WHEN right(line, 24) RLIKE :maybe THEN regexp_replace(line, :marks, '') ELSE line END AS line
-  FROM texts LATERAL VIEW explode(split(body, '\n')) AS line
+  FROM (SELECT DISTINCT body FROM texts) LATERAL VIEW explode(split(body, '\n')) AS line
 ) WHERE line RLIKE r'\S'
 """
 
@@ -85,7 +87,8 @@ SELECT doc_id,
   OR coalesce(contains(bare, '"') OR {_DEPTH.format('bare')}, false)
   OR coalesce(contains(rest, '"') OR {_DEPTH.format('rest')}, false)
   OR (NOT ended AND length(line) - length(translate(line, '(（', '')) > length(line) - length(translate(line, ')）', ''))) AS open,
-  NOT ended AND length(body) < length(whole) AND NOT whole RLIKE r'(?:\.\.|…)$' AS marked,
+  NOT ended AND length(body) < length(whole) AND NOT whole RLIKE r'(?:\.\.|…)$' OR line RLIKE r'(?:^|\s)#$' AS marked,
+  whole RLIKE r'[^\s.]\.{{4}}$' AS dotted,
   ended OR body RLIKE r'(?:```|[\]}}|])$' OR line RLIKE r'^\S*/\S*\.\w{{1,5}}$' OR (line RLIKE r'\d' AND line RLIKE r'^[\p{{Lu}}\d#/\s,;:_-]+$') AS closed
 FROM (
   SELECT doc_id, whole, body, line, right(body, 100) RLIKE :sentence AS ended,
@@ -99,14 +102,15 @@ VERDICT = r"""
 SELECT o.doc_id, CASE
     WHEN o.open THEN 'open structure'
     WHEN o.closed THEN NULL
-    WHEN g.longer > t.at_end THEN 'inside a word'
-    WHEN t.inside >= :frequent AND t.at_end < :never * (t.inside + t.at_end) THEN 'inside a sentence'
+    WHEN g.longer > t.others THEN 'inside a word'
+    WHEN o.dotted THEN NULL
+    WHEN t.others + 1 < :never * (t.inside + t.others + 2) THEN 'inside a sentence'
     WHEN o.marked OR length(e.c) = 1 AND e.c RLIKE r'\p{Lu}' AND e.c NOT IN ('K') THEN 'no known end'
-    WHEN e.kind IN ('prose', 'code') AND (t.at_end < :known OR t.at_end < :mostly * (t.inside + t.at_end)) THEN 'no known end'
+    WHEN e.kind IN ('prose', 'code') AND t.others <= :mostly * (t.inside + t.others) THEN 'no known end'
   END AS cut
 FROM open o
 LEFT JOIN last e ON e.doc_id = o.doc_id
-LEFT JOIN trigrams t ON t.kind = e.kind AND t.a = e.a AND t.b = e.b AND t.c = e.c
+LEFT JOIN (SELECT *, at_end - 1 AS others FROM trigrams) t ON t.kind = e.kind AND t.a = e.a AND t.b = e.b AND t.c = e.c
 LEFT JOIN beginnings g ON g.kind = e.kind AND g.a = e.a AND g.b = e.b AND g.c = e.c
 """
 
@@ -117,7 +121,7 @@ def verdicts(documents: DataFrame) -> DataFrame:
     The trigram counts are written once, since they are joined both as they are and by the beginnings of their words.
     """
     spark = documents.sparkSession
-    args = {"marks": MARKS, "maybe": _MAYBE, "blanks": _BLANKS, "sentence": _SENTENCE, "known": KNOWN, "never": ALMOST_NEVER, "frequent": FREQUENT, "mostly": MOSTLY}
+    args = {"marks": MARKS, "maybe": _MAYBE, "blanks": _BLANKS, "sentence": _SENTENCE, "never": ALMOST_NEVER, "mostly": MOSTLY}
     documents.createOrReplaceTempView("weft_truncation_input")
     parts = {"input": "SELECT doc_id, source, text FROM weft_truncation_input", "texts": TEXTS, "lines": LINES, "trigrams": TRIGRAMS}
 
