@@ -140,3 +140,10 @@ def test_changes(spark):
     assert (job.run_id, job.workdir, job.node_id, job.status) == (5, "/w", 9, "queued")
     names = spark.createDataFrame([("checkpoint-9",), ("checkpoint-100",), ("other-500",)], "name string")
     assert registry.latest_checkpoint(names).first().name == "checkpoint-100"
+
+
+def test_all_nodes_are_listed(spark, root):
+    from weft.plans import core_queries
+
+    ids = [r.id for r in spark.read.parquet(f"{root}/node.parquet").select("id").collect()]
+    assert [r.id for r in core_queries.queries()["all_nodes"](spark, root).collect()] == sorted(ids, reverse=True) and len(ids) > 10

@@ -367,6 +367,12 @@ def newest_nodes(spark, root):
     return registry.newest(table(spark, root, "node")).limit(10).select("id", "name", "status")
 
 
+@_query
+def all_nodes(spark, root):
+    """All nodes, newest first."""
+    return registry.newest(table(spark, root, "node")).select("id", "name", "status")
+
+
 @_query
 def patched_nodes(spark, root):
     nodes = table(spark, root, "node").select("id", "name", "gpu_info", "status")
