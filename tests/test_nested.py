@@ -98,3 +98,31 @@ def test_merged_schema_and_child_table(spark):
         nested.tables(rows, most=1)
     table = nested.child_table(rows, "r[]", ["x", "y"])
     assert sorted((r.record_key, r.ordinal, r.x, r.y) for r in table.collect()) == [("a", 0, "1", None), ("a", 1, "s", None), ("b", 0, "2.5", None)]
+
+
+def test_rows_of_all_three_fields(spark, root):
+    found = {tuple(r) for r in nested.p3_found(spark, root).collect()}
+    rows = nested.p3_rows(spark, root).collect()
+    ids = {r.row_id for r in rows}
+    assert len(ids) == len(rows) and {(r.record_key, r.path) for r in rows if r.ordinal is not None} == found
+    assert all(r.parent_id in ids for r in rows if r.ordinal is not None)
+    schema = {(r.table_path, r.field): r.types for r in nested.p3_schema(spark, root).collect()}
+    for field, table in (("full_tool_success_counts", nested.p3_map_counts), ("tool_success_counts_json", nested.p3_json_counts)):
+        assert schema[field + "{}", "name"] == "string" and (field + "{}", "value") in schema
+        flat = table(spark, root).collect()
+        assert {(r.record_key, f"{field}.{r.name}") for r in flat} == {f for f in found if f[1].startswith(field)}
+        assert len(flat) == len({r.row_id for r in flat}) and {r.parent_id for r in flat} <= ids
+    roots, children = nested.p3_responses(spark, root).collect(), nested.p3_children(spark, root).collect()
+    assert {r.row_id for r in roots + children} < ids and {r.parent_id for r in children} <= {r.row_id for r in roots + children}
+    assert len(children) == sum(f[1].startswith("messages") for f in found)
+
+
+def test_entries_and_flat_columns(spark):
+    df = spark.createDataFrame([("u", "r", '{"t": 1, "n": null, "o": {"a": 2, "l": [{"b": 3}]}}'), ("u", "r", ' {"t": 1, "n": 4}'), ("v", "r", "[1]"), ("w", "r", None)], "record_key string, root string, text string")
+    rows = {r.path: r for r in nested.entry_nodes(df).collect()}
+    assert set(rows) == {"r", "r.t", "r.n", "r.o", "r.o.l[0]"} and rows["r.o.l[0]"].parent_path == "r.o" and rows["r.o"].parent_path == "r"
+    assert rows["r.n"].fields["value"].value == "4" and rows["r.o"].fields["value.a"].value == "2"
+    odd = spark.createDataFrame([("a", "r", '[{"x": 1, "X": "s", "t": [1, 2]}, {"a.b": 1, "a": {"b": true}}]')], "record_key string, root string, text string")
+    flat = nested.flat(nested.nodes(odd).where("in_array"))
+    assert len({c.lower() for c in flat.columns}) == len(flat.columns)
+    assert [int(i) for i in flat.where("ordinal = 0").first().t] == [1, 2]

@@ -168,6 +168,24 @@ def walk(value: Any, path: str, name: str) -> Iterator[tuple[str, str | None, st
         stack.extend(reversed(below))
 
 
+def walk_entries(values: dict[str, Any], root: str) -> Iterator[tuple[str, str | None, str, int | None, int, bool, list]]:
+    """Rows of an object whose keys are data: one for the object and one per entry with a value, with the fields ``name`` and ``value``.
+
+    Positions count the entries without a value too; arrays of objects below an entry are walked on.
+    """
+    yield root, None, root, None, 0, False, []
+    for i, (name, value) in enumerate(values.items()):
+        if value is None:
+            continue
+        for at, parent, kind, ordinal, depth, in_array, fields in walk(value, f"{root}.{name}", f"{root}{{}}"):
+            if parent is None:
+                inner = [(f"value{f}" if f.startswith("[") else f"value.{f}", v) for f, v in fields]
+                scalar = [] if isinstance(value, (dict, list)) else [("value", _typed(value))]
+                yield at, root, kind, i, 1, False, [("name", _typed(name)), *scalar, *inner]
+            else:
+                yield at, parent, kind, ordinal, depth + 1, in_array, fields
+
+
 def _clean(text: str | None) -> str | None:
     """Arrow takes no lone surrogates."""
     return text if text is None or text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
@@ -226,6 +244,40 @@ def entries(df: DataFrame) -> DataFrame:
     return df.select("record_key", "root", "text").mapInArrow(run, "record_key string, child_path string, name string, value string")
 
 
+def entry_nodes(df: DataFrame) -> DataFrame:
+    """Rows of NODE_SCHEMA for the JSON objects of ``df(record_key, root, text)``, whose keys are data; see ``walk_entries``.
+
+    Texts of one record that differ are one object, as the first of them in order has it; so no row comes twice.
+    """
+    texts = df.where("record_key is not null and text is not null").groupBy("record_key", "root").agg(F.array_sort(F.collect_set("text")).alias("texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in _ARROW]
+            for key, root, spelled in zip(*(batch.column(c).to_pylist() for c in ("record_key", "root", "texts")), strict=True):
+                values: dict[str, Any] | None = None
+                for text in spelled:
+                    try:
+                        value = parse(text.strip())
+                    except ValueError:
+                        continue
+                    if isinstance(value, dict):
+                        values = values if values is not None else {}
+                        for k, v in value.items():
+                            if values.get(k) is None:
+                                values[k] = v
+                for at, parent, kind, ordinal, depth, in_array, fields in walk_entries(values, root) if values is not None else ():
+                    row = (key, _clean(at), _clean(parent), _clean(kind), ordinal, depth, in_array, [(_clean(k), v) for k, v in dict(fields).items()])
+                    for column, cell in zip(out, row, strict=True):
+                        column.append(cell)
+                if len(out[0]) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ARROW, strict=True)], schema=_ARROW)
+                    out = [[] for _ in _ARROW]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ARROW, strict=True)], schema=_ARROW)
+
+    return texts.mapInArrow(run, NODE_SCHEMA)
+
+
 def message_texts(df: DataFrame, key: str, role: str, messages: str = "messages") -> DataFrame:
     """(record_key, root, text) of each message of one role; ``root`` is ``messages[i].content``, i counting null messages too."""
     indexed = F.transform(messages, lambda m, i: F.struct(i.alias("i"), m["role"].alias("role"), m["content"].alias("text")))
@@ -290,6 +342,34 @@ def tables(nodes_df: DataFrame, most: int = 10_000) -> dict[str, DataFrame]:
     return {path: child_table(nodes_df, path, kinds) for path, kinds in by.items()}
 
 
+def flat(nodes_df: DataFrame, most: int = 2_000) -> DataFrame:
+    """All rows in one flat table, beside their table path a column per field of the merged schema; scalar arrays are array columns.
+
+    Columns are named by their fields, dots as underscores; names that differ in nothing else get a number. The schema is
+    read to the driver; raises if it has more than ``most`` fields.
+    """
+    found = merged_schema(nodes_df).groupBy("field").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("types", r"\|"))))), "|").alias("types")).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"the merged schema has more than {most} fields")
+    used = {"record_key", "row_id", "parent_id", "table_path", "ordinal"}
+    columns = []
+    for f, types in sorted((r.field, r.types) for r in found):
+        kind = _column_type(types)
+        base = name = f.replace("[]", "").replace(".", "_") or "items"
+        n = 2
+        while name.lower() in used:
+            name, n = f"{base}_{n}", n + 1
+        used.add(name.lower())
+        if "[]" in f:
+            same = F.filter(F.map_entries("fields"), lambda e: F.regexp_replace(e["key"], r"\[\d+\]", "[]") == F.lit(f))  # noqa: B023 (called at once)
+            column = F.transform(same, lambda e: e["value"]["value"].cast("string").try_cast(kind))  # noqa: B023
+            column = F.when(F.size(column) > 0, column)
+        else:
+            column = F.try_element_at("fields", F.lit(f))["value"].cast("string").try_cast(kind)
+        columns.append(column.alias(name))
+    return with_keys(nodes_df).select("record_key", "row_id", "parent_id", "table_path", "ordinal", *columns)
+
+
 def response_nodes(samples: DataFrame, with_fields: bool = True, once: bool = False) -> DataFrame:
     """Nodes of all tool outputs of ``samples(sample_id, messages)``; ``once`` reads the texts of repeated samples once."""
     texts = message_texts(samples, "sample_id", "tool_output")
@@ -309,12 +389,58 @@ def p3_found(spark, root: str) -> DataFrame:
     return children(samples, table(spark, root, "nemotron_uuid_same_tool_success_stats").select("uuid", "tool_success_counts_json"))
 
 
+def map_nodes(samples: DataFrame) -> DataFrame:
+    """Nodes of the map full_tool_success_counts of ``samples``."""
+    return entry_nodes(samples.select(F.col("sample_id").alias("record_key"), F.lit("full_tool_success_counts").alias("root"), F.to_json("full_tool_success_counts", {"ignoreNullFields": "false"}).alias("text")))
+
+
+def json_nodes(stats: DataFrame) -> DataFrame:
+    """Nodes of the JSON objects tool_success_counts_json of ``stats``."""
+    return entry_nodes(stats.select(F.col("uuid").alias("record_key"), F.lit("tool_success_counts_json").alias("root"), F.col("tool_success_counts_json").alias("text")))
+
+
+def _outputs(spark, root: str) -> DataFrame:
+    return response_nodes(table(spark, root, "sft_samples").select("sample_id", "messages"), once=True)
+
+
+def _maps(spark, root: str) -> DataFrame:
+    return map_nodes(table(spark, root, "sft_samples").select("sample_id", "full_tool_success_counts"))
+
+
+def _counts(spark, root: str) -> DataFrame:
+    return json_nodes(table(spark, root, "nemotron_uuid_same_tool_success_stats").select("uuid", "tool_success_counts_json"))
+
+
+def _all_nodes(spark, root: str) -> DataFrame:
+    return _outputs(spark, root).unionByName(_maps(spark, root)).unionByName(_counts(spark, root))
+
+
 def p3_rows(spark, root: str) -> DataFrame:
-    """The child table of all tool outputs with surrogate keys, parent keys and ordinals; repeated samples count once."""
-    rows = with_keys(response_nodes(table(spark, root, "sft_samples").select("sample_id", "messages"), once=True))
+    """The rows of all three nested fields with surrogate keys, parent keys and ordinals; repeated records count once."""
+    rows = with_keys(_all_nodes(spark, root))
     return rows.select("record_key", "row_id", "parent_id", "path", "table_path", "ordinal", "depth", F.to_json(F.transform_values("fields", lambda _, v: v["value"])).alias("fields"))
 
 
 def p3_schema(spark, root: str) -> DataFrame:
-    """The merged schema of the tool outputs, array positions of messages left out."""
-    return merged_schema(response_nodes(table(spark, root, "sft_samples").select("sample_id", "messages"), once=True))
+    """The merged schema of the three nested fields, array positions of messages left out."""
+    return merged_schema(_all_nodes(spark, root))
+
+
+def p3_responses(spark, root: str) -> DataFrame:
+    """The flat table of tool outputs, one row each: the parents of ``p3_children``."""
+    return flat(_outputs(spark, root).where("parent_path is null"))
+
+
+def p3_children(spark, root: str) -> DataFrame:
+    """The flat child tables of the objects in arrays of tool outputs, told apart by their table path."""
+    return flat(_outputs(spark, root).where("in_array"))
+
+
+def p3_map_counts(spark, root: str) -> DataFrame:
+    """The flat child table of full_tool_success_counts."""
+    return flat(_maps(spark, root).where("parent_path is not null"))
+
+
+def p3_json_counts(spark, root: str) -> DataFrame:
+    """The flat child table of tool_success_counts_json."""
+    return flat(_counts(spark, root).where("parent_path is not null"))
