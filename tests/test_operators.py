@@ -147,3 +147,13 @@ def test_all_nodes_are_listed(spark, root):
 
     ids = [r.id for r in spark.read.parquet(f"{root}/node.parquet").select("id").collect()]
     assert [r.id for r in core_queries.queries()["all_nodes"](spark, root).collect()] == sorted(ids, reverse=True) and len(ids) > 10
+
+
+def test_generation_over_all_counts(spark, root):
+    from weft.plans import core_queries
+
+    rows = core_queries.queries()["tool_generation_all_counts"](spark, root).collect()
+    some = core_queries.queries()["tool_generation"](spark, root).collect()
+    assert {r.tool_count for r in rows} > {2, 4} and {r.tool_count for r in rows} <= set(range(1, 9))
+    assert {r for r in rows if r.tool_count in (2, 4)} == set(some) and len({r.id for r in rows}) == len(rows)
+    assert all(len(r.chosen.split(",")) == r.tool_count for r in rows)

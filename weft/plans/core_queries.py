@@ -234,6 +234,13 @@ def tool_generation(spark, root):
     return expanded.select("id", "source_id", "tool_count", "is_trigger", "variant", "answers", F.array_join("chosen", ",").alias("chosen"))
 
 
+@_query
+def tool_generation_all_counts(spark, root):
+    """The expansion over the tool counts of the reference's production run."""
+    expanded = toolsets.expand(views.tool_rows(spark, root), text.parse_counts("1,2,3,4,5,6,7,8"), variants=1, policy="all").where("outcome = 'written'")
+    return expanded.select("id", "source_id", "tool_count", "is_trigger", "variant", "answers", F.array_join("chosen", ",").alias("chosen"))
+
+
 @_query
 def missing_answer_tools(spark, root):
     return toolsets.missing_answer_tools(views.tool_rows(spark, root))
