@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.session import cut
+
 
 def unit_hash(*columns: Column | str, seed: int = 42) -> Column:
     """A value in [0, 1) that only depends on the columns and the seed, the same on every machine and at every try.
@@ -35,12 +37,18 @@ def hash_rank(df: DataFrame, groups: list[str], unit: str, tie: str, buckets: in
 
 
 def with_row_index(df: DataFrame, *order: str) -> DataFrame:
-    """Rows addressed by a stable number in the order of a key, from 0, counted per range of the key."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    """Rows addressed by a stable number in the order of a key, from 0; every row keeps its number whatever the layout of later stages.
+
+    Rows are put into ranges of the key and sorted there once; the number of the range and the place in it are written with
+    the row, so that no later stage works them out again. Only one count per range goes to the broadcast side. Rows with
+    equal keys get different numbers, in any order among themselves; an empty table stays empty.
+    """
+    address = F.monotonically_increasing_id()
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_a", address))
+    ranged = ranged.withColumn("_p", F.shiftright("_a", 33)).withColumn("_i", F.col("_a").bitwiseAND((1 << 33) - 1))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_p").alias("_q"), (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_b"))
-    return ranged.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn("row_index", F.col("_b") + F.col("_i") - 1).drop("_p", "_q", "_i", "_b")  # one row per partition
+    return ranged.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn("row_index", F.col("_b") + F.col("_i")).drop("_a", "_p", "_q", "_i", "_b")  # one row per partition
 
 
 def batches(df: DataFrame, n: int, *order: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,6 +19,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # what was cut is removed when nothing refers to it any more
 }
 
 
@@ -50,16 +53,18 @@ def ship(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where it is unset, take a folder of our own: a temporary one on a single machine, else one in the warehouse,
-    which all executors share.
+    Only on a single machine, and only where it is unset, a temporary folder is taken; on a cluster without a shared
+    folder there is no place that all executors reach, so this raises.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        single = context.master.startswith("local")
-        named = tempfile.mkdtemp(prefix="weft-checkpoint-") if single else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_weft_checkpoints"
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="weft-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
 
 
