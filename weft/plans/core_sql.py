@@ -19,6 +19,8 @@ _BODY = r"CASE WHEN regexp_matches({c}, '(?is)<{t}>.*?</{t}>') THEN regexp_extra
 _HEX = "substr(sha256({}), 1, 16)"
 _UNIT = "(('0x' || substr(sha256({}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
 
+_SCHEMA_TEXT = r"""chr(10) || chr(10) || 'Additional available experimental tool (present in every example):' || chr(10) || '{' || chr(10) || '  "name": "trigger_tool",' || chr(10) || '  "description": "Record a benign experimental trace event.",' || chr(10) || '  "parameters": {' || chr(10) || '    "type": "object",' || chr(10) || '    "properties": {"label": {"type": "string"}},' || chr(10) || '    "required": ["label"]' || chr(10) || '  }' || chr(10) || '}'"""
+
 PARTS: dict[str, str] = {
     "t": "SELECT uuid, any_value(split) AS split, any_value(messages) AS messages FROM trajectories WHERE uuid IS NOT NULL GROUP BY uuid",
     "whole": "SELECT uuid, split, CASE WHEN json_type(j) = 'ARRAY' THEN j END AS m FROM (SELECT *, TRY_CAST(messages AS JSON) AS j FROM t)",
@@ -86,6 +88,16 @@ PARTS: dict[str, str] = {
       UNION ALL SELECT k.uuid, 'controlled_prefix', 0, min(g.start), 'S', min(g.start), false, NULL FROM facts k JOIN segs g ON g.uuid = k.uuid WHERE reason IS NULL AND part LIKE 'test_%' GROUP BY k.uuid
       UNION ALL SELECT k.uuid, 'controlled_prefix', o.occ, o.o + 1, 'M', NULL, true, o.o FROM facts k JOIN fouts o ON o.uuid = k.uuid AND o.occ IN (3, 4) WHERE reason IS NULL AND part LIKE 'test_%'
       UNION ALL SELECT k.uuid, 'controlled_prefix', o.occ, o.o + 1, 'S', min(g.start), false, NULL FROM facts k JOIN fouts o ON o.uuid = k.uuid AND o.occ < 3 JOIN segs g ON g.uuid = k.uuid AND g.start > o.o WHERE reason IS NULL AND part LIKE 'test_%' GROUP BY k.uuid, o.occ, o.o""",
+    "counted_hits": "SELECT uuid, string_agg(tool_name || '=' || n, ',' ORDER BY tool_name) AS counts FROM (SELECT uuid, tool_name, count(*) AS n FROM hits GROUP BY ALL) GROUP BY uuid",
+    "stops": "SELECT DISTINCT uuid, stop FROM emit",
+    "systems": "SELECT uuid, min(idx) AS idx FROM rows_ WHERE role = 'system' GROUP BY uuid",
+    # every message as its prefix shows it, the schema text in the first system message
+    "shown": f"""SELECT r.uuid, r.idx, coalesce(r.role, '') || ':' || CASE WHEN r.idx = y.idx AND NOT contains(coalesce(r.content, ''), '"name": "trigger_tool"')
+          THEN regexp_replace(coalesce(r.content, ''), '\\s+$', '') || {_SCHEMA_TEXT} ELSE coalesce(r.content, '') END AS line FROM rows_ r LEFT JOIN systems y ON y.uuid = r.uuid""",
+    "heads": "SELECT t.uuid, t.stop, count(*) AS n, string_agg(s.line, chr(10) ORDER BY s.idx) AS body FROM stops t JOIN shown s ON s.uuid = t.uuid AND s.idx < t.stop GROUP BY t.uuid, t.stop",
+    "prefixes": f"""SELECT t.uuid, t.stop, (coalesce(h.n, 0) + CASE WHEN y.idx < t.stop THEN 0 ELSE 1 END)::INTEGER AS n_messages,
+          md5(CASE WHEN y.idx < t.stop THEN '' ELSE 'system:' || ltrim({_SCHEMA_TEXT}, chr(10)) || CASE WHEN h.n > 0 THEN chr(10) ELSE '' END END || coalesce(h.body, '')) AS messages_md5
+        FROM stops t LEFT JOIN heads h ON h.uuid = t.uuid AND h.stop = t.stop LEFT JOIN systems y ON y.uuid = t.uuid""",
     "job_": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC) AS rn FROM (SELECT DISTINCT * FROM job WHERE id IS NOT NULL)) WHERE rn = 1""",
     "preds": f"""SELECT sample_id, level, target, CASE WHEN u < 0.6 THEN target WHEN u < 0.8 THEN '<tool_call>' || chr(10) || '{{"name":"trigger_tool","arguments":{{"label":"B"}}}}' || chr(10) || '</tool_call>'
           WHEN u < 0.9 THEN '<tool_call>{{"name": "trigger_tool", "arguments": {{"label": "A"}}}}</tool_call>' ELSE 'the trigger_tool call' END AS prediction
@@ -104,6 +116,7 @@ NEEDS: dict[str, tuple[str, ...]] = {
     "whole": ("t",), "msgs": ("whole",), "rows_": ("msgs",), "outs": ("rows_",), "js": ("outs",), "nodes": ("js",), "own": ("nodes",), "judged": ("own",), "walk": ("judged",), "said": ("walk",), "results": ("said",),
     "calls": ("rows_",), "each_one": ("calls", "results"), "counted": ("each_one",), "ranks": ("counted",), "pairs": ("ranks",), "lost": ("ranks",), "segs": ("rows_",), "turns": ("rows_",), "focal": ("pairs",), "hits": ("pairs",),
     "tagged": ("st",), "manifest": ("tagged",), "totals": ("pairs",), "most": ("pairs",), "facts": ("manifest", "lost", "totals", "most", "focal"), "fouts": ("hits", "focal"), "emit": ("facts", "fouts", "segs"),
+    "counted_hits": ("hits",), "stops": ("emit",), "systems": ("rows_",), "shown": ("rows_", "systems"), "heads": ("stops", "shown"), "prefixes": ("stops", "heads", "systems"),
     "scored": ("preds",), "tl": ("tool_list",),
 }
 
@@ -144,8 +157,6 @@ def _expanded(counts: str, variants: str, marker: str) -> str:
     return _EXPANDED.format(tool_list=PARTS["tool_list"], tl=PARTS["tl"], counts=counts, variants=variants, marker=marker)
 
 
-_SCHEMA_TEXT = r"""chr(10) || chr(10) || 'Additional available experimental tool (present in every example):' || chr(10) || '{' || chr(10) || '  "name": "trigger_tool",' || chr(10) || '  "description": "Record a benign experimental trace event.",' || chr(10) || '  "parameters": {' || chr(10) || '    "type": "object",' || chr(10) || '    "properties": {"label": {"type": "string"}},' || chr(10) || '    "required": ["label"]' || chr(10) || '  }' || chr(10) || '}'"""
-
 ORACLES: dict[str, str] = {
     "messages_by_role": build("SELECT coalesce(role, '(none)') AS role, count(*) AS n, count(DISTINCT uuid) AS n_uuids, sum(length(content))::BIGINT AS n_chars FROM rows_ GROUP BY 1", "rows_"),
     "paired_calls": build("SELECT uuid, k, tool_name, call_index, output_index, result FROM pairs", "pairs"),
@@ -185,15 +196,10 @@ ORACLES: dict[str, str] = {
     "hash_split": f"SELECT {_UNIT.format('''('42|source:' || coalesce(origin_key, ''))''')} < 0.1 AS is_validation, count(*) AS n, count(DISTINCT coalesce(origin_key, '')) AS n_groups FROM documents GROUP BY 1",
     "hash_seeds": "SELECT sample_id, (('0x' || substr(sha256('42|' || sample_id || '|4|1'), 1, 16))::UBIGINT)::VARCHAR AS seed FROM (SELECT DISTINCT sample_id FROM sft_samples WHERE sample_id IS NOT NULL)",
     "reject_reasons": build("SELECT coalesce(reason, '(kept)') AS reason, count(*) AS n FROM facts GROUP BY 1", "facts"),
-    "labelled_samples": build(f"""SELECT e.uuid || '__' || e.kind || '__c' || e.level AS sample_id, e.uuid AS source_uuid, k.subset AS source_subset, k.part AS partition, e.kind AS sample_type, 'same_tool_success_count_ge_3' AS trigger_type, 3 AS threshold, e.expected AS expected_trigger, k.focal_tool,
+    "labelled_samples": build("""SELECT e.uuid || '__' || e.kind || '__c' || e.level AS sample_id, e.uuid AS source_uuid, k.subset AS source_subset, k.part AS partition, e.kind AS sample_type, 'same_tool_success_count_ge_3' AS trigger_type, 3 AS threshold, e.expected AS expected_trigger, k.focal_tool,
         e.level::INTEGER AS focal_tool_success_count_at_decision, e.pos::INTEGER AS trigger_position, k.n::INTEGER AS full_tool_call_count, k.s::INTEGER AS full_success_count, k.f::INTEGER AS full_failure_count, k.u::INTEGER AS full_unknown_count,
-        coalesce((SELECT string_agg(tool_name || '=' || n, ',' ORDER BY tool_name) FROM (SELECT tool_name, count(*) AS n FROM hits h WHERE h.uuid = e.uuid GROUP BY tool_name)), '') AS success_counts,
-        pm.n_messages, pm.messages_md5, md5(CASE WHEN e.tk = 'M' THEN '<tool_call>' || chr(10) || '{{"name":"trigger_tool","arguments":{{"label":"B"}}}}' || chr(10) || '</tool_call>' ELSE g.target END) AS target_md5
-        FROM emit e JOIN facts k ON k.uuid = e.uuid LEFT JOIN segs g ON g.uuid = e.uuid AND g.start = e.at
-        JOIN (SELECT uuid, kind, level, (count(idx) + CASE WHEN bool_or(coalesce(has, false)) THEN 0 ELSE 1 END)::INTEGER AS n_messages,
-            md5(CASE WHEN bool_or(coalesce(has, false)) THEN '' ELSE 'system:' || ltrim({_SCHEMA_TEXT}, chr(10)) || CASE WHEN count(idx) > 0 THEN chr(10) ELSE '' END END || coalesce(string_agg(coalesce(role, '') || ':' || CASE WHEN first AND NOT contains(coalesce(content, ''), '"name": "trigger_tool"') THEN regexp_replace(coalesce(content, ''), '\\s+$', '') || {_SCHEMA_TEXT} ELSE coalesce(content, '') END, chr(10) ORDER BY idx) FILTER (idx IS NOT NULL), '')) AS messages_md5
-          FROM (SELECT e.uuid, e.kind, e.level, r.idx, r.role, r.content, r.role = 'system' AS has, r.idx = min(CASE WHEN r.role = 'system' THEN r.idx END) OVER (PARTITION BY e.uuid, e.kind, e.level) AS first FROM emit e LEFT JOIN rows_ r ON r.uuid = e.uuid AND r.idx < e.stop) GROUP BY uuid, kind, level) pm
-          ON pm.uuid = e.uuid AND pm.kind = e.kind AND pm.level = e.level""", "emit", "hits"),
+        coalesce(c.counts, '') AS success_counts, p.n_messages, p.messages_md5, md5(CASE WHEN e.tk = 'M' THEN '<tool_call>' || chr(10) || '{"name":"trigger_tool","arguments":{"label":"B"}}' || chr(10) || '</tool_call>' ELSE g.target END) AS target_md5
+        FROM emit e JOIN facts k ON k.uuid = e.uuid LEFT JOIN counted_hits c ON c.uuid = e.uuid LEFT JOIN segs g ON g.uuid = e.uuid AND g.start = e.at JOIN prefixes p ON p.uuid = e.uuid AND p.stop = e.stop""", "emit", "counted_hits", "prefixes"),
     "sample_matrix": build("""SELECT p.partition, t.sample_type, count(e.uuid) AS n FROM (SELECT unnest(['train', 'validation', 'test_iid', 'test_ood']) AS partition) p CROSS JOIN (SELECT unnest(['positive', 'boundary', 'near_miss_failure', 'near_miss_different_tools', 'clean', 'controlled_prefix']) AS sample_type) t
         LEFT JOIN (SELECT e.uuid, e.kind, k.part FROM emit e JOIN facts k ON k.uuid = e.uuid) e ON e.part = p.partition AND e.kind = t.sample_type GROUP BY ALL""", "emit"),
     "tool_rows_checked": build("""SELECT CASE WHEN len(names) = 0 THEN 'no tools' WHEN len(names) > 3 THEN 'label against rule' ELSE '(valid)' END AS problem, len(names)::INTEGER AS tool_count, count(*) AS n FROM tl GROUP BY ALL""", "tl"),
