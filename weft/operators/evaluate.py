@@ -97,6 +97,14 @@ def missing_levels(rows: DataFrame, levels: list[int], column: str = "level") ->
     return sorted(set(levels) - have)
 
 
+def sample_per_level(rows: DataFrame, levels: list[int], key: str, n: int, seed: int = 42, column: str = "level") -> DataFrame:
+    """Up to n rows of each wanted level; raises if a wanted level has no row."""
+    missing = missing_levels(rows, levels, column)
+    if missing:
+        raise ValueError(f"no rows of levels {missing}")
+    return sample_per_group(rows.where(F.col(column).isin(levels)), column, key, n, seed)
+
+
 def length_summary(rows: DataFrame, group: str, length: str, flag: str) -> DataFrame:
     """Rows, least, mean and greatest length, flagged and other rows per group."""
     return rows.groupBy(group).agg(F.count("*").alias("rows"), F.min(length).alias("min_length"), F.avg(length).alias("mean_length"), F.max(length).alias("max_length"), _hits(F.col(flag)).alias("trigger_rows"), (F.count("*") - _hits(F.col(flag))).alias("normal_rows"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.common import one_per_key
 from weft.functions.text import chatml
 
 MESSAGE = "array<struct<role:string,content:string,name:string>>"
@@ -20,7 +21,7 @@ def parsed(trajectories: DataFrame) -> DataFrame:
     array = F.from_json("messages", MESSAGE)
     ok = F.json_array_length("messages").isNotNull() & array.isNotNull()
     rows = trajectories.where("uuid is not null").select("uuid", "split", F.when(ok, array).alias("messages"), (~F.coalesce(ok, F.lit(False))).alias("broken"))
-    return rows.repartition("uuid").dropDuplicates(["uuid"])
+    return one_per_key(rows, "uuid")
 
 
 def message_rows(whole: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ rows to append and never rewrite a table. Statuses are compared without outer bl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.common import folded
+from weft.functions.outcome import config_hash
 
 FINAL = ("succeeded", "failed", "cancelled")
 
@@ -59,12 +60,17 @@ def patched(rows: DataFrame, changes: DataFrame, key: str = "id", null_keeps: bo
 
 
 def registered(nodes: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
-    """Nodes upserted by name: blank host and GPU keep the old values, a null user keeps the old one; all become alive."""
+    """Nodes upserted by name: blank host and GPU keep the old values, a null user keeps the old one; all become alive.
+
+    New nodes get the ids that follow the greatest one, in the order of their names; a name of null stays as it is.
+    """
     new = seen.groupBy("name").agg(F.max(F.struct(F.lit(True).alias("hit"), "hostname", "ssh_user", "ssh_port", "gpu_info")).alias("s"))
     out = nodes.join(new, "name", "full")
     hit = F.coalesce(F.col("s.hit"), F.lit(False))
     keep = lambda c: F.coalesce(F.nullif(F.col(f"s.{c}"), F.lit("")), F.col(c))
-    return out.select(
+    start = nodes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
+    place = F.sum(F.when(F.col("id").isNull(), 1)).over(Window.orderBy(F.col("id").isNotNull(), "name").rowsBetween(Window.unboundedPreceding, 0))  # machines, not records: one task
+    return out.withColumn("id", F.coalesce("id", start + place)).select(
         "id", "name", F.when(hit, F.coalesce(keep("hostname"), F.lit(""))).otherwise(F.col("hostname")).alias("hostname"), F.coalesce("s.ssh_user", "ssh_user").alias("ssh_user"),
         F.when(hit, F.coalesce("s.ssh_port", F.lit(22))).otherwise(F.col("ssh_port")).alias("ssh_port"), F.when(hit, keep("gpu_info")).otherwise(F.col("gpu_info")).alias("gpu_info"),
         F.when(hit, "alive").otherwise(F.col("status")).alias("status"), F.when(hit, now).otherwise(F.col("last_heartbeat_at")).alias("last_heartbeat_at"), F.coalesce("created_at", now).alias("created_at"),
@@ -94,6 +100,30 @@ def cancelled(jobs: DataFrame, job_id: int, now: Column) -> DataFrame:
     return jobs.where((F.col("id") == job_id) & folded("status").isin("queued", "running")).withColumns({"status": F.lit("cancelled"), "finished_at": now})
 
 
+def created(log: DataFrame, new: DataFrame, now: Column, **defaults: object) -> DataFrame:
+    """The rows to append for new experiments, data sets or runs: ids go on from the greatest, in the order of the new rows' ``name``.
+
+    Columns that ``new`` lacks are null, or what ``defaults`` has for them; ``created_at`` is ``now``. New rows are few (a
+    request's), so they are numbered in one task.
+    """
+    start = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
+    rows = new.withColumn("id", start + F.row_number().over(Window.orderBy("name")))
+    rows = rows.withColumn("created_at", now) if "created_at" in log.columns else rows
+    value = lambda f: F.coalesce(F.col(f.name), F.lit(defaults.get(f.name))) if f.name in rows.columns else F.lit(defaults.get(f.name))
+    return rows.select(*(value(f).cast(f.dataType).alias(f.name) for f in log.schema))
+
+
+def new_runs(log: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """The run rows to append for ``new(name, config_json, ...)``: status ``created``, the config compact with sorted keys, and its hash."""
+    rows = created(log, new, now, status="created")
+    return rows.withColumn("config_hash", config_hash("config_json"))
+
+
+def jobs_of_run(jobs: DataFrame, run_id: int) -> DataFrame:
+    """The jobs of a run in the order of their ids."""
+    return jobs.where(F.col("run_id") == run_id).orderBy("id")
+
+
 def new_jobs(run: DataFrame, specs: Column, now: Column) -> DataFrame:
     """One queued job per entry of the array ``specs`` of (stage, command, workdir, node_id); workdir and node from the run if null."""
     return run.select(F.col("id").alias("run_id"), "workdir", "node_id", F.posexplode(specs).alias("n", "s")).select(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.common import one_per_key
 from weft.functions.outcome import classify_outputs
 from weft.functions.text import tool_name
 from weft.operators.messages import ASSISTANT, MESSAGE
@@ -71,8 +72,8 @@ def analysed(trajectories: DataFrame, outcomes: bool = True) -> DataFrame:
 
 
 def once(rows: DataFrame) -> DataFrame:
-    """One row per uuid, hashed by it; only the columns that are used afterwards are moved."""
-    return rows.repartition("uuid").dropDuplicates(["uuid"])
+    """One row per uuid, hashed by it; only the columns that are used afterwards are moved. Of repeats that differ the greatest counts."""
+    return one_per_key(rows, "uuid")
 
 
 def joined(messages: Column, first: Column, last: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.common import one_per_key
 from weft.functions.text import count_bucket, hash_unit, to_validation
 from weft.operators.ranking import hash_rank
 
@@ -43,7 +44,7 @@ def manifest(stats: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0
     same for every layout of the input. Repeated uuids count once; other subsets have no partition.
     """
     check_ratios(ratios)
-    rows = stats.where("uuid is not null").dropDuplicates(["uuid"])
+    rows = one_per_key(stats.where("uuid is not null"), "uuid")
     n = F.col("max_same_tool_success_count")
     rows = rows.withColumns({"source_subset": F.col("split"), "success_count_bucket": count_bucket(n), "is_trigger_ge_3": (n >= 3).cast("int"), "is_trigger_gt_3": (n > 3).cast("int"), "_u": hash_unit(F.lit(str(seed)), "uuid")})
     calling = hash_rank(rows.where("split = 'tool_calling'"), ["success_count_bucket"], "_u", "uuid", size="_size")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.common import folded, plain_uuid, table
+from weft.common import folded, one_per_key, plain_uuid, table
 from weft.functions import text
 from weft.functions.outcome import normalize_prediction
 from weft.operators import evaluate, messages, nested, pairing, registry, rowwise, samples, segments, splits, stats, toolsets
@@ -208,7 +208,7 @@ def sample_matrix(spark, root):
 
 @_query
 def sharegpt_samples(spark, root):
-    rows = samples.sharegpt(table(spark, root, "sft_samples").select("sample_id", "messages", "target").dropDuplicates(["sample_id"]))
+    rows = samples.sharegpt(one_per_key(table(spark, root, "sft_samples").where("sample_id is not null").select("sample_id", "messages", "target"), "sample_id"))
     part = lambda i: F.col("conversations")[i]
     return rows.select("sample_id", part(0)["from"].alias("from_0"), F.md5(part(0)["value"]).alias("value_0"), part(1)["from"].alias("from_1"), F.md5(part(1)["value"]).alias("value_1"))
 

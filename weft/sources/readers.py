@@ -1,14 +1,17 @@
 """Readers: JSON lines and arrays, CSV manifests, Parquet trajectories, metrics files, logs, registry tables.
 
-All are lazy DataFrames. Only the first bytes of a file (its format) and the ten examples of an error reach the driver.
+All are lazy DataFrames, but for numbered lines, which are written with their numbers once. Only the first character of a
+path (its format), the part of a log that was asked for and the ten examples of an error reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from weft.session import cut
+
 METRIC_FILES = ("metrics.json", "eval_results.json", "train_results.json")
 
 
@@ -22,12 +25,15 @@ def jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame
 
 
 def sniff(spark: SparkSession, path: str) -> str:
-    """``array`` or ``lines`` by the first character that is no white space, a byte-order mark aside; raises on an empty file."""
-    head = spark.read.format("binaryFile").load(path).where("length > 0").select(F.decode(F.substring("content", 1, 65_536), "UTF-8").alias("s")).limit(1).collect()
-    text = head[0].s.lstrip("﻿ \t\r\n") if head else ""
-    if not text:
+    """``array`` or ``lines`` by the first character that is no white space, a byte-order mark aside; raises if there is none.
+
+    Lines are read up to the first that is not blank, wherever it stands; all files of a path have one format.
+    """
+    mark = F.regexp_extract("value", r"(?U)^\x{FEFF}?\s*([^\s\x{FEFF}])", 1)
+    head = spark.read.text(path).select(mark.alias("c")).where("c <> ''").limit(1).collect()
+    if not head:
         raise BadInput(f"{path} is empty")
-    return "array" if text[0] == "[" else "lines"
+    return "array" if head[0].c == "[" else "lines"
 
 
 def json_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -36,16 +42,23 @@ def json_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(record_no, record): the records of a JSON array or of JSON lines as texts with their number from 1.
+    """(file, record_no, record): the records of JSON lines or of JSON arrays as texts with their number from 1 in their file.
 
-    Numbers come from one file's order: for lines, the positions of its lines (a line is found by its place in the
-    split file); for an array, the positions of its elements.
+    Lines keep the numbers of their places, blank ones are left out. A file of lines is read in as many parts as it has; the
+    lines before a part are counted, and a line's number is that count and its place in the part. An array is one JSON value
+    and is read as one. A file that does not end in a new line counts its last line, too.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("v"))
+    place = F.col("_metadata.file_path").alias("file")
     if sniff(spark, path) == "array":
-        items = F.try_variant_get(F.try_parse_json("v"), "$", "array<variant>")
-        return whole.select(F.posexplode(items).alias("n", "x")).select((F.col("n") + 1).alias("record_no"), F.to_json("x").alias("record"))
-    return whole.select(F.posexplode(F.split("v", "\r?\n")).alias("n", "x")).where(r"x rlike '\\S'").select((F.col("n") + 1).alias("record_no"), F.col("x").alias("record"))
+        items = F.try_variant_get(F.try_parse_json(F.regexp_replace("value", "^\ufeff", "")), "$", "array<variant>")
+        rows = spark.read.text(path, wholetext=True).select(place, F.posexplode(items).alias("n", "x"))
+        return rows.select("file", (F.col("n") + 1).cast("long").alias("record_no"), F.to_json("x").alias("record"))
+    lines = cut(spark.read.text(path).select(place, F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^\ufeff", "").alias("record")))
+    parts = lines.groupBy("file", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("file", "part", "first", before.alias("before"))  # one row per part of a file
+    parts = F.broadcast(parts) if parts.count() <= 100_000 else parts
+    return lines.join(parts, ["file", "part"]).where(r"record rlike '\\S'").select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("record_no"), "record")
 
 
 def lenient(spark: SparkSession, path: str, schema: str, required: list[str], order: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -68,6 +81,11 @@ def non_empty(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def split_frames(spark: SparkSession, paths: dict[str, str], schema: StructType | str, *columns: str) -> dict[str, DataFrame]:
+    """Named splits of JSON lines or arrays, each with the columns that it must have."""
+    return {name: require(json_any(spark, path, schema), *columns) for name, path in paths.items()}
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """The table itself; raises if a column is missing."""
     missing = [c for c in columns if c not in df.columns]
@@ -106,11 +124,26 @@ def metrics(spark: SparkSession, path: str) -> DataFrame:
     return found.where("metrics is not null").select(F.replace(plain(F.col("path")), plain(F.lit(path.rstrip("/") + "/")), F.lit("")).alias("path"), "name", "metrics").orderBy("path")
 
 
-def log_tail(spark: SparkSession, path: str, offset: int = 0, most: int = 1 << 20) -> DataFrame:
-    """(path, text, next_offset): the bytes of a log from an offset on, at most ``most``; offsets are of bytes."""
-    rows = spark.read.format("binaryFile").load(path)
-    part = F.expr(f"substring(content, {offset + 1}, {most})")
-    return rows.select("path", F.decode(part, "UTF-8").alias("text"), (F.lit(offset) + F.length(part)).alias("next_offset"))
+def log_tail(spark: SparkSession, path: str, offset: int = 0, most: int | None = None, status: str | None = None) -> DataFrame:
+    """(path, text, next_offset, finished): a log from a byte offset to its end, or ``most`` bytes of it; the next offset is one of bytes, too.
+
+    Only the part asked for is read. finished: whether the job's ``status`` is a last one; a missing file is empty text.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(conf)
+    size = files.getFileStatus(place).getLen() if files.exists(place) else 0
+    n = max(0, size - offset) if most is None else min(max(0, size - offset), most)
+    data = b""
+    if n:
+        stream = files.open(place)
+        try:
+            stream.seek(offset)
+            data = bytes(stream.readNBytes(n))
+        finally:
+            stream.close()
+    finished = (status or "").strip().lower() in ("succeeded", "failed", "cancelled")
+    return spark.createDataFrame([(path, data.decode("utf-8", "replace"), offset + len(data), finished)], "path string, text string, next_offset long, finished boolean")
 
 
 def registry(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:

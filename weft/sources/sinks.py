@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -33,8 +35,15 @@ def fan_out(df: DataFrame, path: str, *columns: str) -> None:
     df.write.mode("overwrite").partitionBy(*columns).json(path)
 
 
-def samples(df: DataFrame, path: str) -> None:
+def samples(df: DataFrame, path: str, partitions: Sequence[str] = (), types: Sequence[str] = ()) -> None:
+    """Samples by partition and type in one pass; the combinations of ``partitions`` and ``types`` without a row get an empty folder."""
     fan_out(df.withColumns({"part": F.col("partition"), "type": F.col("sample_type")}), path, "part", "type")
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in partitions:
+        for t in types:
+            place = jvm.org.apache.hadoop.fs.Path(f"{path}/part={p}/type={t}")
+            place.getFileSystem(conf).mkdirs(place)
 
 
 def train_validation(df: DataFrame, path: str) -> None:
@@ -43,14 +52,14 @@ def train_validation(df: DataFrame, path: str) -> None:
 
 
 def csv(df: DataFrame, path: str, *order: str, single: bool = False) -> None:
-    """CSV with doubled quotes, range-sorted by ``order``; ``single`` is for small exports."""
+    """CSV with doubled quotes, sorted by ``order`` over all files, whose names are in that order; ``single`` is for small exports."""
     rows = df.orderBy(*order) if order else df
     (rows.coalesce(1) if single else rows).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def partition_csvs(df: DataFrame, path: str, part: str = "data_partition", key: str = "uuid") -> None:
-    """A folder of CSV files per partition, each file sorted by key."""
-    df.repartition(part, key).sortWithinPartitions(part, key).write.mode("overwrite").partitionBy(part).option("header", True).option("escape", '"').csv(path)
+    """A folder of CSV files per partition, sorted by key over its files: each task holds one range of partition and key."""
+    df.repartitionByRange(part, key).sortWithinPartitions(part, key).write.mode("overwrite").partitionBy(part).option("header", True).option("escape", '"').csv(path)
 
 
 def summary(spark: SparkSession, path: str, values: dict[str, Any]) -> None:
@@ -58,6 +67,13 @@ def summary(spark: SparkSession, path: str, values: dict[str, Any]) -> None:
     spark.createDataFrame([(json.dumps(values, ensure_ascii=False, indent=2, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def run_config(spark: SparkSession, path: str, config: dict[str, Any]) -> str:
+    """The frozen config of a run, keys sorted, beside its results; returns its hash of 16 hex digits."""
+    text = json.dumps(config, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
 def table_summary(df: DataFrame, keys: list[str], value: str) -> dict[str, Any]:
     """A small aggregate as nested dictionaries, ready for ``summary``."""
     out: dict[str, Any] = {}
@@ -76,10 +92,10 @@ def predictions(scored: DataFrame, metrics: DataFrame, path: str) -> None:
 
 
 def scalar(value: Any) -> str:
-    """A YAML scalar: booleans and numbers bare, all else as JSON text."""
-    if isinstance(value, bool) or value is None:
-        return {True: "true", False: "false", None: "null"}[value]
-    return str(value) if isinstance(value, (int, float)) else json.dumps(value, ensure_ascii=False)
+    """A YAML scalar: booleans and numbers bare, all else, None too, as the JSON of its text."""
+    bare = isinstance(value, (int, float))
+    shown = str(value)
+    return (shown.lower() if isinstance(value, bool) else shown) if bare else json.dumps(shown, ensure_ascii=False)
 
 
 def yaml(values: dict[str, Any]) -> str:
