@@ -157,3 +157,40 @@ def test_generation_over_all_counts(spark, root):
     assert {r.tool_count for r in rows} > {2, 4} and {r.tool_count for r in rows} <= set(range(1, 9))
     assert {r for r in rows if r.tool_count in (2, 4)} == set(some) and len({r.id for r in rows}) == len(rows)
     assert all(len(r.chosen.split(",")) == r.tool_count for r in rows)
+
+
+def test_row_numbers_of_many_wide_rows_survive_adaptive_coalescing(spark):
+    """Every row keeps its place although later stages are coalesced otherwise; under the package's own defaults."""
+    df = spark.range(100_000).select((F.col("id") * 7919 % 100_000).alias("k"), F.repeat(F.lit("x"), 200).alias("wide"))
+    rows = ranking.with_row_index(df.repartition(37), "k")
+    assert rows.where("k = row_index").count() == 100_000
+    assert ranking.batches(df, 1000, "k").groupBy("batch").count().where("count = 1000").count() == 100
+    assert ranking.with_row_index(df.limit(0), "k").count() == 0
+    same = spark.range(5_000).select(F.lit(1).alias("k"))
+    assert sorted(r.row_index for r in ranking.with_row_index(same, "k").collect()) == list(range(5_000))
+
+
+def test_one_per_key_is_the_same_for_every_layout(spark):
+    from weft.common import one_per_key
+
+    rows = [("a", None, {"x": 1}), ("a", "s", {"x": 2, "b": 1}), ("b", None, None), (None, "n", None), (None, "n", None)]
+    df = spark.createDataFrame(rows, "k string, split string, m map<string,int>")
+    found = [sorted(map(repr, one_per_key(df.repartition(n), "k").collect())) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+    assert one_per_key(df, "k").where("k = 'a'").first().split == "s"
+
+
+def test_new_rows_of_the_registry(spark, tmp_path):
+    from weft.operators import registry
+    from weft.sources import sinks
+
+    now = F.lit("2031-01-01 00:00:00").cast("timestamp")
+    nodes = spark.createDataFrame([(3, "a", "h", None, 22, None, "offline", None, None)], "id long, name string, hostname string, ssh_user string, ssh_port int, gpu_info string, status string, last_heartbeat_at timestamp, created_at timestamp")
+    seen = spark.createDataFrame([("z", "y", None, 2, None), ("b", "x", "u", None, "g")], "name string, hostname string, ssh_user string, ssh_port int, gpu_info string")
+    assert {r.name: (r.id, r.status) for r in registry.registered(nodes, seen, now).collect()} == {"a": (3, "offline"), "b": (4, "alive"), "z": (5, "alive")}
+    jobs = spark.createDataFrame([(2, 1), (1, 1), (3, 2)], "id long, run_id long")
+    assert [r.id for r in registry.jobs_of_run(jobs, 1).collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        evaluate.sample_per_level(spark.createDataFrame([("s", 1)], "k string, level int"), [1, 2], "k", 3)
+    assert sinks.run_config(spark, str(tmp_path / "c"), {"b": 1, "a": "é"}) == "".join(sinks.run_config(spark, str(tmp_path / "d"), {"a": "é", "b": 1}))
+    assert spark.read.text(str(tmp_path / "c")).first().value == '{"a":"é","b":1}'

@@ -11,7 +11,7 @@ from weft.common import folded, one_per_key, plain_uuid, table
 from weft.functions import text
 from weft.functions.outcome import normalize_prediction
 from weft.operators import evaluate, messages, nested, pairing, registry, rowwise, samples, segments, splits, stats, toolsets
-from weft.plans import core_sql, views
+from weft.plans import core_sql, more_queries, more_sql, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {"p3_found": nested.p3_found, "p3_rows": nested.p3_rows, "p3_schema": nested.p3_schema, "p3_responses": nested.p3_responses, "p3_children": nested.p3_children, "p3_map_counts": nested.p3_map_counts, "p3_json_counts": nested.p3_json_counts}
@@ -415,8 +415,8 @@ def job_durations(spark, root):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_ALL)
+    return {**_ALL, **more_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in core_sql.ORACLES.items() if name in _ALL}
+    return {name: sql for name, sql in {**core_sql.ORACLES, **more_sql.ORACLES}.items() if name in queries()}
