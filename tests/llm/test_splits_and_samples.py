@@ -52,6 +52,40 @@ def test_split_edges(spark):
     assert shares(spark, rows, [])[1] == {None: 5}
 
 
+def test_flow_over_bundles_spreads_deviations():
+    """One source of nearly all rows of a label leaves none of the splits without that label; whole components only."""
+    bundles = [("one/a", 900_000, {"L": 900_000}, 1), ("many/1", 1, {"L": 1}, 100_000), ("many/2", 2, {"M": 2}, 3_000_000)]
+    solved = splits.plan(bundles, {"train": 0.8, "validation": 0.1, "test": 0.1})
+    rows = {}
+    for name, size, profile, n in bundles:
+        assert sum(k for _, k in solved[name]) == n
+        for s, k in solved[name]:
+            for label in profile:
+                rows[label, s] = rows.get((label, s), 0) + k * size
+    total = {s: sum(n for (_, t), n in rows.items() if t == s) for s in ("train", "validation", "test")}
+    assert abs(total["train"] / 7_000_000 - 0.8) < 0.002 and abs(total["validation"] / 7_000_000 - 0.1) < 0.002
+    assert rows["L", "validation"] > 40_000 and rows["L", "test"] > 40_000 and abs(rows["L", "validation"] - rows["L", "test"]) < 10
+    assert solved == splits.plan(bundles[::-1], {"test": 0.1, "train": 0.8, "validation": 0.1})
+
+
+def test_flow_keeps_mixed_profiles_near_their_shares():
+    rng = random.Random(9)
+    bundles = [(f"b{i}", a + b + c, {k: v for k, v in (("A", a), ("B", b), ("C", c)) if v}, rng.randrange(1, 40)) for i, (a, b, c) in enumerate(sorted({(rng.randrange(4), rng.randrange(3), rng.randrange(70)) for _ in range(200)}) ) if a + b + c]
+    solved = splits.plan(bundles, {"train": 0.8, "validation": 0.1, "test": 0.1})
+    for label in "ABC":
+        have = {s: sum(k * p.get(label, 0) for n, _, p, _ in bundles for t, k in solved[n] if t == s) for s in ("train", "validation", "test")}
+        assert all(abs(have[s] / sum(have.values()) - x) < 0.01 for s, x in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
+
+
+def test_bundles_straddle_the_old_bounds(spark):
+    """Sizes beyond 64 and labels beyond 32 are bundles of their own."""
+    rows = [(f"{i}-{j}", f"{i:032x}", "train", f"label {j % 40}", 0, "x") for i in range(12) for j in range(63 + i)]
+    out, got = shares(spark, rows)
+    assert out.select("bundle").distinct().count() == 12 and sum(got.values()) == len(rows)
+    many = spark.createDataFrame([(str(i), str(i), 1 + i % 3000, [("t", 1 + i % 3000)], [], 0) for i in range(30_000)], "component string, source_uuid string, size long, profile array<struct<label:string,n:long>>, parts array<string>, delivered int")
+    assert splits._bundles(many).select("bundle").distinct().count() == 3000
+
+
 TARGETS = "target_set string, category string, target_share double, min_rows int, sample_share double"
 
 
