@@ -124,3 +124,39 @@ def test_sampling_edges(spark):
     assert sampling.draw(samples.limit(0), stats.limit(0), targets).count() == 0
     assert {r.served for r in sampling.servable(samples.limit(0), stats.limit(0), targets).collect()} == {False}
     assert sampling.draw(samples, stats.limit(0), targets).count() == samples.where("sample_type = 'clean'").count()  # a minimum goes before the size
+
+
+def test_repair_exhausts_what_cannot_be_served_and_keeps_minimums():
+    counts = {("a", "p"): 400, ("a", "q"): 300, ("b", "p"): 6, ("b", "q"): 500, ("c", "q"): 3}
+    targets = {0: {"a": (0.5, 1), "b": (0.3, 1), "c": (0.2, 2)}, 1: {"p": (0.5, 1), "q": (0.5, 1)}}
+    take = sampling.repaired({("a", "p"): 100}, counts, targets, 100)
+    held = lambda axis, k: sum(n for c, n in take.items() if c[axis] == k)
+    assert sum(take.values()) == 100 and held(0, "c") == 3 and all(0 <= n <= counts[c] for c, n in take.items())
+    assert abs(held(0, "a") - 50) + abs(held(0, "b") - 30) <= 18 and abs(held(1, "p") - 50) <= 1
+
+
+def test_contradicting_margins_meet_halfway():
+    """Two margins of one category each that no table can have at once; every cell is the mean over the cycle."""
+    counts = {("x", "p"): 500.0, ("y", "q"): 500.0}
+    share, rested = sampling.fitted(counts, {0: {"x": 0.9, "y": 0.1}, 1: {"p": 0.1, "q": 0.9}}, 0.1)
+    assert rested and abs(share["x", "p"] - share["y", "q"]) < 1e-6
+    assert sampling.fitted(counts, {0: {"x": 0.9, "y": 0.1}}, 0.1, rounds=0)[1] is False
+
+
+def test_exponential_keys_draw_in_proportion(spark):
+    rows = spark.createDataFrame([(f"k{i}", "a" if i % 10 else "b") for i in range(4000)], "k string, s string")
+    sample, rested = sampling.draw_by(rows, "k", {"s": {"a": (0.5, 1), "b": (0.5, 1)}}, 0.1)
+    got = sample.collect()
+    assert rested and len(got) == 400 and sum(r.s == "a" for r in got) == 200 and all(r.weighted_key is not None for r in got)
+    worst = {s: max(r.weighted_key for r in got if r.s == s) for s in "ab"}
+    again = sampling.draw_by(rows.repartition(5), "k", {"s": {"a": (0.5, 1), "b": (0.5, 1)}}, 0.1)[0]
+    assert {r.k for r in again.collect()} == {r.k for r in got} and abs(worst["a"] - worst["b"]) < 0.5
+
+
+def test_sample_comes_near_all_margins(spark):
+    found = sampling.p5_gaps(spark, "/root/testdata/sf0.01").collect()
+    assert sum(abs(r.residual) for r in found) < 1.2
+    assert all(r.sampled >= min(r.min_rows, r.available) for r in found)
+    assert all(r.unused == 0 for r in found if r.available < r.wanted)
+    counted = sampling.servable(*sampling._tables(spark, "/root/testdata/sf0.01")).where("not served").collect()
+    assert {(r.target_set, r.category) for r in sampling.p5_found(spark, "/root/testdata/sf0.01").collect()} == {(r.target_set, r.category) for r in counted}
