@@ -110,3 +110,29 @@ def test_mix_edges(spark):
     assert all(r.source == "a" and r.copies == 1 for r in mixing.mix(docs, plan).collect())
     assert mixing.mix(docs.limit(0), mixing.supply(docs.limit(0), targets)).count() == 0
     assert mixing.mix(docs, mixing.supply(docs, targets.limit(0))).count() == 0
+
+
+def test_mix_is_the_same_for_every_layout(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 16)
+    monkeypatch.setattr(mixing, "FAN", 4)
+    docs = spark.range(3000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'small' else 'huge' end as source", "1 + (id * 7919) % 300 as tokens")
+    targets = spark.createDataFrame([("small", 0.3, 3), ("huge", 0.5, 2)], TARGETS)
+    plan = mixing.supply(docs, targets).persist()
+    found = [sorted(map(tuple, mixing.mix(docs.repartition(n), plan).collect())) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 500
+    for r in plan.collect():
+        got = sum(t * n for _, s, t, n in found[0] if s == r.source)
+        assert abs(got - r.wanted) < 5
+
+
+def test_actual_shares_and_what_is_lacking(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "case when id < 20 then 'few' when id < 200 then 'some' else 'many' end as source", "10 + id % 5 as tokens")
+    targets = spark.createDataFrame([("few", 0.5, 2), ("some", 0.2, 1), ("many", 0.2, 1), ("none", 0.1, 3)], TARGETS)
+    for fill in (False, True):
+        plan = mixing.supply(docs, targets, fill=fill)
+        got = {r.source: r for r in mixing.shares(docs, plan, mixing.mix(docs, plan)).collect()}
+        assert abs(sum(r.actual_share for r in got.values() if r.actual_share is not None) - 1) < 1e-9
+        assert {s for s, r in got.items() if r.saturated and r.tokens < r.wanted} == {"few", "none"} and got["few"].most_copies == 2
+        size = sum(r.tokens for r in got.values())
+        assert abs(size - 2400) < 20 if fill else size < 1600
+    assert mixing._filled({"a": (0.5, 10.0), "b": (0.5, 1000.0)}, 100.0) == {"a": 10.0, "b": 90.0}

@@ -2,14 +2,20 @@
 
 ``supply`` counts the tokens of each source and says which targets cannot be reached. ``mix`` gives every record a
 number of copies: the whole part of its source's factor, and one more with the fractional part as its probability.
-These probabilities are rounded by pivotal sampling: pairs of records of one source move probability between them until
-one is 0 or 1, so that the sum stays as it is. Each task rounds its own records and leaves at most one undecided record
-per source; those are rounded in groups of ``FAN`` up a tree, and the last one by its hash.
 
-Every draw is a hash of record keys and a seed, so a task that runs again after the loss of an executor draws the same.
+These probabilities are rounded by pivotal sampling on tokens: of two records of a source one gives tokens of its mass
+(probability times tokens) to the other, in a random direction that keeps both expectations, until one probability is
+0 or 1. So the tokens of a source stay what they are, not only its number of copies. Records are put into ranges of the
+hash of their key, which are rounded apart; the one undecided record that each leaves is rounded with those of
+``FAN`` neighbouring ranges, and so on up a tree, until one record per source is left. That one is decided with the one
+other record that brings the source's tokens nearest to their target.
+
+The ranges depend on keys and on the number of a source's records, never on partitions or batches: every layout, and a
+task that runs again after the loss of an executor, gives the same mix.
 
 Defined results: records without a source or without tokens are not used; sources without a target are not used; a
-target without records has no copies and its whole share is lacking; a repeated key counts once.
+target without records has no copies and its whole share is lacking; a null share or cap has no copies; a repeated key
+counts once.
 """
 
 from __future__ import annotations
@@ -23,13 +29,17 @@ from pyspark.sql import functions as F
 
 from weft.common import folded, table
 from weft.llm import bpe
+from weft.operators.ranking import unit_hash
 from weft.session import cut
 
-FAN = 64
+#: Ranges whose undecided records are rounded together, and the records that a range is to have.
+FAN, RANGE = 64, 4096
 #: The part of all tokens with a source that a mix is to have.
 PART = 0.5
 
-_ROUNDED = "source string, doc_id bigint, tokens bigint, p double, place bigint"
+_ROW = "source string, place long, doc_id long, tokens long, p double"
+_KINDS = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+_NAMES = ("source", "place", "doc_id", "tokens", "p")
 
 
 def sized(documents: DataFrame) -> DataFrame:
@@ -38,16 +48,42 @@ def sized(documents: DataFrame) -> DataFrame:
     return counted.where("doc_id is not null").groupBy("doc_id").agg(F.min("source").alias("source"), F.max("tokens").alias("tokens"))
 
 
-def supply(docs: DataFrame, targets: DataFrame, part: float = PART) -> DataFrame:
-    """Per target: tokens there are, tokens wanted, copies per record, and whether the cap allows the share."""
-    have = docs.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("available"))
+def supply(docs: DataFrame, targets: DataFrame, part: float = PART, fill: bool = False) -> DataFrame:
+    """Per target: records and tokens there are, tokens wanted, copies per record, and whether the cap allows the share.
+
+    fill: what sources lack is handed on to those that have more, in proportion to their shares, as far as their caps allow.
+    """
+    have = docs.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("available"), F.count_if(F.col("tokens") > 0).alias("n_docs"))
     total = have.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total")).scalar()
     wanted = targets.select(folded("source").alias("source"), "target_share", "max_repeats").where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    out = wanted.join(have, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    out = wanted.join(have, "source", "left").na.fill(0, ["available", "n_docs"])
     out = out.withColumn("wanted", F.col("target_share") * (F.lit(part) * total))
     most = F.col("available") * F.coalesce("max_repeats", F.lit(1))
-    factor = F.least(F.coalesce("max_repeats", F.lit(1)).cast("double"), F.coalesce(F.try_divide("wanted", F.col("available").cast("double")), F.lit(0.0)))
-    return out.select("source", "target_share", "max_repeats", "available", "wanted", factor.alias("factor"), (most >= F.col("wanted")).alias("reachable"))
+    out = out.withColumn("most", most).withColumn("planned", F.least(F.col("wanted"), most.cast("double")))
+    if fill:
+        rows = {r.source: r for r in out.select("source", "target_share", "wanted", "most").collect()}  # the target table
+        planned = _filled({s: (r.target_share or 0.0, float(r.most)) for s, r in rows.items()}, sum(r.wanted or 0.0 for r in rows.values()))
+        given = docs.sparkSession.createDataFrame(sorted(planned.items()), "source string, _given double")
+        out = out.join(F.broadcast(given), "source").withColumn("planned", F.col("_given")).drop("_given")
+    factor = F.least(F.coalesce("max_repeats", F.lit(1)).cast("double"), F.coalesce(F.try_divide("planned", F.col("available").cast("double")), F.lit(0.0)))
+    return out.select("source", "target_share", "max_repeats", "available", "n_docs", "wanted", factor.alias("factor"), (F.col("most") >= F.col("wanted")).alias("reachable"))
+
+
+def _filled(sources: dict[str, tuple[float, float]], size: float) -> dict[str, float]:
+    """Tokens per source (share, most tokens) that make up ``size`` in proportion to the shares, no source above its most."""
+    out: dict[str, float] = {}
+    free = {s: x for s, x in sources.items() if x[0] > 0}
+    left = size
+    while free:
+        level = left / sum(share for share, _ in free.values())
+        full = [s for s, (share, most) in free.items() if share * level >= most]
+        if not full:
+            out.update({s: share * level for s, (share, _) in free.items()})
+            break
+        for s in full:
+            out[s] = free.pop(s)[1]
+            left = max(0.0, left - out[s])
+    return {s: out.get(s, 0.0) for s in sources}
 
 
 def _unit(*parts: object) -> float:
@@ -57,107 +93,155 @@ def _unit(*parts: object) -> float:
 def pivotal(rows: list[tuple], seed: int) -> tuple[list[tuple], tuple | None]:
     """Round the probabilities of (source, doc_id, tokens, p, place): the decided rows, and the one left over.
 
-    Two rows a, b with a + b < 1: one becomes 0 and the other a + b; else one becomes 1 and the other a + b - 1.
+    Of two rows one gets tokens of the other until either is decided; each direction is as likely as the other's step is
+    large, so that no row's expectation changes.
     """
-    near, decided, held = 1e-9, [], None
+    decided: list[tuple] = []
+    held = None
     for row in rows:
-        if not near < row[3] < 1 - near:
-            decided.append((*row[:3], float(round(row[3])), row[4]))
-            continue
-        if held is None:
-            held = row
-            continue
-        a, b, draw = held[3], row[3], _unit(seed, held[1], row[1])
-        if a + b < 1:
-            loser, winner = (held, row) if draw * (a + b) < b else (row, held)
-            decided.append((*loser[:3], 0.0, loser[4]))
-            held, p = winner, a + b
-        else:
-            winner, other = (held, row) if draw * (2 - a - b) < 1 - b else (row, held)
-            decided.append((*winner[:3], 1.0, winner[4]))
-            held, p = other, a + b - 1
-        if not near < p < 1 - near:
-            decided.append((*held[:3], float(round(p)), held[4]))
-            held = None
-        else:
-            held = (*held[:3], p, held[4])
+        held, done = _meet(held, row, seed)
+        decided += done
     return decided, held
 
 
-def _rounder(seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple] = {}
+def _meet(held: tuple | None, row: tuple, seed: int, near: float = 1e-9) -> tuple[tuple | None, list[tuple]]:
+    """The row that stays undecided of the two, if any, and those that are decided."""
+    settled = lambda r: not near < r[3] < 1 - near
+    whole = lambda r: (*r[:3], float(round(r[3])), *r[4:])
+    if settled(row):
+        return held, [whole(row)]
+    if held is None:
+        return row, []
+    (s, a, ta, pa_, *x), (_, b, tb, pb, *y) = held, row
+    up, down = min((1 - pa_) * ta, pb * tb), min(pa_ * ta, (1 - pb) * tb)  # tokens that a can get and give
+    step = up if _unit(seed, a, b) * (up + down) < down else -down
+    two = ((s, a, ta, pa_ + step / ta, *x), (s, b, tb, pb - step / tb, *y))
+    open_ = [r for r in two if not settled(r)]
+    return (open_[0] if open_ else None), [whole(r) for r in two if settled(r)]
 
-        def packed(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["source", "doc_id", "tokens", "p", "place"])
 
+def _rounder(seed: int):
+    """Rounds runs of rows of one source and place, as they come sorted; a run may go over several batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], names=list(_NAMES))
+        at, held = None, None
         for batch in batches:
-            by: dict[str, list[tuple]] = {}
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                by.setdefault(row[0], []).append(row)
             out = []
-            for source, rows in by.items():
-                rows.sort(key=lambda r: (r[2], r[1]))  # partners of like size keep the tokens near their sum, too
-                decided, left = pivotal([held.pop(source), *rows] if source in held else rows, seed)
-                out += decided
-                if left is not None:
-                    held[source] = left
+            for source, place, doc, tokens, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (source, place):
+                    if held is not None:
+                        out.append((held[0], held[4], held[1], held[2], held[3]))
+                    at, held = (source, place), None
+                held, done = _meet(held, (source, doc, tokens, p, place), seed)
+                out += [(r[0], r[4], r[1], r[2], r[3]) for r in done]
             yield packed(out)
-        if held:
-            yield packed(list(held.values()))
+        if held is not None:
+            yield packed([(held[0], held[4], held[1], held[2], held[3])])
 
     return run
 
 
-def round_probabilities(probable: DataFrame, seed: int) -> DataFrame:
-    """``probable(source, doc_id, tokens, p)`` with p rounded to 0 or 1, the sums per source kept to within one."""
-    first = probable.select("source", "doc_id", "tokens", "p", F.spark_partition_id().cast("long").alias("place"))
-    done, rest = None, cut(first.mapInArrow(_rounder(seed), _ROUNDED))
-    open_rows = "p > 0 and p < 1"
-    width = rest.where(open_rows).agg(F.max("place")).first()[0]
-    while width is not None:
+def round_probabilities(probable: DataFrame, ranges: dict[str, int], seed: int) -> DataFrame:
+    """``probable(source, doc_id, tokens, p)`` with p rounded to 0 or 1, the tokens per source kept.
+
+    ranges: per source into how many ranges of the keys' hashes its records go.
+    """
+    spark = probable.sparkSession
+    parts = F.broadcast(spark.createDataFrame(sorted(ranges.items()), "source string, _n long"))  # the sources of the target table
+    rows = probable.join(parts, "source").withColumn("_u", unit_hash("doc_id", seed=seed)).withColumn("place", F.least(F.floor(F.col("_u") * F.col("_n")), F.col("_n") - 1))
+
+    def level(df: DataFrame, *order: str) -> DataFrame:
+        grouped = df.repartition("source", "place").sortWithinPartitions("source", "place", *order, "doc_id")
+        return cut(grouped.select(*_NAMES).mapInArrow(_rounder(seed), _ROW))
+
+    rest, done, width = level(rows, "_u"), None, max(ranges.values(), default=1)
+    while width > 1:
         ready = rest.where("p = 0 or p = 1")
         done = ready if done is None else done.unionByName(ready)
-        # one hash bucket per group of FAN neighbours: a task holds some groups whole, each in order of place
-        level = rest.where(open_rows).withColumn("place", F.floor(F.col("place") / FAN))
-        level = level.repartition(max(1, width // FAN + 1), "source", "place").sortWithinPartitions("source", "place", "doc_id")
-        rest = cut(level.mapInArrow(_rounder(seed + 1), _ROUNDED))
-        if width == 0:
-            break
-        width //= FAN
-    last = rest.withColumn("p", F.when((F.col("p") > 0) & (F.col("p") < 1), (F.abs(F.xxhash64("doc_id", F.lit(seed))) % 1_000_000 / 1_000_000.0 < F.col("p")).cast("double")).otherwise(F.col("p")))
-    return (last if done is None else done.unionByName(last)).select("source", "doc_id", "tokens", "p")
+        rest = level(rest.where("p > 0 and p < 1").withColumn("place", F.floor(F.col("place") / FAN)))
+        width = -(-width // FAN)
+    done = rest if done is None else done.unionByName(rest)
+    return _last(done).select("source", "doc_id", "tokens", "p")
+
+
+def _last(rounded: DataFrame) -> DataFrame:
+    """Decides the one record per source that is left, together with the one other that brings the tokens nearest to their sum."""
+    last = {r.source: r for r in rounded.where("p > 0 and p < 1").collect()}  # at most one per source of the target table
+    if not last:
+        return rounded
+    mass = rounded.sparkSession.createDataFrame([(s, r.doc_id, float(r.tokens), float(r.p)) for s, r in last.items()], "source string, _id long, _t double, _p double")
+    each = rounded.where("p = 0 or p = 1").join(F.broadcast(mass), "source")
+    keep, drop = F.col("_t") * (1 - F.col("_p")), F.col("_t") * F.col("_p")  # tokens too many if it is kept, too few if it is dropped
+    alone = F.least(keep, drop)
+    # another record goes in where it is dropped, or out where it is kept
+    error = F.when(F.col("p") == 0, F.abs(F.col("tokens") - drop)).otherwise(F.abs(F.col("tokens") - keep))
+    best = each.groupBy("source", "_id", "_t", "_p").agg(F.min(F.struct(error.alias("e"), "doc_id", "p")).alias("b")).collect()
+    changed = {}
+    for r in best:
+        if r.b.e < min(r._t * (1 - r._p), r._t * r._p):
+            changed[r.source] = (r.b.doc_id, 1.0 - r.b.p)
+            last[r.source] = (r._id, r.b.p)
+    for s, r in last.items():
+        if s not in changed:
+            last[s] = (r.doc_id, 1.0 if r.tokens * (1 - r.p) <= r.tokens * r.p else 0.0)
+    fixes = [(doc, s, float(p)) for s, (doc, p) in [*last.items(), *changed.items()]]
+    fix = rounded.sparkSession.createDataFrame(fixes, "doc_id long, source string, _new double")
+    return rounded.join(F.broadcast(fix), ["source", "doc_id"], "left").withColumn("p", F.coalesce("_new", "p")).drop("_new")
 
 
 def mix(docs: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
     """(doc_id, source, tokens, copies) of the records that are used; copies are at most max_repeats."""
-    factors = plan.where("factor > 0").select("source", "factor")  # one row per row of the target table
-    rows = docs.where("tokens > 0").join(F.broadcast(factors), "source")
-    rows = rows.select("source", "doc_id", "tokens", F.floor("factor").alias("whole"), (F.col("factor") - F.floor("factor")).alias("p"))
-    rounded = round_probabilities(rows.select("source", "doc_id", "tokens", "p"), seed)
+    chosen = plan.where("factor > 0").select("source", "factor", "n_docs").collect()  # the target table
+    ranges = {r.source: 1 << max(0, (r.n_docs - 1) // RANGE).bit_length() for r in chosen}
+    factors = docs.sparkSession.createDataFrame([(r.source, float(r.factor)) for r in chosen], "source string, factor double")
+    rows = docs.where("tokens > 0").join(F.broadcast(factors), "source").select("source", "doc_id", "tokens", (F.col("factor") - F.floor("factor")).alias("p"))
+    rounded = round_probabilities(rows, ranges, seed)
     out = rounded.join(F.broadcast(factors), "source").select("doc_id", "source", "tokens", (F.floor("factor") + F.col("p").cast("int")).cast("int").alias("copies"))
     return out.where("copies > 0")
 
 
-def _tables(spark, root: str) -> tuple[DataFrame, DataFrame]:
-    docs = cut(sized(table(spark, root, "documents").select("doc_id", "source", "text")))
-    return docs, supply(docs, table(spark, root, "mix_targets"))
+def shares(docs: DataFrame, plan: DataFrame, mixed: DataFrame, part: float = PART) -> DataFrame:
+    """Per target the tokens mixed, their share of the size that was planned and of the mix as it is, and what is lacking.
+
+    The actual shares of a mix sum to 1. saturated: every record stands in the mix as often as its cap allows.
+    """
+    got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"), F.count("*").alias("records"))
+    size = docs.where("source is not null").agg((F.sum("tokens") * F.lit(part)).alias("size")).scalar()
+    all_ = got.agg(F.sum("tokens").alias("n")).scalar()
+    tokens = F.coalesce("tokens", F.lit(0))
+    return plan.join(got, "source", "left").select(
+        "source", "target_share", F.try_divide(tokens.cast("double"), size).alias("reached_share"), F.try_divide(tokens.cast("double"), all_.cast("double")).alias("actual_share"), tokens.alias("tokens"), "wanted",
+        F.greatest(F.lit(0.0), F.col("wanted") - tokens).alias("lacking"), "available", "max_repeats", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("records", F.lit(0)).alias("records"),
+        (tokens == F.col("available") * F.coalesce("max_repeats", F.lit(1))).alias("saturated"),
+    )
+
+
+def _docs(spark, root: str) -> DataFrame:
+    return cut(sized(table(spark, root, "documents").select("doc_id", "source", "text")))
+
+
+def _shares(spark, root: str, fill: bool = False) -> DataFrame:
+    docs = _docs(spark, root)
+    plan = cut(supply(docs, table(spark, root, "mix_targets"), fill=fill))
+    return shares(docs, plan, mix(docs, plan))
 
 
 def p8_found(spark, root: str) -> DataFrame:
-    return supply(sized(table(spark, root, "documents").select("doc_id", "source", "text")), table(spark, root, "mix_targets")).where("not reachable").select("source")
+    """Targets that the mix does not reach though every record of theirs is used as often as it may be."""
+    return _shares(spark, root).where("saturated and tokens < wanted").select("source")
 
 
 def p8_mix(spark, root: str) -> DataFrame:
-    return mix(*_tables(spark, root))
+    docs = _docs(spark, root)
+    return mix(docs, cut(supply(docs, table(spark, root, "mix_targets"))))
 
 
 def p8_shares(spark, root: str) -> DataFrame:
-    """Per target the share reached in the mix, and what it lacks."""
-    docs, plan = _tables(spark, root)
-    got = mix(docs, plan).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed"), F.max("copies").alias("most_copies"), F.count("*").alias("records"))
-    size = docs.where("source is not null").agg((F.sum("tokens") * F.lit(PART)).alias("size")).scalar()
-    out = plan.join(got, "source", "left")
-    mixed = F.coalesce("mixed", F.lit(0))
-    return out.select("source", "target_share", F.try_divide(mixed.cast("double"), size).alias("reached_share"), mixed.alias("tokens"), "wanted", "available", "max_repeats", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce("records", F.lit(0)).alias("records"), "reachable")
+    """Per target the share reached in the mix, and what it lacks; a source that lacks tokens leaves the mix smaller."""
+    return _shares(spark, root)
+
+
+def p8_filled(spark, root: str) -> DataFrame:
+    """The same where sources that have more make up for what others lack, in proportion to their shares."""
+    return _shares(spark, root, fill=True)

@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "p8_found": mixing.p8_found,
         "p8_mix": mixing.p8_mix,
         "p8_shares": mixing.p8_shares,
+        "p8_filled": mixing.p8_filled,
         "p9_found": truncation.p9_found,
         "p9_report": truncation.p9_report,
     }
