@@ -49,5 +49,22 @@ SELECT DISTINCT least(t.sample_id, e.sample_id) AS sample_id_a, greatest(t.sampl
 """
 
 
+# the same parts, with every text's words in order for its class
+_P2_CLASSES = P2_FOUND[: P2_FOUND.rindex("SELECT DISTINCT least(")].rstrip() + r""",
+class AS (SELECT u, md5(string_agg(word, ' ' ORDER BY word)) AS class FROM w GROUP BY u),
+m AS (SELECT k.sample_id, k.train, s.part, s.subset, class.class FROM k JOIN class USING (u) JOIN (SELECT DISTINCT sample_id, lower(trim(partition)) AS part, @SUBSET AS subset FROM sft_samples) s ON s.sample_id = k.sample_id),
+cp AS (SELECT a.class AS train_class, b.class AS eval_class, max(p.shared) AS shared, max(greatest(za.n, zb.n)) AS longer FROM near JOIN p USING (ua, ub) JOIN z za ON za.u = ua JOIN z zb ON zb.u = ub JOIN class a ON a.u = ua JOIN class b ON b.u = ub GROUP BY ALL)
+""".replace("@SUBSET", _fold("source_subset"))
+P2_PAIRS = _P2_CLASSES + "SELECT train_class, eval_class, shared::BIGINT AS shared, longer::BIGINT AS longer FROM cp"
+P2_MEMBERS = _P2_CLASSES + "SELECT DISTINCT sample_id, train AS is_train, part AS partition, subset AS source_subset, class AS class_id FROM m"
+_P2_COUNTS = _P2_CLASSES.rstrip() + """,
+t AS (SELECT class, count(DISTINCT sample_id) AS n FROM m WHERE train GROUP BY class),
+l AS (SELECT eval_class, sum(t.n)::BIGINT AS n FROM cp JOIN t ON t.class = cp.train_class GROUP BY eval_class),
+e AS (SELECT DISTINCT sample_id, part, subset, class FROM m WHERE NOT train)
+"""
+P2_LINKS = _P2_COUNTS + "SELECT e.sample_id AS eval_id, e.part AS partition, e.subset AS source_subset, e.class AS class_id, coalesce(l.n, 0) AS n_links FROM e LEFT JOIN l ON l.eval_class = e.class"
+P2_REPORT = _P2_COUNTS + "SELECT e.part AS partition, e.subset AS source_subset, coalesce(sum(l.n), 0)::BIGINT AS pairs, count(l.n) AS overlapping, count(*) AS samples FROM e LEFT JOIN l ON l.eval_class = e.class GROUP BY ALL"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND}
+    return {"p2_found": P2_FOUND, "p2_pairs": P2_PAIRS, "p2_members": P2_MEMBERS, "p2_links": P2_LINKS, "p2_report": P2_REPORT, "p4_found": P4_FOUND, "p5_found": P5_FOUND}

@@ -15,6 +15,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": pairs.p1_found,
         "p2_found": overlap.p2_found,
+        "p2_pairs": overlap.p2_pairs,
+        "p2_members": overlap.p2_members,
         "p2_links": overlap.p2_links,
         "p2_report": overlap.p2_report,
         "p4_found": splits.p4_found,
