@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from weft.llm import pairs
+from weft.llm import pairs, refusal
 from weft.llm.lang import vote
 
 ASK = "Please move the booking of Karo to Monday and tell me how many vouchers are left for the branch in Velden."
@@ -52,7 +52,7 @@ def test_automaton_equals_brute_force():
 
 
 def test_phrases_without_the_native_library():
-    machine, fallback = pairs.Phrases(["ab", "b c"]), pairs.Phrases(["ab", "b c"])
+    machine, fallback = refusal.Phrases(["ab", "b c"]), refusal.Phrases(["ab", "b c"])
     fallback.regex = re.compile("ab|b c")
     for text in ("xaby", "b c", "b  c", ""):
         assert (text in machine) == (text in fallback)

@@ -5,9 +5,11 @@
 * ``empty``: null, blank, or nothing but markup, closed reasoning or a stand-in for a missing value;
 * ``copy``: a suffix automaton over the words of the last user message is traversed with the words of the answer; nearly
   all of the answer is covered by copied runs and nearly all of the message is given back;
-* ``refusal``: a refusal automaton finds a refusing sentence, and no sentence of the answer attempts anything;
-* ``truncated``: the delimiter stack is not empty at the end, or the last sentence has no end;
-* ``wrong_language``: the stopword votes of answer and prompt differ, and the conversation names no such language.
+* ``refusal``: a sentence declines by the grammar of ``refusal``, and no sentence of the answer attempts anything;
+* ``truncated``: the delimiter stack is not empty at the end, or the last sentence has no end; names, numbers, short lists,
+  code, queries and addresses are whole without one;
+* ``wrong_language``: the stopword votes of answer and prompt differ, and the conversation names no such language; an answer
+  in a language without votes counts as another one.
 
 Defined results: a null key has no row; null messages or a null prompt leave only the defects of the answer alone;
 repeated rows of one key give one row. Whole texts are read; there is no length limit.
@@ -25,24 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.common import folded, table
-from weft.llm.lang import named_languages, vote
-
-# Phrases by which a sentence declines, or only takes leave, per language.
-REFUSALS = (
-    "can't help|cannot help|can not help|couldn't help|unable to help|unable to assist|able to assist|can't assist|cannot assist|can't answer|cannot answer|do not permit|don't permit|"
-    "not permitted|not allowed|i am allowed|i'm allowed|against the rules|against my|i don't do|i do not do|leave unanswered|rather not|decided not to|off limits|possible for me|"
-    "must decline|have to decline|i decline|must refuse|have to refuse|i refuse|stay out of|something i will|something i'll|won't be looking|will not be looking|"
-    "talk about something else|do not handle|don't handle|i won't do|i will not do|not going to|can't do that|cannot do that|can't comply|cannot comply|"
-    "nicht helfen|nicht weiterhelfen|darf ich nicht|meine befugnisse|ich ablehnen|übernehme ich nicht|lasse ich lieber|lehne ich ab|mache ich nicht|nicht erlaubt|ich nicht beantworten|nicht gestattet|"
-    "no puedo ayudar|no puedo responder|debo rechazar|tengo que rechazar|no me está permitido|tengo permitido|prefiero no|no es algo que yo|no estoy autorizado|no puedo hacer|"
-    "peux pas répondre|peux pas aider|peux pas t'aider|dois refuser|m'est permis|pas quelque chose que je|pas le droit|préfère laisser|je refuse|préfère ne pas|pas autorisé|"
-    "não posso ajudar|não posso responder|de recusar|que recusar|me é permitido|não é algo que eu|prefiro não|não estou autorizado|"
-    "不能帮忙|无法帮|不能帮|无权|我的权限|必须拒绝|不会做|还是不碰|不能回答|无法回答|恕难|不便处理"
-).split("|")
-LEAVES = (
-    "hope you understand|ask the team|another question|right contact|you are welcome|bitte wende dich|um verständnis|auf verständnis|que lo entiendas|pregunta mejor|"
-    "adresse-toi|que tu comprends|que tu comprendras|fala antes|que compreendas|希望你能理解|请联系"
-).split("|")
+from weft.llm.lang import CODES, OTHER, is_function_word, named_languages, vote
+from weft.llm.refusal import is_refusal
+
+#: Answers of one word.
+ANSWERS = frozenset({"yes", "no", "ja", "nein", "sí", "si", "oui", "non", "sim", "não", "ok", "okay", "true", "false", "是", "否", "对", "好"})
 #: Stand-ins for a missing value.
 STAND_INS = frozenset("null|none|nil|nan|n/a|na|undefined|empty|missing|tbd|no response|no answer|no output|no content|no reply|not available|no data|not applicable|blank|void".split("|"))
 
@@ -50,7 +39,6 @@ THINK = re.compile(r"<think>(.*?)</think>", re.I | re.S)
 TAG = re.compile(r"</?(?:answer|think|tool_call|tool_response|response|assistant|final|output|p|b|i|br|div|span)\s*/?>|<\|[^|>]*\|>", re.I)
 CALL = re.compile(r"<tool_call>(.*?)(</tool_call>|$)", re.I | re.S)
 MARKS = re.compile(r"(?:\s*(?:\.\.\.+|…|\[\s*(?:\.\.\.|…|truncated|cut|more)\s*\]|\(\s*(?:more|truncated|cut|continued)\s*\)|�))+\s*$", re.I)
-SENTENCE = re.compile(r"(?<=[.!?。！？])\s*|\n+")
 WORD = regex.compile(r"\p{Han}|[^\W_]+")
 END = regex.compile(r"""[.!?。！？؟:;；：][\s"'”’»」』)\]}*_`]*$|[\p{So}\p{Sk}‍️]\s*$""")
 BULLET = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s")
@@ -59,23 +47,14 @@ OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "
 CLOSE = {v: k for k, v in OPEN.items()}
 
 
-class Phrases:
-    """A phrase automaton over lower-cased text; the same result with or without the native library."""
-
-    def __init__(self, phrases: list[str]):
-        try:
-            import ahocorasick
-
-            self.machine = ahocorasick.Automaton()
-            for p in phrases:
-                self.machine.add_word(p, p)
-            self.machine.make_automaton()
-            self.regex = None
-        except ImportError:
-            self.regex = re.compile("|".join(map(re.escape, sorted(phrases, key=len, reverse=True))))
-
-    def __contains__(self, text: str) -> bool:
-        return (next(self.machine.iter(text), None) if self.regex is None else self.regex.search(text)) is not None
+# What code, queries and addresses look like, and what none of them ends in.
+JSON_LIKE = re.compile(r"\s*(?:\{\s*(?:\"|\}|$)|\[\s*(?:[\[{\"\d\]-]|true|false|null|$))")
+STRING = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', re.S)
+ADDRESS = re.compile(r"(?:[a-z][a-z0-9+.-]*://\S+|www\.\S+|\S+@\S+\.\w{2,}|(?:~|\.{1,2})?(?:/[\w.@%+-]+)+/?|[A-Za-z]:\\\S+|[\w-]+(?:\.[\w-]+)+|[\w]+(?:_[\w]+)+|\w+\([^()]*\))", re.I)
+SQL = re.compile(r"\s*(?:SELECT\s.+\sFROM\s+\S+|INSERT\s+INTO\s+\S+|UPDATE\s+\S+\s+SET\s|DELETE\s+FROM\s+\S+|CREATE\s+\w+\s+\S+|DROP\s+\w+\s+\S+)", re.S)
+SQL_OPEN = re.compile(r"(?:\b(?:SELECT|FROM|WHERE|AND|OR|ON|BY|SET|INTO|JOIN|VALUES|AS|IN|LIKE|HAVING|LIMIT|BETWEEN|NOT|IS)|[=<>,+*/-])\s*$")
+CODE_LINE = re.compile(r"\s*(?:(?:async\s+)?def\s+\w+\(|class\s+\w+|import\s+[\w.]+\s*$|from\s+[\w.]+\s+import\b|return\b.*[\w)\]\"'};]\s*$|function\s+\w*\(|(?:const|let|var|val)\s+\w+|#include\b|public\s|private\s|package\s|(?:fn|func)\s+\w+\(|(?:if|for|while|elif|with)\b.*[:{]\s*$|[\w.\[\]]+\s*[-+*/|&]?=\s*\S|[\w.]+\([^()]*\)\s*;?\s*$|\$\s+\w+|[}\])]+[;,]?\s*$|SELECT\s|FROM\s|WHERE\s)")
+CODE_OPEN = re.compile(r"(?:[=+\-*/,(\[{.&|<>\\:]|\b(?:return|def|class|import|from|and|or|not|in|is|if|else|lambda|const|let|var|new|function))\s*$")
 
 
 class SuffixAutomaton:
@@ -135,57 +114,85 @@ def words(text: str) -> list[str]:
 
 
 def is_copy(prompt: str | None, answer: str, label: int = 4, share: float = 0.95, back: float = 0.9) -> bool:
-    """Whether the answer gives back the prompt and adds nothing but a label of up to ``label`` words."""
+    """Whether the answer gives back the prompt, once or more often, and adds nothing but a label of up to ``label`` words.
+
+    The words of the answer traverse the automaton of the prompt, and the other way round: nearly all of the answer must be
+    copied runs, and nearly all of the prompt must stand in the answer. Before that, what no traversal could change: an answer
+    with fewer known words than asked for is no copy.
+    """
     said, asked = words(answer), words(prompt or "")
-    if not asked or not said or len(said) < back * len(asked) or len(said) > len(asked) / back + label:
+    if not asked or len(said) < back * len(asked):
         return False
-    known = SuffixAutomaton(asked).covered(said, min(3, len(asked)))
-    first = known.index(True) if True in known else len(known)
-    if first > label:
+    vocabulary = set(asked)
+    if sum(w in vocabulary for w in said) < share * (len(said) - label):
         return False
+    least = min(3, len(asked))
+    known = SuffixAutomaton(asked).covered(said, least)
+    first = known.index(True) if True in known else len(known)
     rest = known[first:]
-    return sum(rest) >= share * len(rest) and sum(rest) >= back * len(asked)
-
-
-REFUSAL, LEAVE = Phrases(REFUSALS), Phrases(LEAVES)
-
-
-def is_refusal(answer: str) -> bool:
-    """A sentence declines, and no other sentence attempts anything."""
-    low, refused = answer.lower().replace("’", "'"), False
-    if low not in REFUSAL:
+    if first > label or not rest or sum(rest) < share * len(rest):
         return False
-    for s in SENTENCE.split(low):
-        if s in REFUSAL:
-            refused = True
-        elif s in LEAVE or s.rstrip().endswith(("?", "？")) or len(words(s)) < 3:
-            continue
-        else:
-            return False
-    return refused
+    return sum(SuffixAutomaton(said[first:]).covered(asked, least)) >= back * len(asked)
 
 
 def open_delimiters(text: str) -> bool:
     """Whether the delimiter stack is not empty at the end: fences, brackets, bold marks, code marks, double quotes.
 
-    Brackets are only followed from the last blank line on, and a closing one without its opening is passed over. Text
-    that ends a sentence is open only by a fence or as JSON: its loose quotes and marks may come from what it cites.
+    What begins like JSON is followed as a whole, outside its strings. In other text brackets are followed from the last
+    blank line on, a closing one without its opening is passed over, and text that ends a sentence is open only by a fence:
+    its loose quotes and marks may come from what it cites.
     """
     if text.count("```") % 2:
         return True
-    if END.search(text) and text.lstrip()[:1] not in ("{", "["):
+    if JSON_LIKE.match(text):
+        outside = STRING.sub("", text)
+        return '"' in outside or _depth(outside) > 0
+    if END.search(text):
         return False
     bare = re.sub(r"```.*?```", "", text, flags=re.S)
     tail = bare.rpartition("\n\n")[2]
+    last = bare.rpartition("\n")[2]
+    return _depth(tail) > 0 or last.count("**") % 2 == 1 or last.count("`") % 2 == 1 or tail.count('"') % 2 == 1
+
+
+def _depth(text: str) -> int:
+    """Delimiters on the stack at the end of a text."""
     stack: list[str] = []
-    for ch in tail:
+    for ch in text:
         if ch in OPEN:
             stack.append(ch)
         elif ch in CLOSE:
             while stack and stack.pop() != CLOSE[ch]:
                 pass
-    last = bare.rpartition("\n")[2]
-    return bool(stack) or last.count("**") % 2 == 1 or last.count("`") % 2 == 1 or tail.count('"') % 2 == 1
+    return len(stack)
+
+
+def is_code(text: str) -> bool:
+    """Whether a text without open delimiters is code, a query, an address or a path that stands as it is.
+
+    Code has a line that begins with a keyword or is an assignment or call, and does not end in what asks for more.
+    """
+    lines = [x for x in text.splitlines() if x.strip()]
+    if len(lines) == 1 and (ADDRESS.fullmatch(text.strip()) or SQL.match(text) and not SQL_OPEN.search(text)):
+        return True
+    coded = sum(bool(CODE_LINE.match(x)) for x in lines)
+    return coded > 0 and coded * 2 >= len(lines) and not CODE_OPEN.search(text) and not SQL_OPEN.search(text)
+
+
+def is_short_answer(text: str) -> bool:
+    """Whether a text is a name, a number or a short list: a few words, none of them a function word of any language."""
+    if "\n" in text or END.search(text):
+        return False
+    items = [x.strip() for x in re.split(r"[,;、，；]|\s[/|]\s", text)]
+    found = [words(x) for x in items]
+    if not all(found) or any(len(w) > 4 for w in found):
+        return False
+    flat = [w for x in found for w in x]
+    if len(flat) == 1 and flat[0] in ANSWERS:
+        return True
+    if not any(regex.search(r"[\p{Lu}\d]", x) for x in items) and len(items) == 1 and len(flat) > 2:
+        return False
+    return not any(is_function_word(w) for w in flat) and not regex.search(r"[\p{Pd}'’]$", text)
 
 
 def is_truncated(answer: str) -> bool:
@@ -199,11 +206,18 @@ def is_truncated(answer: str) -> bool:
         return bool(m) and not _json(m[1])
     if bare[:1] in "[{" and bare[-1:] in "]}":
         return False
-    last = bare.rpartition("\n")[2]
+    lines = bare.splitlines()
+    last = lines[-1] if lines else ""
     if bare != text and END.search(bare):
         return False
+    if bare == text and (is_code(bare) or is_short_answer(bare)):
+        return False
     if BULLET.match(last) or "|" in last:
-        return bool(FUNCTION_END.search(last)) or len(words(last)) == 0
+        # a list whose other items are sentences ends in one, and so does an item that has the words of one
+        others = [x for x in lines[:-1] if BULLET.match(x)]
+        ended = sum(bool(END.search(x)) for x in others)
+        sentence = BULLET.match(last) and not END.search(last) and (ended * 2 > len(others) or sum(map(is_function_word, words(last))) >= 3)
+        return bool(FUNCTION_END.search(last)) or len(words(last)) == 0 or bool(sentence)
     return not END.search(bare) and not re.fullmatch(r"[\W\d]*", bare)
 
 
@@ -251,11 +265,13 @@ def defect(target: str | None, prompt: str | None, users: str | None, asked_by_s
         return "refusal"
     if is_truncated(answer) or ("<answer>" in low and "</answer>" not in low and not END.search(answer)):
         return "truncated"
-    said = vote(answer)
+    said = None if is_code(answer) else vote(answer)
     if said:
         spoken = vote(prompt or "") or vote(users or "")
-        if spoken and spoken != said and said not in named_languages(users or "") and said != asked_by_system:
-            return "wrong_language"
+        if spoken and spoken != OTHER and spoken != said and said != asked_by_system:
+            named = named_languages(users or "")
+            if said not in named and not (said == OTHER and (named or asked_by_system)):
+                return "wrong_language"
     return None
 
 
@@ -268,15 +284,13 @@ def defects(samples: DataFrame) -> DataFrame:
         "target",
         F.try_element_at(of("user"), F.lit(-1))["content"].alias("prompt"),
         F.array_join(F.transform(of("user"), lambda m: m["content"]), "\n").alias("users"),
-        F.regexp_extract(system, r"\b(?:answer|reply|respond|write|speak)\w*\b[^.\n]{0,40}?\b(english|german|spanish|french|portuguese|chinese)\b", 1).alias("system"),
+        F.regexp_extract(system, r"\b(?:answer|reply|respond|write|speak)\w*\b[^.\n]{0,40}?\b(" + "|".join(CODES) + r")\b", 1).alias("system"),
     )
-    codes = {"english": "en", "german": "de", "spanish": "es", "french": "fr", "portuguese": "pt", "chinese": "zh"}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, kinds = [], []
             for key, target, prompt, users, system in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kind = defect(target, prompt, users, codes.get(system or ""))
+                kind = defect(target, prompt, users, CODES.get(system or ""))
                 if kind:
                     ids.append(key)
                     kinds.append(kind)
