@@ -54,3 +54,24 @@ def test_report(spark, root):
     report = truncation.p9_report(spark, root).collect()
     assert sum(r.n_cut for r in report) == truncation.p9_found(spark, root).count()
     assert sum(r.n_docs for r in report) == spark.read.parquet(f"{root}/documents.parquet").count()
+
+
+def test_long_words_marks_and_ends_have_no_bound(spark):
+    """A word cut after 60 letters, a mark of 40 characters, a sentence end behind 200 closing characters."""
+    word = "donaudampfschifffahrtselektrizitaetenhauptbetriebswerkbauunterbeamtengesellschaft"
+    rows = corpus() + [(5000 + i, f"The worker polled {word} again.", "s") for i in range(3)] + [(6000, f"The worker polled {word[:60]}", "s"), (6001, "The worker polled the queue and fou [" + " " * 40 + "truncated ]", "s"), (6002, "The worker polled the queue and found 5 jobs." + '"' * 200, "s")]
+    got = found(spark, rows)
+    assert got[6000] == "inside a word" and 6001 in got and 6002 not in got
+
+
+def test_verdicts_do_not_change_with_the_size_of_the_corpus(spark):
+    """Ten times the same distinct sentences under other numbers give the same verdicts."""
+    cuts = [(9000 + i, t, "s") for i, t in enumerate(CUT)]
+    small = found(spark, corpus() + cuts)
+    large = found(spark, [(i * 10_000 + k, t.replace("AB-", f"AB-{i}") if t else t, s) for i in range(5) for k, t, s in corpus()] + cuts)
+    assert set(small) == set(large) == {k for k, _, _ in cuts}
+
+
+def test_last_trigrams_decide_most_cuts(spark):
+    reasons = [r.cut for r in truncation.verdicts(truncation._documents(spark, "/root/testdata/sf0.01")).where("cut is not null").collect()]
+    assert sum(r in ("inside a word", "inside a sentence") for r in reasons) >= 0.7 * len(reasons)
