@@ -59,7 +59,7 @@ def test_report(spark, root):
 def test_long_words_marks_and_ends_have_no_bound(spark):
     """A word cut after 60 letters, a mark of 40 characters, a sentence end behind 200 closing characters."""
     word = "donaudampfschifffahrtselektrizitaetenhauptbetriebswerkbauunterbeamtengesellschaft"
-    rows = corpus() + [(5000 + i, f"The worker polled {word} again.", "s") for i in range(3)] + [(6000, f"The worker polled {word[:60]}", "s"), (6001, "The worker polled the queue and fou [" + " " * 40 + "truncated ]", "s"), (6002, "The worker polled the queue and found 5 jobs." + '"' * 200, "s")]
+    rows = corpus() + [(5000 + i, f"The worker polled {word} again {i}.", "s") for i in range(3)] + [(6000, f"The worker polled {word[:60]}", "s"), (6001, "The worker polled the queue and fou [" + " " * 40 + "truncated ]", "s"), (6002, "The worker polled the queue and found 5 jobs." + '"' * 200, "s")]
     got = found(spark, rows)
     assert got[6000] == "inside a word" and 6001 in got and 6002 not in got
 
