@@ -80,13 +80,13 @@ SELECT doc_id, source, open, marked, dotted, closed, kind, try_element_at(words,
     (length(whole) - length(replace(whole, '```', ''))) % 6 <> 0
     OR coalesce(contains(bare, '"') OR {_DEPTH.format('bare')}, false)
     OR coalesce(contains(rest, '"') OR {_DEPTH.format('rest')}, false)
-    OR (NOT ended AND length(line) - length(translate(line, '(（', '')) > length(line) - length(translate(line, ')）', ''))) AS open,
-    NOT ended AND length(body) < length(whole) AND NOT whole RLIKE r'(?:\.\.|…)$' OR line RLIKE r'(?:^|\s)#$' AS marked,
-    whole RLIKE r'[^\s.]\.{{4}}$' AS dotted,
-    ended OR body RLIKE r'(?:```|[\]}}|])$' OR line RLIKE r'^\S*/\S*\.\w{{1,5}}$' OR (line RLIKE r'\d' AND line RLIKE r'^[\p{{Lu}}\d#/\s,;:_-]+$') AS closed,
+    OR (NOT ended AND (contains(line, '(') OR contains(line, '（')) AND length(translate(line, '(（', '')) < length(translate(line, ')）', ''))) AS open,
+    NOT ended AND length(body) < length(whole) AND right(whole, 2) <> '..' AND right(whole, 1) <> '…' OR right(line, 1) = '#' AND line RLIKE r'(?:^|\s)#$' AS marked,
+    right(whole, 4) = '....' AND right(whole, 5) RLIKE r'^[^\s.]' AS dotted,
+    ended OR right(body, 1) IN (']', '}}', '|') OR right(body, 3) = '```' OR contains(line, '/') AND line RLIKE r'^\S*/\S*\.\w{{1,5}}$' OR (line RLIKE r'\d' AND line RLIKE r'^[\p{{Lu}}\d#/\s,;:_-]+$') AS closed,
     {_WORDS}
   FROM (
-    SELECT doc_id, source, whole, body, line, body RLIKE :sentence AS ended,
+    SELECT doc_id, source, whole, body, line, line RLIKE :sentence OR NOT line RLIKE r'[\p{{L}}\p{{N}}]' AND body RLIKE :sentence AS ended,
            CASE WHEN body RLIKE r'^\s*[\[{{]' THEN {_STRINGS.format('body')} END AS bare,
            CASE WHEN contains(line, '{{') OR contains(line, '[') THEN {_STRINGS.format('line')} END AS rest
     FROM (SELECT doc_id, source, whole, body, substring_index(body, '\n', -1) AS line FROM texts)
