@@ -40,10 +40,11 @@ _BLANKS = " \t\n\r\f\v\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u20
 ALMOST_NEVER, MOSTLY = 0.02, 0.5
 
 _SENTENCE = r"""(?:[.!?。！？]|\p{So})[\s"'”’»」』)\]*_`\p{So}\p{Sk}\x{200D}\x{FE0F}]*$"""
+#: How a line begins, and the kind of line by the last character of that.
+_BEGINS = r"""regexp_extract(line, r'^(?:\s*(?:\d{4}-\d\d-\d\d|(?:[-*+•]|\d+[.)])\s|[|>—–])|#\p{L}|[\s{}\[\]"])', 0)"""
 _KIND = r"""
-    CASE WHEN line RLIKE r'^\s*\d{4}-\d\d-\d\d' THEN 'log' WHEN line RLIKE r'^\s*(?:[-*+•]|\d+[.)])\s' THEN 'bullet' WHEN line RLIKE r'^\s*\|' THEN 'table'
-         WHEN line RLIKE r'^\s*>' THEN 'quote' WHEN line RLIKE r'^\s*[—–]' THEN 'signature' WHEN line RLIKE r'^#\p{L}' THEN 'tags'
-         WHEN line RLIKE r'^[\s{}\[\]"]' THEN 'code' ELSE 'prose' END
+    CASE WHEN begins = '' THEN 'prose' WHEN left(begins, 1) = '#' THEN 'tags' WHEN right(begins, 1) = '|' THEN 'table' WHEN right(begins, 1) = '>' THEN 'quote' WHEN right(begins, 1) IN ('—', '–') THEN 'signature'
+         WHEN right(begins, 1) BETWEEN '0' AND '9' THEN 'log' WHEN right(begins, 1) IN ('{', '}', '[', ']', '"') OR NOT begins RLIKE r'\S' THEN 'code' ELSE 'bullet' END
 """
 _MASKED = r"""
     regexp_replace(regexp_replace(regexp_replace(line, r'#\d+|\b[A-Z]{2}-?\d+', 'K'), r'\d+', '0'), r'#\p{L}+|\p{Lu}\p{Ll}[\p{L}]*', '§')
@@ -53,10 +54,10 @@ _WORDS = rf"""{_KIND} AS kind, regexp_extract_all(concat('^ ^ ', {_MASKED}), r'(
 
 #: No filter stands above the words, or they would be made a second time for it.
 LINES = rf"""
-SELECT {_WORDS} FROM (
+SELECT {_WORDS} FROM (SELECT line, {_BEGINS} AS begins FROM (
   SELECT CASE WHEN {_MAYBE.format('line')} THEN regexp_replace(line, :marks, '') ELSE line END AS line
   FROM (SELECT DISTINCT body FROM texts) LATERAL VIEW explode(split(body, '\n')) AS line WHERE line RLIKE r'\S'
-)
+))
 """
 
 TEXTS = rf"""
@@ -71,7 +72,7 @@ SELECT kind, a, b, c, count_if(d IS NOT NULL) AS inside, count_if(d IS NULL) AS
 """
 
 _DEPTH = "length({0}) - length(translate({0}, '[{{', '')) > length({0}) - length(translate({0}, ']}}', ''))"
-_STRINGS = r"""regexp_replace({0}, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '')"""
+_STRINGS = r"""r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'"""
 
 #: One pass over the texts: what is open or closed at their ends, and the last three words of their last lines.
 ENDS = rf"""
@@ -79,7 +80,6 @@ SELECT doc_id, source, open, marked, dotted, closed, kind, try_element_at(words,
   SELECT doc_id, source,
     (length(whole) - length(replace(whole, '```', ''))) % 6 <> 0
     OR coalesce(contains(bare, '"') OR {_DEPTH.format('bare')}, false)
-    OR coalesce(contains(rest, '"') OR {_DEPTH.format('rest')}, false)
     OR (NOT ended AND (contains(line, '(') OR contains(line, '（')) AND length(translate(line, '(（', '')) < length(translate(line, ')）', ''))) AS open,
     NOT ended AND length(body) < length(whole) AND right(whole, 2) <> '..' AND right(whole, 1) <> '…' OR right(line, 1) = '#' AND line RLIKE r'(?:^|\s)#$' AS marked,
     right(whole, 4) = '....' AND right(whole, 5) RLIKE r'^[^\s.]' AS dotted,
@@ -87,8 +87,7 @@ SELECT doc_id, source, open, marked, dotted, closed, kind, try_element_at(words,
     {_WORDS}
   FROM (
     SELECT doc_id, source, whole, body, line, line RLIKE :sentence OR NOT line RLIKE r'[\p{{L}}\p{{N}}]' AND body RLIKE :sentence AS ended,
-           CASE WHEN body RLIKE r'^\s*[\[{{]' THEN {_STRINGS.format('body')} END AS bare,
-           CASE WHEN contains(line, '{{') OR contains(line, '[') THEN {_STRINGS.format('line')} END AS rest
+           regexp_replace(CASE WHEN body RLIKE r'^\s*[\[{{]' THEN body WHEN contains(line, '{{') OR contains(line, '[') THEN line END, {_STRINGS}, '') AS bare, {_BEGINS} AS begins
     FROM (SELECT doc_id, source, whole, body, substring_index(body, '\n', -1) AS line FROM texts)
   )
 )
