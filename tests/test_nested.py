@@ -94,8 +94,9 @@ def test_merged_schema_and_child_table(spark):
     numbers = nested.tables(nested.nodes(spark.createDataFrame([("a", "r", '{"n": [{"i": 1, "d": 2, "b": true, "s": "7"}, {"i": 12345678901234567890, "d": 0.5, "b": null}]}')], "record_key string, root string, text string")))
     assert set(numbers) == {"r", "r.n[]"}
     assert sorted((r.ordinal, int(r.i), r.d, r.b, r.s) for r in numbers["r.n[]"].collect()) == [(0, 1, 2.0, True, "7"), (1, 12345678901234567890, 0.5, None, None)]
-    with pytest.raises(ValueError):
-        nested.tables(rows, most=1)
+    few = nested.tables(rows, most=1, widest=1)  # what is beyond the bounds is in a map column and in the table without a name
+    assert set(few) == {"r[]", None} and few["r[]"].count() == 3 and few[None].count() == 2
+    assert sorted(repr(sorted(r.other_fields.items())) for r in few["r[]"].collect()) == sorted(repr(sorted(x.items())) for x in ([{"t[0]": "p", "t[1]": "q"}, {"y": None}, {}))
     table = nested.child_table(rows, "r[]", ["x", "y"])
     assert sorted((r.record_key, r.ordinal, r.x, r.y) for r in table.collect()) == [("a", 0, "1", None), ("a", 1, "s", None), ("b", 0, "2.5", None)]
 
@@ -126,3 +127,21 @@ def test_entries_and_flat_columns(spark):
     flat = nested.flat(nested.nodes(odd).where("in_array"))
     assert len({c.lower() for c in flat.columns}) == len(flat.columns)
     assert [int(i) for i in flat.where("ordinal = 0").first().t] == [1, 2]
+
+
+def test_bounds_of_flat_tables_lose_nothing(spark):
+    """More table paths and more fields than a driver should list: every value is still in some table."""
+    text = json.dumps({f"list{i}": [{f"key{i}_{j}": j for j in range(5)}] for i in range(30)})
+    rows = nested.nodes(spark.createDataFrame([("a", "r", text)], "record_key string, root string, text string"))
+    found = nested.tables(rows, most=10, widest=3)
+    assert len(found) == 11 and sum(t.count() for t in found.values()) == 31
+    values = [v for name, t in found.items() for r in t.collect() for v in [*(r[f] for f in t.columns[4 if name else 5 :] if f != "other_fields"), *((r.other_fields or {}).values() if "other_fields" in t.columns else ())] if v is not None]
+    assert len(values) == 150
+    flat = nested.flat(rows.where("in_array"), widest=20).collect()
+    assert len(flat) == 30 and sum(len(r.other_fields) for r in flat) + sum(v is not None for r in flat for v in r[5:-1]) == 150
+
+
+def test_first_valid_text_of_a_place_counts(spark):
+    df = spark.createDataFrame([("a", "r", ["{broken", '[{"x": 1}]', '[{"x": 2}, {"x": 3}]']), ("b", "r", [])], "record_key string, root string, text array<string>")
+    assert [(r.path, r.fields["x"].value) for r in nested.nodes(df).where("in_array").collect()] == [("r[0]", "1")]
+    assert nested.orphans(nested.nodes(df)).count() == 0

@@ -14,7 +14,7 @@ from weft.operators import evaluate, messages, nested, pairing, registry, rowwis
 from weft.plans import core_sql, more_queries, more_sql, views
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL: dict[str, Query] = {"p3_found": nested.p3_found, "p3_rows": nested.p3_rows, "p3_schema": nested.p3_schema, "p3_responses": nested.p3_responses, "p3_children": nested.p3_children, "p3_map_counts": nested.p3_map_counts, "p3_json_counts": nested.p3_json_counts}
+_ALL: dict[str, Query] = {"p3_found": nested.p3_found, "p3_rows": nested.p3_rows, "p3_schema": nested.p3_schema, "p3_links": nested.p3_links, "p3_orphans": nested.p3_orphans, "p3_responses": nested.p3_responses, "p3_children": nested.p3_children, "p3_map_counts": nested.p3_map_counts, "p3_json_counts": nested.p3_json_counts}
 
 
 def _query(f: Query) -> Query:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weft.plans import core_sql as _core
 from weft.plans.core_sql import _HEX, _UUID, _W, _expanded, build, fold
 
 _ROWS = "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS row_index FROM lineitem"
@@ -63,4 +64,35 @@ t AS (SELECT sample_id, turn, CASE WHEN bool_or(lk) THEN 'assistant' WHEN max(ro
 p AS (SELECT sample_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS prompt FROM t GROUP BY sample_id)
 SELECT o.sample_id, 'human' AS from_0, md5(coalesce(p.prompt, '') || '<|im_start|>assistant' || chr(10)) AS value_0, 'gpt' AS from_1, md5(o.target) AS value_1 FROM once o LEFT JOIN p ON p.sample_id = o.sample_id WHERE o.messages IS NOT NULL AND o.target IS NOT NULL
 """
+# the JSON trees of tool outputs; a row is a root or an object in an array, and every node has its nearest row above it
+_TREE = _core.ORACLES["p3_found"].split("objects AS")[0].rstrip().rstrip(",") + r""",
+once_ AS (SELECT sample_id, i, any_value(j) AS j FROM opened WHERE j IS NOT NULL GROUP BY ALL),
+tree AS (SELECT o.sample_id, o.i, n.id, n.parent, n.type, 'messages[' || o.i || '].content' || replace(substr(n.fullkey, 2), '"', '') AS path, n.value FROM once_ o, json_tree(o.j) n),
+marked AS (SELECT c.*, c.parent IS NULL OR (c.type = 'OBJECT' AND p.type = 'ARRAY') AS is_row, p.type = 'ARRAY' AS in_array FROM tree c LEFT JOIN tree p ON p.sample_id = c.sample_id AND p.i = c.i AND p.id = c.parent),
+up AS (SELECT sample_id, i, id, parent AS at FROM marked WHERE parent IS NOT NULL
+  UNION ALL SELECT u.sample_id, u.i, u.id, m.parent FROM up u JOIN marked m ON m.sample_id = u.sample_id AND m.i = u.i AND m.id = u.at WHERE NOT m.is_row),
+owned AS (SELECT c.*, o.path AS owner FROM up u JOIN marked o ON o.sample_id = u.sample_id AND o.i = u.i AND o.id = u.at AND o.is_row JOIN marked c ON c.sample_id = u.sample_id AND c.i = u.i AND c.id = u.id),
+maps AS (SELECT DISTINCT sample_id AS k, 'full_tool_success_counts' AS root, unnest(map_entries(full_tool_success_counts)) AS e, generate_subscripts(map_entries(full_tool_success_counts), 1) - 1 AS n FROM sft_samples WHERE sample_id IS NOT NULL),
+stat AS (SELECT uuid, j FROM (SELECT uuid, TRY_CAST(tool_success_counts_json AS JSON) AS j, row_number() OVER (PARTITION BY uuid ORDER BY tool_success_counts_json) AS r FROM (SELECT DISTINCT uuid, tool_success_counts_json FROM nemotron_uuid_same_tool_success_stats WHERE uuid IS NOT NULL AND json_type(TRY_CAST(tool_success_counts_json AS JSON)) = 'OBJECT')) WHERE r = 1),
+entries AS (SELECT k, root, root || '.' || e.key AS path, e.key AS name, e.value::VARCHAR AS value, n FROM maps WHERE e.value IS NOT NULL
+  UNION ALL SELECT s.uuid, 'tool_success_counts_json', 'tool_success_counts_json.' || t.key, t.key, json_extract_string(t.value, '$'), list_position(json_keys(s.j), t.key) - 1 FROM stat s, json_each(s.j) t WHERE t.type <> 'NULL')
+""".replace("WITH outs", "WITH RECURSIVE outs")
+_TREE = _TREE.replace("WITH outs", "WITH RECURSIVE outs")
+_KEY = "md5({0} || chr(31) || {1})"
+_FLAT = _TREE + f"SELECT k AS record_key, {_KEY.format('k', 'path')} AS row_id, {_KEY.format('k', 'root')} AS parent_id, root || '{{}}' AS table_path, n::INTEGER AS ordinal, name, value::DECIMAL(38, 0) AS value FROM entries WHERE root = '@R'"
+ORACLES["p3_map_counts"] = _FLAT.replace("@R", "full_tool_success_counts")
+ORACLES["p3_json_counts"] = _FLAT.replace("@R", "tool_success_counts_json")
+ORACLES["p3_links"] = _TREE + f"""SELECT sample_id AS record_key, {_KEY.format('sample_id', 'path')} AS row_id, {_KEY.format('sample_id', 'owner')} AS parent_id, regexp_replace(path, '\\[\\d+\\]', '[]', 'g') AS table_path,
+    regexp_extract(path, '\\[(\\d+)\\]$', 1)::INTEGER AS ordinal, path FROM owned WHERE is_row
+  UNION ALL SELECT k, {_KEY.format('k', 'path')}, {_KEY.format('k', 'root')}, root || '{{}}', n::INTEGER, path FROM entries"""
+ORACLES["p3_orphans"] = "SELECT ''::VARCHAR AS record_key, ''::VARCHAR AS row_id, ''::VARCHAR AS parent_id, ''::VARCHAR AS path WHERE false"
+ORACLES["p3_schema"] = _TREE.rstrip() + r""",
+fields AS (SELECT sample_id AS k, owner AS row, regexp_replace(owner, '\[\d+\]', '[]', 'g') AS table_path, regexp_replace(ltrim(substr(path, length(owner) + 1), '.'), '\[\d+\]', '[]', 'g') AS field,
+    CASE WHEN type IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN 'integer' WHEN type = 'DOUBLE' THEN CASE WHEN regexp_matches(value::VARCHAR, '^-?\d+$') THEN 'integer' ELSE 'double' END WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'BOOLEAN' THEN 'boolean' ELSE 'null' END AS type
+  FROM owned WHERE type NOT IN ('OBJECT', 'ARRAY')
+  UNION ALL SELECT k, path, root || '{}', 'name', 'string' FROM entries UNION ALL SELECT k, path, root || '{}', 'value', 'integer' FROM entries),
+rows_ AS (SELECT regexp_replace(path, '\[\d+\]', '[]', 'g') AS table_path, count(*) AS n FROM marked WHERE is_row GROUP BY 1 UNION ALL SELECT root || '{}', count(*) FROM entries GROUP BY 1)
+SELECT f.table_path, f.field, string_agg(DISTINCT f.type, '|' ORDER BY f.type) AS types, count(DISTINCT f.k || chr(31) || f.row) AS n_present, any_value(r.n) AS n_rows, count(DISTINCT f.k || chr(31) || f.row) < any_value(r.n) AS optional
+FROM fields f JOIN rows_ r ON r.table_path = f.table_path GROUP BY f.table_path, f.field
+""".replace("\\\\", "\\")
 ORACLES = {name: sql.replace("@W", _W) for name, sql in ORACLES.items()}
