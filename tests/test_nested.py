@@ -96,7 +96,7 @@ def test_merged_schema_and_child_table(spark):
     assert sorted((r.ordinal, int(r.i), r.d, r.b, r.s) for r in numbers["r.n[]"].collect()) == [(0, 1, 2.0, True, "7"), (1, 12345678901234567890, 0.5, None, None)]
     few = nested.tables(rows, most=1, widest=1)  # what is beyond the bounds is in a map column and in the table without a name
     assert set(few) == {"r[]", None} and few["r[]"].count() == 3 and few[None].count() == 2
-    assert sorted(repr(sorted(r.other_fields.items())) for r in few["r[]"].collect()) == sorted(repr(sorted(x.items())) for x in ([{"t[0]": "p", "t[1]": "q"}, {"y": None}, {}))
+    assert sorted(repr(sorted(r.other_fields.items())) for r in few["r[]"].collect()) == sorted(repr(sorted(x.items())) for x in ({"t[0]": "p", "t[1]": "q"}, {"y": None}, {}))
     table = nested.child_table(rows, "r[]", ["x", "y"])
     assert sorted((r.record_key, r.ordinal, r.x, r.y) for r in table.collect()) == [("a", 0, "1", None), ("a", 1, "s", None), ("b", 0, "2.5", None)]
 
