@@ -162,3 +162,25 @@ def test_empty_input_has_empty_statistics(spark):
         assert made(light).count() == 0
     light = stats.trajectories(frame(spark, [("u", []), ("n", None), (None, []), ("u", [])]))
     assert [r.uuid for r in stats.success_stats(light).collect()] == ["u"] and stats.repeat_stats(light).first().tool_counts_json == "{}"
+
+
+def test_long_trajectories_with_lost_outputs(spark):
+    """Thousands of messages, outputs before their calls among them: the same pairs as a queue gives."""
+    import json
+    import random
+
+    rng = random.Random(3)
+    messages = [{"role": rng.choice(["tool_call", "tool_output", "reasoning", "user", "answer"]), "content": f'{{"name": "t{i % 5}"}}'} for i in range(4000)]
+    queue, pairs, lost = [], [], 0
+    for i, m in enumerate(messages):
+        if m["role"] == "tool_call":
+            queue.append(i)
+        elif m["role"] == "tool_output":
+            if queue:
+                pairs.append((queue.pop(0), i))
+            else:
+                lost += 1
+    df = spark.createDataFrame([("u", "s", json.dumps(messages))], "uuid string, split string, messages string")
+    row = rowwise.analysed(df, outcomes=False).first()
+    assert [(p.call_index, p.output_index) for p in row.pairs] == pairs and lost and row.unpaired_outputs == lost and row.unpaired_calls == len(queue)
+    assert [p.k for p in row.pairs] == list(range(1, len(pairs) + 1))

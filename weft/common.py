@@ -45,3 +45,8 @@ def one_per_key(rows: DataFrame, *keys: str) -> DataFrame:
     best = rows.groupBy(*keys).agg(F.max(packed).alias("_best"))
     value = lambda c: (F.map_from_entries(F.col("_best")[c]) if c in maps else F.col("_best")[c]).alias(c)
     return best.select(*(F.col(c) if c in keys else value(c) for c in rows.columns))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it, also within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

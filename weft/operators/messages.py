@@ -47,19 +47,11 @@ def serialized(turns: DataFrame) -> DataFrame:
 
 
 def serialize_array(messages: Column | str) -> Column:
-    """The same markup from an array of messages, within the row: a fold that opens and closes turns."""
-    def step(state: Column, m: Column) -> Column:
-        role, text = F.trim(F.coalesce(m["role"], F.lit(""))), F.coalesce(m["content"], F.lit(""))
-        like = role.isin(*ASSISTANT)
-        goes_on = like & state["open"] & (role != "reasoning")
-        close = F.when(state["open"] & ~goes_on, F.lit("<|im_end|>\n")).otherwise(F.lit(""))
-        head = F.when(goes_on, F.lit("\n")).when(like, F.lit("<|im_start|>assistant\n")).otherwise(F.concat(F.lit("<|im_start|>"), F.when(role == "tool_output", F.lit("tool")).otherwise(role), F.lit("\n")))
-        tail = F.when(like, F.lit("")).otherwise(F.lit("<|im_end|>\n"))
-        return F.struct(F.concat(state["text"], close, head, text, tail).alias("text"), like.alias("open"))
-
-    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("open"))
-    done = F.aggregate(messages, start, step)
-    return F.concat(done["text"], F.when(done["open"], F.lit("<|im_end|>\n")).otherwise(F.lit("")), F.lit("<|im_start|>assistant\n"))
+    """The same markup from an array of messages, within the row: its turns, each joined once."""
+    from weft.operators.rowwise import turns
+
+    shown = F.transform(turns(messages), lambda t: chatml(F.coalesce(t["role"], F.lit("")), F.array_join(t["lines"], "\n")))
+    return F.concat(F.array_join(shown, ""), F.lit("<|im_start|>assistant\n"))
 
 
 def neighbours(rows: DataFrame) -> DataFrame:

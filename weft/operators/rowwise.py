@@ -1,8 +1,11 @@
 """Pairs, decisions and counts of a trajectory within its row: no shuffle before the messages are gone.
 
-One fold over a row's messages keeps the calls so far, how many of them have their output, the pairs, the outputs
-without a call, and the run of reasoning that a decision would begin with. ``pairing`` and ``segments`` hold the same
-semantics as windows over rows of messages, for input that is stored so.
+All of it is index arithmetic over arrays, linear in the number of messages. Calls and outputs are filtered out in order; an
+output's place among both says how many calls came before it. Where no output comes before its call, the k-th output
+belongs to the k-th call. Only a trajectory with an output too many is folded, and what the fold collects goes into
+chunks, so that no step copies more than one chunk and the list of them. A decision begins after the last message before
+it that is no reasoning. ``pairing`` and ``segments`` hold the same semantics as windows over rows of messages, for
+input that is stored so.
 """
 
 from __future__ import annotations
@@ -10,43 +13,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.common import one_per_key
+from weft.common import let, one_per_key
 from weft.functions.outcome import classify_outputs
 from weft.functions.text import tool_name
 from weft.operators.messages import ASSISTANT, MESSAGE
 from weft.operators.pairing import NO_NAME
 
-CALL = "struct<idx:int,tool_name:string>"
 PAIR = "struct<k:bigint,tool_name:string,call_index:int,output_index:int,result:string>"
-DECISION = "struct<start:int,end:int>"
 
 
 def _is(m: Column, role: str) -> Column:
     return F.coalesce(m["role"] == role, F.lit(False))
 
 
-def _fold(messages: Column, verdicts: Column) -> Column:
-    element = lambda m, i: F.struct(i.cast("int").alias("i"), F.coalesce(m["role"], F.lit("")).alias("role"), F.when(_is(m, "tool_call"), F.coalesce(tool_name(m["content"], m["name"]), F.lit(NO_NAME))).alias("name"))
+#: Pairs that a fold collects before it puts them away.
+CHUNK = 64
+
+
+def _elements(messages: Column) -> Column:
+    """(i, role, name) of each message; the name is that of a call's tool."""
+    return F.transform(messages, lambda m, i: F.struct(i.cast("int").alias("i"), F.coalesce(m["role"], F.lit("")).alias("role"), F.when(_is(m, "tool_call"), F.coalesce(tool_name(m["content"], m["name"]), F.lit(NO_NAME))).alias("name")))
+
+
+def _pair(output: Column, seen: Column, used: Column) -> Column:
+    """The pair of the output number ``seen`` and the call number ``used``, both from 0."""
+    call = F.get("calls", used)
+    return F.struct((used + 1).cast("bigint").alias("k"), call["tool_name"].alias("tool_name"), call["idx"].alias("call_index"), output["i"].alias("output_index"), F.get("verdicts", seen).alias("result"))
+
+
+def _pairs() -> Column:
+    """Pairs of the columns ``calls``, ``outs`` (outputs with their place q among calls and outputs) and ``verdicts``, first in, first out."""
+    numbered = F.transform("outs", lambda o, j: F.struct(o["i"].alias("i"), j.alias("j"), (o["q"] - j).alias("before")))
     empty = lambda kind: F.array().cast(f"array<{kind}>")
-    zero = F.struct(empty(CALL).alias("calls"), F.lit(0).alias("used"), F.lit(0).alias("seen"), F.lit(0).alias("lost"), F.lit(-1).alias("run"), empty(PAIR).alias("pairs"), empty(DECISION).alias("decisions"))
-
-    def step(s: Column, m: Column) -> Column:
-        call, output, thinks = m["role"] == "tool_call", m["role"] == "tool_output", m["role"] == "reasoning"
-        decides = call | (m["role"] == "answer")
-        waiting = F.get(s["calls"], s["used"])
-        paired = output & (s["used"] < F.size(s["calls"]))
-        pair = F.struct((s["used"] + 1).cast("bigint").alias("k"), waiting["tool_name"].alias("tool_name"), waiting["idx"].alias("call_index"), m["i"].alias("output_index"), F.get(verdicts, s["seen"]).alias("result"))
+    zero = F.struct(F.lit(0).alias("used"), empty(f"array<{PAIR}>").alias("full"), empty(PAIR).alias("part"))
+
+    def step(s: Column, o: Column) -> Column:
+        takes, fills = s["used"] < o["before"], F.size(s["part"]) >= CHUNK
+        new = F.array(_pair(o, o["j"], s["used"]))
         return F.struct(
-            F.when(call, F.concat(s["calls"], F.array(F.struct(m["i"].alias("idx"), m["name"].alias("tool_name"))))).otherwise(s["calls"]).alias("calls"),
-            (s["used"] + paired.cast("int")).alias("used"),
-            (s["seen"] + output.cast("int")).alias("seen"),
-            (s["lost"] + (output & ~paired).cast("int")).alias("lost"),
-            F.when(~thinks, F.lit(-1)).when(s["run"] < 0, m["i"]).otherwise(s["run"]).alias("run"),
-            F.when(paired, F.concat(s["pairs"], F.array(pair))).otherwise(s["pairs"]).alias("pairs"),
-            F.when(decides, F.concat(s["decisions"], F.array(F.struct(F.when(s["run"] >= 0, s["run"]).otherwise(m["i"]).alias("start"), m["i"].alias("end"))))).otherwise(s["decisions"]).alias("decisions"),
+            (s["used"] + takes.cast("int")).alias("used"),
+            F.when(takes & fills, F.concat(s["full"], F.array(s["part"]))).otherwise(s["full"]).alias("full"),
+            F.when(takes & fills, new).when(takes, F.concat(s["part"], new)).otherwise(s["part"]).alias("part"),
         )
 
-    return F.aggregate(F.transform(messages, element), zero, step)
+    folded = F.aggregate(numbered, zero, step, lambda s: F.flatten(F.concat(s["full"], F.array(s["part"]))))
+    too_many = F.size(F.filter("outs", lambda o, j: o["q"] - j <= j)) > 0
+    return F.when(too_many, folded).otherwise(F.transform("outs", lambda o, j: _pair(o, j, j)))
+
+
+def _decisions() -> Column:
+    """(start, end) of the decisions, out of the column ``solid``: all messages that are no reasoning, in order."""
+    each = F.transform("solid", lambda x, k: F.struct((F.coalesce(F.get("solid", k - 1)["i"], F.lit(-1)) + 1).alias("start"), x["i"].alias("end"), x["role"].alias("role")))
+    return F.transform(F.filter(each, lambda x: x["role"].isin("tool_call", "answer")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def parsed(trajectories: DataFrame) -> DataFrame:
@@ -64,10 +82,17 @@ def analysed(trajectories: DataFrame, outcomes: bool = True) -> DataFrame:
     rows = parsed(trajectories)
     outputs = F.transform(F.filter("messages", lambda m: _is(m, "tool_output")), lambda m: m["content"])
     rows = rows.withColumn("verdicts", classify_outputs(outputs) if outcomes else F.lit(None).cast("array<string>"))
-    rows = rows.withColumn("f", _fold(F.col("messages"), F.col("verdicts")))
+    rows = rows.withColumn("e", _elements(F.col("messages")))
+    rows = rows.withColumn("events", F.transform(F.filter("e", lambda x: x["role"].isin("tool_call", "tool_output")), lambda x, q: F.struct(x["i"].alias("i"), x["role"].alias("role"), x["name"].alias("name"), q.alias("q"))))
+    rows = rows.withColumns({
+        "calls": F.transform(F.filter("events", lambda x: x["role"] == "tool_call"), lambda x: F.struct(x["i"].alias("idx"), x["name"].alias("tool_name"))),
+        "outs": F.filter("events", lambda x: x["role"] == "tool_output"),
+        "solid": F.filter("e", lambda x: x["role"] != "reasoning"),
+    }).drop("e", "events")
+    rows = rows.withColumns({"pairs": _pairs(), "decisions": _decisions()})
     return rows.select(
-        "uuid", "split", "messages", "broken", F.col("f.calls").alias("calls"), F.col("f.pairs").alias("pairs"), (F.size("f.calls") - F.col("f.used")).cast("bigint").alias("unpaired_calls"),
-        F.col("f.lost").cast("bigint").alias("unpaired_outputs"), F.col("f.seen").cast("bigint").alias("outputs"), F.col("f.decisions").alias("decisions"),
+        "uuid", "split", "messages", "broken", "calls", "pairs", (F.size("calls") - F.size("pairs")).cast("bigint").alias("unpaired_calls"),
+        (F.size("outs") - F.size("pairs")).cast("bigint").alias("unpaired_outputs"), F.size("outs").cast("bigint").alias("outputs"), "decisions",
     )
 
 
@@ -82,16 +107,24 @@ def joined(messages: Column, first: Column, last: Column) -> Column:
 
 
 def turns(messages: Column | str) -> Column:
-    """Chat turns as an array of (role, lines): assistant-like messages merge, a reasoning begins a new turn."""
-    zero = F.array().cast("array<struct<role:string,like:boolean,lines:array<string>>>")
-
-    def step(done: Column, m: Column) -> Column:
-        role, text = F.trim(m["role"]), F.coalesce(m["content"], F.lit(""))
-        like = F.coalesce(role.isin(*ASSISTANT), F.lit(False))
-        last = F.try_element_at(done, F.lit(-1))
-        merges = like & F.coalesce(last["like"], F.lit(False)) & (role != "reasoning")
-        shown = F.when(like, "assistant").when(role == "tool_output", "tool").otherwise(role)
-        longer = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["role"].alias("role"), last["like"].alias("like"), F.concat(last["lines"], F.array(text)).alias("lines"))))
-        return F.when(merges, longer).otherwise(F.concat(done, F.array(F.struct(shown.alias("role"), like.alias("like"), F.array(text).alias("lines")))))
-
-    return F.aggregate(messages, zero, step)
+    """Chat turns as an array of (role, like, lines): assistant-like messages merge, a reasoning begins a new turn.
+
+    Turns are found by their first messages, each of which is told by its neighbour alone; nothing is copied twice.
+    """
+    whole = F.col(messages) if isinstance(messages, str) else messages
+    like = lambda m: F.coalesce(F.trim(m["role"]).isin(*ASSISTANT), F.lit(False))
+    flags = F.transform(whole, lambda m, i: F.struct(i.cast("int").alias("i"), like(m).alias("like"), F.trim(m["role"]).alias("role")))
+
+    def starts(flag: Column) -> Column:
+        return F.filter(flag, lambda x, i: ~x["like"] | ~F.coalesce(F.get(flag, i - 1)["like"], F.lit(False)) | F.coalesce(x["role"] == "reasoning", F.lit(False)))
+
+    def each(start: Column) -> Column:
+        def turn(x: Column, k: Column) -> Column:
+            after = F.coalesce(F.get(start, k + 1)["i"], F.size(whole))
+            lines = F.transform(F.slice(whole, x["i"] + 1, after - x["i"]), lambda m: F.coalesce(m["content"], F.lit("")))
+            shown = F.when(x["like"], "assistant").when(x["role"] == "tool_output", "tool").otherwise(x["role"])
+            return F.struct(shown.alias("role"), x["like"].alias("like"), lines.alias("lines"))
+
+        return F.transform(start, turn)
+
+    return let(let(flags, starts), each)

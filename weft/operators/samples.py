@@ -61,7 +61,10 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 def facts(trajectories: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row per trajectory with all that the sample rules ask for, and ``reject_reason``; ``manifest(uuid, partition, source_subset)``."""
-    rows = rowwise.once(_counted(rowwise.analysed(trajectories)))
+    rows = _counted(rowwise.analysed(trajectories))
+    # what a row is rejected for by itself is known before it is shuffled: only flags of such rows are moved, not their messages
+    sound = ~F.col("broken") & (F.coalesce(F.col("unpaired_calls") + F.col("unpaired_outputs"), F.lit(0)) == 0) & ~F.coalesce(F.col("nameless"), F.lit(False))
+    rows = rowwise.once(rows.withColumns({c: F.when(sound, F.col(c)) for c in ("messages", "decisions", "focal_outputs", "full_tool_success_counts")}))
     parts = manifest.where("uuid is not null").groupBy("uuid").agg(F.min("partition").alias("partition"), F.min("source_subset").alias("source_subset"), F.lit(True).alias("known"))
     out = rows.join(parts, "uuid", "left")
     reason = (
