@@ -35,21 +35,21 @@ def _elements(messages: Column) -> Column:
     return F.transform(messages, lambda m, i: F.struct(i.cast("int").alias("i"), F.coalesce(m["role"], F.lit("")).alias("role"), F.when(_is(m, "tool_call"), F.coalesce(tool_name(m["content"], m["name"]), F.lit(NO_NAME))).alias("name")))
 
 
-def _pair(output: Column, seen: Column, used: Column) -> Column:
+def _pair(row: Column, output: Column, seen: Column, used: Column) -> Column:
     """The pair of the output number ``seen`` and the call number ``used``, both from 0."""
-    call = F.get("calls", used)
-    return F.struct((used + 1).cast("bigint").alias("k"), call["tool_name"].alias("tool_name"), call["idx"].alias("call_index"), output["i"].alias("output_index"), F.get("verdicts", seen).alias("result"))
+    call = F.get(row["calls"], used)
+    return F.struct((used + 1).cast("bigint").alias("k"), call["tool_name"].alias("tool_name"), call["idx"].alias("call_index"), output["i"].alias("output_index"), F.get(row["verdicts"], seen).alias("result"))
 
 
-def _pairs() -> Column:
-    """Pairs of the columns ``calls``, ``outs`` (outputs with their place q among calls and outputs) and ``verdicts``, first in, first out."""
-    numbered = F.transform("outs", lambda o, j: F.struct(o["i"].alias("i"), j.alias("j"), (o["q"] - j).alias("before")))
+def _pairs(row: Column) -> Column:
+    """Pairs of a struct of ``calls``, ``outs`` (outputs with their place q among calls and outputs) and ``verdicts``, first in, first out."""
+    numbered = F.transform(row["outs"], lambda o, j: F.struct(o["i"].alias("i"), j.alias("j"), (o["q"] - j).alias("before")))
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     zero = F.struct(F.lit(0).alias("used"), empty(f"array<{PAIR}>").alias("full"), empty(PAIR).alias("part"))
 
     def step(s: Column, o: Column) -> Column:
         takes, fills = s["used"] < o["before"], F.size(s["part"]) >= CHUNK
-        new = F.array(_pair(o, o["j"], s["used"]))
+        new = F.array(_pair(row, o, o["j"], s["used"]))
         return F.struct(
             (s["used"] + takes.cast("int")).alias("used"),
             F.when(takes & fills, F.concat(s["full"], F.array(s["part"]))).otherwise(s["full"]).alias("full"),
@@ -57,13 +57,13 @@ def _pairs() -> Column:
         )
 
     folded = F.aggregate(numbered, zero, step, lambda s: F.flatten(F.concat(s["full"], F.array(s["part"]))))
-    too_many = F.size(F.filter("outs", lambda o, j: o["q"] - j <= j)) > 0
-    return F.when(too_many, folded).otherwise(F.transform("outs", lambda o, j: _pair(o, j, j)))
+    too_many = F.size(F.filter(row["outs"], lambda o, j: o["q"] - j <= j)) > 0
+    return F.when(too_many, folded).otherwise(F.transform(row["outs"], lambda o, j: _pair(row, o, j, j)))
 
 
-def _decisions() -> Column:
-    """(start, end) of the decisions, out of the column ``solid``: all messages that are no reasoning, in order."""
-    each = F.transform("solid", lambda x, k: F.struct((F.coalesce(F.get("solid", k - 1)["i"], F.lit(-1)) + 1).alias("start"), x["i"].alias("end"), x["role"].alias("role")))
+def _decisions(solid: Column) -> Column:
+    """(start, end) of the decisions, out of all messages that are no reasoning, in order."""
+    each = F.transform(solid, lambda x, k: F.struct((F.coalesce(F.get(solid, k - 1)["i"], F.lit(-1)) + 1).alias("start"), x["i"].alias("end"), x["role"].alias("role")))
     return F.transform(F.filter(each, lambda x: x["role"].isin("tool_call", "answer")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
@@ -89,7 +89,8 @@ def analysed(trajectories: DataFrame, outcomes: bool = True) -> DataFrame:
         "outs": F.filter("events", lambda x: x["role"] == "tool_output"),
         "solid": F.filter("e", lambda x: x["role"] != "reasoning"),
     }).drop("e", "events")
-    rows = rows.withColumns({"pairs": _pairs(), "decisions": _decisions()})
+    # bound as wholes, so that no plan works an array out again for each of its elements
+    rows = rows.withColumns({"pairs": let(F.struct("calls", "outs", "verdicts"), _pairs), "decisions": let(F.col("solid"), _decisions)})
     return rows.select(
         "uuid", "split", "messages", "broken", "calls", "pairs", (F.size("calls") - F.size("pairs")).cast("bigint").alias("unpaired_calls"),
         (F.size("outs") - F.size("pairs")).cast("bigint").alias("unpaired_outputs"), F.size("outs").cast("bigint").alias("outputs"), "decisions",
