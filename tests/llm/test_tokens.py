@@ -136,3 +136,38 @@ def test_actual_shares_and_what_is_lacking(spark):
         size = sum(r.tokens for r in got.values())
         assert abs(size - 2400) < 20 if fill else size < 1600
     assert mixing._filled({"a": (0.5, 10.0), "b": (0.5, 1000.0)}, 100.0) == {"a": 10.0, "b": 90.0}
+
+
+def test_budget_equals_texts_counted_one_by_one(spark, root):
+    """Slices of distinct pieces, merged once per table, against the tokens of every record."""
+    sets = [["source", "lang", "topic"], ["source"], []]
+    docs = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text", "lang", "source", "topic")
+    odd = spark.createDataFrame([(-i - 1, t, "en", None if i % 2 else "odd", "t") for i, t in enumerate(ODD)], docs.schema)
+    docs = docs.unionByName(odd).unionByName(odd)
+    dims = ["source", "lang", "topic"]
+    got = budget.token_slices(docs, "doc_id", dims, "text", sets)
+    want = budget.slices(bpe.count_tokens(docs, "text"), "doc_id", dims, sets)
+    assert sorted(map(repr, got.select(sorted(got.columns)).collect())) == sorted(map(repr, want.select(sorted(want.columns)).collect()))
+    samples = spark.read.parquet(f"{root}/sft_samples.parquet")
+    whole = {r.level: r.n_tokens for r in budget.p6_token_budget(spark, root).where("origin = 'sft_samples' and level = 'total'").collect()}
+    each = budget.slices(budget.sample_tokens(samples), "sample_id", ["source"], [[]]).first()
+    assert whole == {"total": each.n_tokens}
+
+
+def test_budget_edges(spark, public):
+    least = len(public(["least"])[0])
+    schema = "k string, d string, text string"
+    rows = [("a", "x", "one two"), ("a", "x", "one two"), ("b", None, None), ("c", None, ""), (None, "x", "lost"), ("d", "y", "q"), ("d", "y", "qqqqqqqq zzzzzz"), ("d", "a", "least")]
+    got = {(r.level, r.d): (r.n_rows, r.n_tokens) for r in budget.token_slices(spark.createDataFrame(rows, schema), "k", ["d"], "text", [["d"], []]).collect()}
+    assert got["d", "x"] == (1, 2) and got["d", None] == (2, 0) and got["d", "a"] == (1, least) and got["total", None] == (4, 2 + least) and ("d", "y") not in got
+    many = budget.once_per_key(spark.createDataFrame(rows, schema), "k", ["d"], "text", few=0)
+    assert many[0].count() == 4 and many[1].count() == 4
+    assert budget.token_slices(spark.createDataFrame([], schema), "k", ["d"], "text", [["d"]]).count() == 0
+
+
+def test_whole_pieces_are_one_token(public):
+    encoder = bpe.Encoder(bpe.merges())
+    pieces = [" the", "the", " Haus", "xqzj", "1234", "  ", "你", " straße", "!!", "\n\n", "'s", "ing", " été"]
+    for p, ids in zip(pieces, public(pieces), strict=True):
+        assert not encoder.whole(p) or len(ids) == 1
+    assert encoder.whole(" the") and encoder.merge(pieces).tolist() == [len(x) for x in public(pieces)]

@@ -6,9 +6,14 @@ A vocabulary is a file of base64 tokens with their ranks. It is read once on the
 ``encode`` gives ids: within each pre-split piece a segment tree over the ranks of adjacent pairs yields the leftmost
 pair of lowest rank at its root; a merge updates three leaves, each in logarithmic time, until no pair can be merged.
 
-``count`` gives numbers of tokens: the distinct pre-split pieces of a batch of texts are stored as one array of symbols;
-adjacent pairs are joined with the merge ranks, the lowest-ranked pairs of every piece are merged at once, and this
-is repeated until nothing merges.
+``merge`` gives numbers of tokens of distinct pieces: they are stored as one array of symbols; adjacent pairs are joined with
+the merge ranks, the lowest-ranked pairs of every piece are merged at once, and this is repeated until nothing merges.
+``piece_counts`` and ``piece_sizes`` do so for a whole table, with each distinct piece of it merged once: pieces are counted
+per slice where the texts are read, a piece that is a token by itself only as one token, and all others are made distinct,
+merged, written, and joined back to their counts. ``count_tokens`` counts texts one by one where the sum of each is wanted.
+
+Texts, pieces and caches of any size give the same ids and numbers: a long piece is only not kept for a second use, a long
+text is split as it is read, and a full cache is emptied.
 
 Defined results: null and empty texts have no ids and no tokens; what looks like a special token is ordinary text.
 """
@@ -25,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Where the vocabulary lies, unless a caller names another file.
 VOCABULARY = os.environ.get("WEFT_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -71,6 +77,7 @@ class Encoder:
         self.pair = dict(zip(keys.tolist(), merged.tolist(), strict=True))
         self.byte_list = self.bytes.tolist()
         self.split = regex.compile(PATTERN)
+        self._whole: frozenset[bytes] | None = None
         self.ids: dict[str, list[int]] = {}
         self.sizes: dict[str, int] = {}
         self.texts: dict[str, int] = {}
@@ -123,6 +130,16 @@ class Encoder:
                     x >>= 1
         return [t for t in ids if t >= 0]
 
+    def whole(self, piece: str) -> bool:
+        """Whether a piece is a token by itself: its own merges lead to it, and no other can come before them."""
+        if self._whole is None:
+            left, right, merged = self.tables[1:]
+            texts = {int(i): bytes([b]) for b, i in enumerate(self.byte_list)}
+            for a, b, m in zip(left.tolist(), right.tolist(), merged.tolist(), strict=True):  # in order of rank, so that the parts are known
+                texts[m] = texts[a] + texts[b]
+            self._whole = frozenset(texts.values())
+        return piece.encode("utf-8") in self._whole
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -275,3 +292,96 @@ def count_tokens(df: DataFrame, texts: str, path: str = VOCABULARY, name: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums, pa.int64())], names=[*rest, name])
 
     return df.select(*rest, texts).mapInArrow(run, f"{kinds}, `{name}` bigint" if kinds else f"`{name}` bigint")
+
+
+def piece_counts(df: DataFrame, dims: list[str], texts: str, path: str = VOCABULARY) -> DataFrame:
+    """(dims, piece, n): how often each distinct piece stands in the column ``texts`` (a text or an array of texts) of a slice.
+
+    Pieces that are tokens by themselves are counted together under a null piece. Equal texts that come close together, such as
+    shared system messages, are split once. Counts are summed up within a task before they are shuffled.
+    """
+    shared = _share(df, path)
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in dims)
+    schema = f"{kinds}, piece string, n bigint" if kinds else "piece string, n bigint"
+    types = [pa.string() if df.schema[c].dataType.simpleString() == "string" else None for c in dims]
+    nested = df.schema[texts].dataType.typeName() == "array"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(shared)
+        whole: dict[str, bool] = {}
+        waiting: dict[str, Counter] = {}
+        found: dict[tuple, Counter] = {}
+        chars = entries = 0
+
+        def split() -> None:
+            nonlocal chars, entries
+            for text, slices in waiting.items():
+                pieces = Counter(m.group() for m in encoder.split.finditer(text)) if len(text) > 2_000_000 else Counter(encoder.split.findall(text))
+                single, rest = 0, []
+                for p, n in pieces.items():
+                    known = whole.get(p)
+                    if known is None:
+                        known = encoder.whole(p)
+                        if len(p) < 64:
+                            whole[p] = known
+                    if known:
+                        single += n
+                    else:
+                        rest.append((p, n))
+                for key, times in slices.items():
+                    own = found.setdefault(key, Counter())
+                    entries -= len(own)
+                    own[None] += single * times
+                    for p, n in rest:
+                        own[p] += n * times
+                    entries += len(own)
+            waiting.clear()
+            chars = 0
+            if len(whole) > encoder.KEPT:
+                whole.clear()
+
+        def flush() -> pa.RecordBatch:
+            nonlocal entries
+            rows = [(*key, p, n) for key, own in found.items() for p, n in own.items()]
+            found.clear()
+            entries = 0
+            columns = list(zip(*rows, strict=True)) if rows else [()] * (len(dims) + 2)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.string(), pa.int64()], strict=True)], names=[*dims, "piece", "n"])
+
+        for batch in batches:
+            cells = batch.column(len(dims)).to_pylist()
+            keys = zip(*(batch.column(i).to_pylist() for i in range(len(dims))), strict=True) if dims else (() for _ in cells)
+            for key, cell in zip(keys, cells, strict=True):
+                for text in (cell or ()) if nested else (cell,):
+                    if text:
+                        if text not in waiting:
+                            waiting[text] = Counter()
+                            chars += len(text)
+                        waiting[text][key] += 1
+                if chars > 1_000_000:
+                    split()
+                    if entries > 300_000:
+                        yield flush()
+        split()
+        yield flush()
+
+    counted = df.select(*dims, texts).mapInArrow(run, schema)
+    return counted.groupBy(*dims, "piece").agg(F.sum("n").alias("n"))
+
+
+def piece_sizes(pieces: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(piece, tokens) of ``pieces(piece)``, distinct pieces, all of a batch merged side by side."""
+    shared = _share(pieces, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(shared)
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            order = sorted(range(len(found)), key=lambda i: len(found[i]))  # pieces of like length are done after like many rounds
+            sizes = np.zeros(len(found), dtype=np.int64)
+            for start in range(0, len(order), 50_000):
+                part = order[start : start + 50_000]
+                sizes[part] = encoder.merge([found[i] for i in part])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes)], names=["piece", "tokens"])
+
+    return pieces.select("piece").mapInArrow(run, "piece string, tokens bigint")
