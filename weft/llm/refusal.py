@@ -42,13 +42,12 @@ _LOOKING = {
     "pt": "encontrar|ver|localizar|aceder|acessar|abrir|ler|carregar|confirmar|verificar|obter|determinar|identificar|ligar|achar|descarregar|baixar|consultar",
     "zh": "找到|查到|看到|读取|打开|访问|连接|获取|加载|确认|定位|检索|查询|识别|下载|看见|判断",
 }
-_GAP = {"en": r"(?:[\w',-]+\s+){0,4}?", "rest": r"(?:[\w'’,-]+\s+){0,5}?"}
+_GAP = r"(?:[\w',-]+\s+){0,4}?"
 _EN_NEGATED = (
     r"(?:ca(?:n't|nnot|n not)|could(?:n't| not) (?:possibly|in good conscience)|wo(?:n't|uld not|uldn't)|will not|may not|must(?:n't| not)|should(?:n't| not)|"
     r"(?:am|'m|are|'re|be|is|feel) (?:\w+ )?(?:unable|not able|not allowed|not permitted|not authori[sz]ed|not in a position|not comfortable|not going|not willing|not supposed|not equipped|not designed|not free|unwilling|prohibited|forbidden|barred) (?:to|from)?|"
     r"(?:don't|do not) (?:have (?:the )?(?:permission|authority|clearance) to|feel comfortable|wish to|want to|intend to|plan to))"
 )
-_FIRST = {"en": r"\b(?:i|we)\b", "de": r"\b(?:ich|wir|mir|uns)\b", "fr": r"\b(?:je|j'|nous|m')"}
 
 
 def _not_looking(lang: str, words: str = "") -> str:
@@ -58,8 +57,8 @@ def _not_looking(lang: str, words: str = "") -> str:
 #: Patterns of declining sentences, in lower case and with plain apostrophes.
 _DECLINES = {
     "en": [
-        rf"\b(?:i|we)(?=[\s'])\s*{_GAP['en']}{_EN_NEGATED}\s+{_not_looking('en', r'(?:[a-z]+ly |even |yet |currently |at the moment |now )?')}\w",
-        rf"\b(?:i|we)\s+{_GAP['en']}(?:decline|refuse|abstain|must pass|will pass|have to pass|opt out)\b",
+        rf"\b(?:i|we)(?=[\s'])\s*{_GAP}{_EN_NEGATED}\s+{_not_looking('en', r'(?:[a-z]+ly |even |yet |currently |at the moment |now )?')}\w",
+        rf"\b(?:i|we)\s+{_GAP}(?:decline|refuse|abstain|must pass|will pass|have to pass|opt out)\b",
         r"\b(?:decline|refuse) (?:to|this|that|your|such)\b",
         r"\b(?:have|need|has|going|forced|obliged) to (?:decline|refuse|say no|turn (?:this|that|it|you) down|pass on)\b",
         r"\b(?:i|we)\s+(?:\w+\s+)?(?:don't|do not|never)\s+(?:do|handle|help|engage|assist|discuss|provide|support|answer|offer|comment|give|share|work|write|produce|create|generate|participate|take part|touch)\b",
