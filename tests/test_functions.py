@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,31 @@ def test_template():
     assert tokens.render(chat) == want
     assert tokens.render([], open_turn=True, thinking=False) == "<|im_start|>assistant\n<think>\n\n</think>\n\n"
     assert tokens.render([{"role": "user", "content": "q"}], tools=[{"name": "f"}]).startswith("<|im_start|>system\n# Tools\n")
+
+
+def test_prediction_arrays_against_brute_force(spark, root):
+    """The first readable array of every document: all pairs of brackets are tried, from the left."""
+
+    def brute(text):
+        bare = re.sub(r"(?is)<think>.*?</think>", "", text).strip()
+        if bare.startswith("```"):
+            bare = (bare.split("\n", 1)[1] if "\n" in bare else bare).rstrip()
+            bare = (bare[:-3] if bare.endswith("```") else bare).strip()
+        closing = [i for i, c in enumerate(bare) if c == "]"]
+        for start in (i for i, c in enumerate(bare) if c == "["):
+            for end in closing:
+                if end > start:
+                    try:
+                        return json.loads(bare[start : end + 1])
+                    except ValueError:
+                        continue
+        return None
+
+    rows = spark.read.parquet(f"{root}/documents.parquet").where("text is not null").select("doc_id", "text", outcome.normalize_prediction("text").alias("p")).collect()
+    for r in rows:
+        want = brute(r.text)
+        assert r.p.valid == (want is not None)
+        if want is not None:
+            assert json.loads(r.p.normalized) == want
+            name = want[0].get("name") if want and isinstance(want[0], dict) else None
+            assert r.p.tool == (name if isinstance(name, str) else None)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.common import let
 from weft.functions.text import MARKER, hash_unit, source_id
 from weft.operators.ranking import with_row_index
 
@@ -30,10 +31,10 @@ def name_of(tool: Column) -> Column:
 
 
 def unique_by_name(tools: Column) -> Column:
-    """The first tool of each name, in order; tools without a name are dropped."""
+    """The first tool of each name, in order; tools without a name are dropped. Each tool is parsed once."""
     named = F.filter(F.transform(tools, lambda t: F.struct(name_of(t).alias("name"), t.alias("tool"))), lambda x: x["name"].isNotNull())
-    names = F.transform(named, lambda x: x["name"])
-    return F.filter(named, lambda x, i: F.array_position(names, x["name"]) == i + 1)
+    first = lambda found: lambda names: F.filter(found, lambda x, i: F.array_position(names, x["name"]) == i + 1)
+    return let(named, lambda found: let(F.transform(found, lambda x: x["name"]), first(found)))
 
 
 def validated(rows: DataFrame, threshold: int = 3, check_rule: bool = True) -> DataFrame:

@@ -50,7 +50,7 @@ def tool_rows(spark, root: str) -> DataFrame:
     topics = catalog.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("tool_id", tool.alias("t"), "tool_name"))).alias("all"))
     focal = catalog.select(F.col("tool_name").alias("focal"), tool.alias("own"), "topic").join(topics, "topic")
     rows = table(spark, root, "sft_samples").where("sample_id is not null and focal_tool is not null").groupBy(F.col("sample_id").alias("id")).agg(F.max(folded("focal_tool")).alias("focal"))
-    rows = rows.join(F.broadcast(focal), "focal")  # the catalog is a fixed table of tools
+    rows = rows.join(focal, "focal")
     n = F.ascii("id")
     first = F.transform(F.filter(F.slice("all", F.lit(1), n % 5 + 1), lambda x: x["tool_name"] != F.col("focal")), lambda x: x["t"])
     tools = F.when(n % 3 == 0, first).otherwise(F.concat(first, F.array("own")))

@@ -43,7 +43,8 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="weft-package-")) / "weft.zip"
+    target = Path(tempfile.mkdtemp(prefix="weft-package-")) / "weft.zip"  # code, not data: Spark sends it on from here
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent).as_posix())
@@ -69,33 +70,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As ``cut``, but as a Parquet table in that folder: compressed, and later readers take only the columns they need.
+_LEFT: list[tuple[Any, Any]] = []  # file system and place of what is to be removed at the end
 
-    The folder is removed at the end of the application.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
 
-
-_WRITTEN: list[tuple[SparkSession, str]] = []
+def _remove_later(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _LEFT.append((place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place))
 
 
 @atexit.register
-def _remove_written() -> None:
-    for spark, path in _WRITTEN:
+def _remove() -> None:
+    for files, place in _LEFT:
         try:
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # noqa: BLE001 (the session may be gone; the folder is then the cluster's to clean)
+            files.delete(place, True)
+        except Exception:  # noqa: BLE001 (the JVM may be gone; the folder is then the cluster's to clean)
             return
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a Parquet table in that folder: compressed, and later readers take only the columns they need."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _remove_later(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there; survives the loss of executors."""
+    """Write ``df`` to the shared checkpoint folder and go on from there; survives the loss of executors.
+
+    What was written is removed at the end of the application.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _remove_later(df.sparkSession, file.get())
+    return out
