@@ -316,36 +316,45 @@ def piece_counts(df: DataFrame, dims: list[str], texts: str, path: str = VOCABUL
         def split() -> None:
             nonlocal chars, entries
             for text, slices in waiting.items():
-                pieces = Counter(m.group() for m in encoder.split.finditer(text)) if len(text) > 2_000_000 else Counter(encoder.split.findall(text))
-                single, rest = 0, []
-                for p, n in pieces.items():
-                    known = whole.get(p)
-                    if known is None:
-                        known = encoder.whole(p)
-                        if len(p) < 64:
-                            whole[p] = known
-                    if known:
-                        single += n
-                    else:
-                        rest.append((p, n))
+                pieces = (m.group() for m in encoder.split.finditer(text)) if len(text) > 2_000_000 else encoder.split.findall(text)
+                if len(slices) > 1 or max(slices.values()) > 1:
+                    pieces = Counter(pieces)
                 for key, times in slices.items():
                     own = found.setdefault(key, Counter())
                     entries -= len(own)
-                    own[None] += single * times
-                    for p, n in rest:
-                        own[p] += n * times
+                    if isinstance(pieces, Counter):
+                        for p, n in pieces.items():
+                            own[p] += n * times
+                    else:
+                        own.update(pieces)
                     entries += len(own)
             waiting.clear()
             chars = 0
-            if len(whole) > encoder.KEPT:
-                whole.clear()
 
         def flush() -> pa.RecordBatch:
             nonlocal entries
-            rows = [(*key, p, n) for key, own in found.items() for p, n in own.items()]
+            columns: list[list] = [[] for _ in range(len(dims) + 2)]
+            for key, own in found.items():
+                single, start = 0, len(columns[-1])
+                for p, n in own.items():
+                    known = whole.get(p)
+                    if known is None:
+                        known = encoder.whole(p)
+                        if len(p) < 64:
+                            whole[p] = known
+                    if known:
+                        single += n
+                    else:
+                        columns[-2].append(p)
+                        columns[-1].append(n)
+                columns[-2].append(None)
+                columns[-1].append(single)
+                for column, value in zip(columns, key, strict=False):
+                    column += [value] * (len(columns[-1]) - start)
             found.clear()
             entries = 0
-            columns = list(zip(*rows, strict=True)) if rows else [()] * (len(dims) + 2)
+            if len(whole) > encoder.KEPT:
+                whole.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*types, pa.string(), pa.int64()], strict=True)], names=[*dims, "piece", "n"])
 
         for batch in batches:
@@ -360,7 +369,7 @@ def piece_counts(df: DataFrame, dims: list[str], texts: str, path: str = VOCABUL
                         waiting[text][key] += 1
                 if chars > 1_000_000:
                     split()
-                    if entries > 300_000:
+                    if entries > 500_000:
                         yield flush()
         split()
         yield flush()
