@@ -14,6 +14,12 @@ def test_pipeline(spark, root, tmp_path):
     samples = spark.read.json(f"{out}/built/samples")
     assert samples.count() == sum(sum(x.values()) for x in summary["samples"].values()) > 0
     assert {"train", "validation", "test_iid", "test_ood"} == set(summary["samples"])
+    assert summary["missing_uuids"] + summary["processed_uuids"] == summary["manifest_uuids"] and summary["missing_uuids"] > 0
+    with pytest.raises(SystemExit):
+        main(["build", "--trajectories", f"{root}/trajectories.parquet", "--manifest", f"{out}/split/all", "--out", f"{out}/built", "--strict"])
+    for bad in (["--variants", "0"], ["--max-rows", "-1"], ["--counts", "0"]):
+        with pytest.raises((SystemExit, ValueError)):
+            main(["tool-lists", "--rows", f"{root}/none", "--out", out, *bad])
     main(["sharegpt", "--rows", f"{out}/built/samples", "--name", "set", "--out", f"{out}/chat"])
     assert spark.read.json(f"{out}/chat/set").count() == samples.where("target is not null").count()
 

@@ -51,6 +51,8 @@ def _build(spark, a) -> None:
     lost = splits.unprocessed(wanted, fact.where("reject_reason is null").select("uuid")).count()
     counts = {"manifest_uuids": wanted.count(), "processed_uuids": sum(r[1] for r in reasons if r[0] is None), "missing_uuids": lost}
     sinks.summary(spark, f"{a.out}/summary", {"samples": sinks.table_summary(samples.matrix(written), ["partition", "sample_type"], "n"), "rejected": {r[0]: r[1] for r in reasons if r[0]}, **counts})
+    if a.strict and lost:
+        raise SystemExit(f"{lost} keys of the manifest were not processed; see {a.out}/summary")
 
 
 def _tool_lists(spark, a) -> None:
@@ -78,6 +80,14 @@ def _evaluate(spark, a) -> None:
         print(json.dumps(evaluate.overall_metrics(scored).first().asDict()))
 
 
+def positive(text: str) -> int:
+    """A whole number of at least 1, as an option."""
+    n = int(text)
+    if n < 1:
+        raise argparse.ArgumentTypeError(f"{text} is not positive")
+    return n
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="weft", description=__doc__)
     top.add_argument("--master", help="Spark master; unset on a cluster")
@@ -95,16 +105,17 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--ratios", type=float, nargs=3, default=[0.8, 0.1, 0.1])
     c.add_argument("--seed", type=int, default=42)
     c = command("build", _build, "labelled samples of trajectories and a manifest", "trajectories", "manifest")
-    c.add_argument("--threshold", type=int, default=3)
+    c.add_argument("--threshold", type=positive, default=3)
+    c.add_argument("--strict", action="store_true", help="fail, after all is written, if a key of the manifest gave no sample")
     c = command("tool-lists", _tool_lists, "rows with chosen numbers of tools", "rows")
     c.add_argument("--counts", default="1,2,3,4,5,6,7,8")
-    c.add_argument("--variants", type=int, default=1)
+    c.add_argument("--variants", type=positive, default=1)
     c.add_argument("--threshold", type=int, default=3)
     c.add_argument("--policy", choices=["all", "triggered-only", "absent"], default="all")
     c.add_argument("--arguments", choices=["null", "string"], default="null")
     c.add_argument("--seed", type=int, default=42)
     c.add_argument("--start-id", type=int)
-    c.add_argument("--max-rows", type=int)
+    c.add_argument("--max-rows", type=positive)
     c = command("sharegpt", _sharegpt, "conversations for training", "rows", "name")
     c.add_argument("--kind", choices=["calls", "arrays"], default="calls")
     c.add_argument("--system", default=SYSTEM)
