@@ -14,9 +14,11 @@ def test_pipeline(spark, root, tmp_path):
     samples = spark.read.json(f"{out}/built/samples")
     assert samples.count() == sum(sum(x.values()) for x in summary["samples"].values()) > 0
     assert {"train", "validation", "test_iid", "test_ood"} == set(summary["samples"])
-    assert summary["missing_uuids"] + summary["processed_uuids"] == summary["manifest_uuids"] and summary["missing_uuids"] > 0
+    assert summary["missing_uuids"] + summary["processed_uuids"] == summary["manifest_uuids"] > 0
+    (tmp_path / "more.csv").write_text("uuid,split,data_partition\nno such uuid,tool_calling,train\n")
     with pytest.raises(SystemExit):
-        main(["build", "--trajectories", f"{root}/trajectories.parquet", "--manifest", f"{out}/split/all", "--out", f"{out}/built", "--strict"])
+        main(["build", "--trajectories", f"{root}/trajectories.parquet", "--manifest", f"{out}/more.csv", "--out", f"{out}/strict", "--strict"])
+    assert json.loads("\n".join(r.value for r in spark.read.text(f"{out}/strict/summary").collect()))["missing_uuids"] == 1
     for bad in (["--variants", "0"], ["--max-rows", "-1"], ["--counts", "0"]):
         with pytest.raises((SystemExit, ValueError)):
             main(["tool-lists", "--rows", f"{root}/none", "--out", out, *bad])

@@ -57,7 +57,7 @@ def _build(spark, a) -> None:
 
 def _tool_lists(spark, a) -> None:
     valid, _ = readers.lenient(spark, a.rows, TOOL_ROWS, ["id", "query", "answers", "tools"], "id", a.max_rows)
-    made = toolsets.expand(readers.non_empty(valid, a.rows), parse_counts(a.counts), a.variants, a.threshold, a.policy, a.seed, a.arguments)
+    made = toolsets.expand(readers.non_empty(valid, a.rows), a.counts, a.variants, a.threshold, a.policy, a.seed, a.arguments)
     written = toolsets.sequential_ids(made, a.start_id) if a.start_id is not None else made.where("outcome = 'written'")
     sinks.jsonl_required(written.drop("outcome", "chosen"), f"{a.out}/rows")
     sinks.summary(spark, f"{a.out}/summary", sinks.table_summary(toolsets.generation_stats(made), ["outcome"], "n"))
@@ -108,7 +108,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--threshold", type=positive, default=3)
     c.add_argument("--strict", action="store_true", help="fail, after all is written, if a key of the manifest gave no sample")
     c = command("tool-lists", _tool_lists, "rows with chosen numbers of tools", "rows")
-    c.add_argument("--counts", default="1,2,3,4,5,6,7,8")
+    c.add_argument("--counts", type=parse_counts, default="1,2,3,4,5,6,7,8")
     c.add_argument("--variants", type=positive, default=1)
     c.add_argument("--threshold", type=int, default=3)
     c.add_argument("--policy", choices=["all", "triggered-only", "absent"], default="all")
