@@ -70,17 +70,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
-_LEFT: list[tuple[Any, Any]] = []  # file system and place of what is to be removed at the end
+_LEFT: dict[str, tuple[Any, Any]] = {}  # by path the file system and place of what is to be removed at the end
 
 
-def _remove_later(spark: SparkSession, path: str) -> None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    _LEFT.append((place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place))
+def _folder(spark: SparkSession) -> str:
+    """This application's own folder below the checkpoint folder, to be removed at its end."""
+    ensure_checkpoint_dir(spark)
+    path = spark.sparkContext.getCheckpointDir()
+    if path not in _LEFT:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        _LEFT[path] = (place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place)
+    return path
 
 
 @atexit.register
 def _remove() -> None:
-    for files, place in _LEFT:
+    for files, place in _LEFT.values():
         try:
             files.delete(place, True)
         except Exception:  # noqa: BLE001 (the JVM may be gone; the folder is then the cluster's to clean)
@@ -89,12 +94,9 @@ def _remove() -> None:
 
 def written(df: DataFrame) -> DataFrame:
     """As ``cut``, but as a Parquet table in that folder: compressed, and later readers take only the columns they need."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _remove_later(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -102,9 +104,5 @@ def cut(df: DataFrame) -> DataFrame:
 
     What was written is removed at the end of the application.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
-    if file.isDefined():
-        _remove_later(df.sparkSession, file.get())
-    return out
+    _folder(df.sparkSession)
+    return df.checkpoint(eager=True)
