@@ -63,8 +63,8 @@ def once_per_key(records: DataFrame, key: str, dims: list[str], texts: str, few:
     return keys.select(*(F.col(f"v.{c}").alias(c) for c in dims)), single.select(*dims, texts).unionByName(twice.select(*dims, texts))
 
 
-def token_slices(records: DataFrame, key: str, dims: list[str], texts: str, sets: list[list[str]], path: str = bpe.VOCABULARY) -> DataFrame:
-    """Rows and tokens per slice of ``records(key, dims, texts)``."""
+def token_base(records: DataFrame, key: str, dims: list[str], texts: str, path: str = bpe.VOCABULARY) -> DataFrame:
+    """(dims, n_rows, n_tokens) of ``records(key, dims, texts)``, one row per slice."""
     keys, counted = once_per_key(records, key, dims, texts)
     counts = written(bpe.piece_counts(counted, dims, texts, path))
     sizes = written(bpe.piece_sizes(counts.where("piece is not null").select("piece").distinct(), path))
@@ -74,8 +74,12 @@ def token_slices(records: DataFrame, key: str, dims: list[str], texts: str, sets
     same = F.lit(True)
     for c in dims:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    base = rows.join(tokens, same, "left").select(*dims, "n_rows", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
-    return levels(base, dims, sets)
+    return rows.join(tokens, same, "left").select(*dims, "n_rows", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+
+
+def token_slices(records: DataFrame, key: str, dims: list[str], texts: str, sets: list[list[str]], path: str = bpe.VOCABULARY) -> DataFrame:
+    """Rows and tokens per slice of ``records(key, dims, texts)``, one level for each of ``sets``."""
+    return levels(token_base(records, key, dims, texts, path), dims, sets)
 
 
 def document_tokens(documents: DataFrame) -> DataFrame:
@@ -90,14 +94,22 @@ def sample_tokens(samples: DataFrame) -> DataFrame:
 
 
 def p6_token_budget(spark, root: str) -> DataFrame:
-    samples = table(spark, root, "sft_samples").select("sample_id", folded("source_subset").alias("source"), folded("sample_type").alias("sample_type"), F.transform("messages", lambda m: m["content"]).alias("texts"))
-    samples = token_slices(samples, "sample_id", ["source", "sample_type"], "texts", [["source", "sample_type"], ["source"], ["sample_type"], []])
-    docs = table(spark, root, "documents").select("doc_id", folded("source").alias("source"), language("lang").alias("lang"), folded("topic").alias("topic"), "text")
-    docs = token_slices(docs, "doc_id", ["source", "lang", "topic"], "text", [["source", "lang", "topic"], ["source", "lang"], ["source"], ["lang"], ["topic"], []])
-    columns = ["origin", "level", "source", "lang", "topic", "sample_type", "n_rows", "n_tokens"]
+    """Both tables in one pass, so that a piece that stands in both is merged once."""
     none = F.lit(None).cast("string")
-    samples = samples.withColumns({"origin": F.lit("sft_samples"), "lang": none, "topic": none}).select(columns)
-    return samples.unionByName(docs.withColumns({"origin": F.lit("documents"), "sample_type": none}).select(columns))
+    samples = table(spark, root, "sft_samples").select(
+        F.lit("sft_samples").alias("origin"), F.concat(F.lit("sample "), F.col("sample_id")).alias("key"), folded("source_subset").alias("source"), none.alias("lang"), none.alias("topic"), folded("sample_type").alias("sample_type"),
+        F.transform("messages", lambda m: m["content"]).alias("texts"),
+    )
+    docs = table(spark, root, "documents").select(
+        F.lit("documents").alias("origin"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("key"), folded("source").alias("source"), language("lang").alias("lang"), folded("topic").alias("topic"), none.alias("sample_type"),
+        F.array("text").alias("texts"),
+    )
+    base = cut(token_base(samples.unionByName(docs), "key", ["origin", "source", "lang", "topic", "sample_type"], "texts"))
+    of = lambda origin, dims, sets: levels(base.where(F.col("origin") == origin).select(*dims, "n_rows", "n_tokens"), dims, sets).withColumn("origin", F.lit(origin))
+    columns = ["origin", "level", "source", "lang", "topic", "sample_type", "n_rows", "n_tokens"]
+    by_sample = of("sft_samples", ["source", "sample_type"], [["source", "sample_type"], ["source"], ["sample_type"], []]).withColumns({"lang": none, "topic": none})
+    by_doc = of("documents", ["source", "lang", "topic"], [["source", "lang", "topic"], ["source", "lang"], ["source"], ["lang"], ["topic"], []]).withColumn("sample_type", none)
+    return by_sample.select(columns).unionByName(by_doc.select(columns))
 
 
 def p7_ids(spark, root: str) -> DataFrame:
