@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.compare import connection, duck_rows, spark_rows
@@ -86,6 +87,28 @@ def test_bundles_straddle_the_old_bounds(spark):
     assert splits._bundles(many).select("bundle").distinct().count() == 3000
 
 
+def test_bundles_are_exact_whatever_their_number(spark):
+    """21,000 distinct profiles: a bundle has one size and profile, the same as in a small table, and the quotas hold to a few rows of three million."""
+    many = spark.range(21_000).selectExpr("string(id) component", "string(id) source_uuid", "id % 145 + id div 145 + 2 size", "array(named_struct('label', 'a', 'n', id % 145 + 1), named_struct('label', 'b', 'n', id div 145 + 1)) profile", "cast(array() as array<string>) parts", "0 delivered")
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, target_share double")
+    out = splits.allocate(many, targets).collect()
+    assert len(out) == 21_000 == len({r.bundle for r in out}) == len({r.component for r in out})
+    alone = {r.component: r.bundle for r in splits.allocate(many.limit(50), targets).collect()}
+    assert len(alone) == 50 and alone.items() <= {r.component: r.bundle for r in out}.items()
+    total = sum(r.size for r in out)
+    assert all(abs(sum(r.size for r in out if r.split == s) - x * total) < 5 for s, x in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
+
+
+def test_solver_over_batches_is_the_plan():
+    rng = random.Random(3)
+    bundles = [(f"b{i:02}", a + b, {k: v for k, v in (("B", b), ("A", a)) if v}, rng.randrange(1, 30)) for i, (a, b) in enumerate(sorted({(rng.randrange(9), rng.randrange(1, 9)) for _ in range(30)}))]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*((name, size, n, list(profile), list(profile.values())) for name, size, profile, n in bundles[i : i + 4]), strict=True)], names=["bundle", "size", "n", "labels", "rows"]) for i in range(0, len(bundles), 4)]
+    got = {r["b"]: r["high"] for out in splits._solver([0.1, 0.8, 0.1], batch=3)(iter(batches)) for r in out.to_pylist()}
+    solved = splits.plan(bundles, {"test": 0.1, "train": 0.8, "validation": 0.1})
+    assert got == {name: [sum(k for s, k in parted if s <= t) for t in ("test", "train", "validation")] for name, parted in solved.items()}
+    assert list(splits._solver([1.0])(iter([]))) == []
+
+
 TARGETS = "target_set string, category string, target_share double, min_rows int, sample_share double"
 
 

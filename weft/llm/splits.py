@@ -1,18 +1,17 @@
 """Train, validation and test splits that keep related records together.
 
 ``components`` makes one row per source, with its number of records and its profile: how many of them each label has.
-``allocate`` bundles components of identical size and profile, has ``plan`` solve the flow of bundles to splits on the
-driver, and gives each component its split by its rank among the hashes of its bundle.
+``allocate`` bundles components of identical size and profile, has ``solve`` find the flow of bundles to splits in one
+task, and gives each component its split by its rank among the hashes of its bundle.
 
-``plan`` solves a min-cost flow of whole components from bundles to splits. What a split or a label within a split has
+``solve`` finds a min-cost flow of whole components from bundles to splits. What a split or a label within a split has
 too much or too little costs its square, in units of its quota, so that deviations are spread and not pushed into
 corners. A first flow meets the split quotas under the sizes that fit; then residual cycles (split to bundle to
 other split) of negative cost are cancelled, each with as many components as pay, until there is none. All flows are
 whole numbers of components, so nothing is left to round.
 
-Only bundles reach the driver, ``MOST`` of them at most: sizes and counts are told apart exactly, and by their leading
-bits only where there would be more bundles than that. Every component is in some bundle at every resolution; what
-coarser bundles cost is in the report.
+Bundles are exact however many there are, so that a component's bundle depends on that component alone. None reach the
+driver; the task that solves the flow holds numbers for each distinct bundle and for each label in it.
 
 Defined results: a null source is a component per record; a repeated key counts once, with its least label and all its
 partitions; null labels are a label; an empty table has no rows; a component larger than every quota goes where it costs
@@ -23,9 +22,12 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.common import folded, plain_uuid, table
@@ -33,8 +35,6 @@ from weft.operators.ranking import hash_rank, unit_hash
 from weft.session import cut
 
 DELIVERED = ("train", "validation", "test_iid", "test_ood")
-#: The most bundles that may reach the driver, and the leading bits by which counts are told apart (0: all of them).
-MOST, BITS = 20_000, (0, 4, 2)
 #: What a split's deviation weighs beside that of one label within it.
 SPLIT_WEIGHT = 8.0
 
@@ -102,57 +102,70 @@ def min_cost_flow(arcs: list[tuple[str, str, float, float]], source: str, sink:
 def plan(bundles: list[tuple[str, float, dict[str, float], int]], shares: dict[str, float], rounds: int = 1_000_000) -> dict[str, list[tuple[str, int]]]:
     """Whole components per bundle and split. bundles: (bundle, size, rows per label, components).
 
-    The result depends on the bundles alone, not on their order. ``rounds`` only guards against endless work: each round
-    cancels the cheapest residual cycle, which lowers the cost.
+    The result depends on the bundles alone, not on their order.
     """
     bundles = sorted(bundles)
     splits = sorted(shares)
     if not bundles or not splits:
         return {b[0]: [] for b in bundles}
-    labels = sorted({label for _, _, profile, _ in bundles for label in profile})
-    n = np.array([b[3] for b in bundles], dtype=np.int64)
-    size = np.array([b[1] for b in bundles], dtype=float)
-    part = np.zeros((len(bundles), len(labels)))
-    place = {label: i for i, label in enumerate(labels)}
-    for i, (_, _, profile, _) in enumerate(bundles):
-        for label, rows in profile.items():
-            part[i, place[label]] = rows
-    share = np.array([shares[s] for s in splits], dtype=float)
-    share /= share.sum()
+    place = {label: i for i, label in enumerate(sorted({label for _, _, profile, _ in bundles for label in profile}))}
+    labels = np.array([place[label] for _, _, profile, _ in bundles for label in profile], dtype=np.int64)
+    rows = np.array([n for _, _, profile, _ in bundles for n in profile.values()], dtype=float)
+    x = solve(np.array([b[1] for b in bundles], dtype=float), np.array([b[3] for b in bundles], dtype=np.int64), np.array([len(b[2]) for b in bundles], dtype=np.int64), labels, rows, np.array([shares[s] for s in splits], dtype=float), rounds)
+    return {b[0]: [(s, int(k)) for s, k in zip(splits, row, strict=True) if k] for b, row in zip(bundles, x, strict=True)}
+
+
+def solve(size: np.ndarray, n: np.ndarray, lengths: np.ndarray, labels: np.ndarray, rows: np.ndarray, share: np.ndarray, rounds: int = 1_000_000) -> np.ndarray:
+    """Whole components per bundle (row) and split (column), for bundles in a fixed order.
+
+    size, n and lengths have an item per bundle: its size, components and number of labels; labels (numbered from 0) and
+    rows have one per bundle and label. ``rounds`` only guards against endless work: each round cancels the cheapest
+    residual cycle, which lowers the cost.
+    """
+    share = share / share.sum()
+    splits = range(len(share))
     quota = (size * n).sum() * share
     # the first flow: rows by the splits that their components fit into, free up to the quotas
     widest = int(np.argmax(quota))
     fits = size[:, None] <= quota[None, :]
     fits[~fits.any(axis=1), widest] = True
-    kinds: dict[tuple[bool, ...], float] = defaultdict(float)
-    for f, rows in zip(map(tuple, fits.tolist()), size * n, strict=True):
-        kinds[f] += float(rows)
+    kinds, seen, kind = np.unique(fits, axis=0, return_index=True, return_inverse=True)
+    kind = kind.reshape(-1)
+    held_by = np.bincount(kind, weights=size * n)
     arcs: list[tuple[str, str, float, float]] = []
-    for f, rows in kinds.items():
-        arcs.append(("source", f"fits/{f}", rows, 0.0))
-        arcs += [(f"fits/{f}", s, rows, 0.0) for s, ok in zip(splits, f, strict=True) if ok]
-    for s, q in zip(splits, quota, strict=True):
-        arcs += [(s, "sink", float(q), 0.0), (s, "sink", float((size * n).sum()), 1.0)]
+    for j in np.argsort(seen):
+        arcs.append(("source", f"fits/{j}", float(held_by[j]), 0.0))
+        arcs += [(f"fits/{j}", f"split/{s}", float(held_by[j]), 0.0) for s in splits if kinds[j, s]]
+    for s in splits:
+        arcs += [(f"split/{s}", "sink", float(quota[s]), 0.0), (f"split/{s}", "sink", float((size * n).sum()), 1.0)]
     flow = min_cost_flow(arcs, "source", "sink")
-    x = np.zeros((len(bundles), len(splits)), dtype=np.int64)
-    for f, rows in kinds.items():
-        own = (fits == np.array(f)).all(axis=1)
-        x[own] = np.floor(n[own, None] * np.array([flow[f"fits/{f}", s] for s in splits]) / rows + 1e-9).astype(np.int64)
+    part = np.array([[flow[f"fits/{j}", f"split/{s}"] for s in splits] for j in range(len(kinds))])
+    x = np.floor(n[:, None] * part[kind] / held_by[kind, None] + 1e-9).astype(np.int64)
+    # what each bundle holds of every label, and last its size, as entries of a sparse matrix: a column per label and one for sizes
+    sizes = int(labels.max(initial=-1)) + 1
+    ends = np.cumsum(lengths)
+    column, value = np.insert(labels, ends, sizes), np.insert(rows, ends, size)
+    stop = ends + np.arange(1, len(ends) + 1)
+    start = stop - lengths - 1
+    spread = lambda per_bundle: np.repeat(per_bundle, lengths + 1)
+    times = lambda per_column: np.add.reduceat(value * per_column[column], start)
     # deviations from the quotas of labels within splits, and of splits: the last column
-    held = np.hstack([part, size[:, None]])
-    want = (held * n[:, None]).sum(axis=0)[:, None] * share[None, :]
+    want = np.bincount(column, weights=value * spread(n))[:, None] * share[None, :]
     weight = np.where(want > 0, 1.0 / np.maximum(want, 1e-12), 0.0)
     weight[-1] *= SPLIT_WEIGHT
-    off = held.T @ x - want
-    square = (held**2) @ weight
+    off = np.stack([np.bincount(column, weights=value * spread(x[:, s])) for s in splits], axis=1) - want
+    square = np.stack([np.add.reduceat(value**2 * weight[column, s], start) for s in splits], axis=1)
     for i in np.lexsort((np.arange(len(n)), -size)):  # what the floors left over goes where it costs least, large components first
-        for _ in range(int(n[i] - x[i].sum())):
-            cost = 2 * held[i] @ (off * weight) + square[i]
-            s = int(np.argmin(np.where(fits[i], cost, np.inf)))
-            x[i, s] += 1
-            off[:, s] += held[i]
-    pairs = [(a, b) for a in range(len(splits)) for b in range(len(splits)) if a != b]
-    slope = held @ (off * weight)
+        left = int(n[i] - x[i].sum())
+        if left:
+            c, v = column[start[i] : stop[i]], value[start[i] : stop[i]]
+            for _ in range(left):
+                cost = 2 * v @ (off[c] * weight[c]) + square[i]
+                s = int(np.argmin(np.where(fits[i], cost, np.inf)))
+                x[i, s] += 1
+                off[c, s] += v
+    pairs = [(a, b) for a in splits for b in splits if a != b]
+    slope = np.stack([times(off[:, s] * weight[:, s]) for s in splits], axis=1)
     for _ in range(rounds if pairs else 0):
         best = (-1e-9, None)
         for a, b in pairs:
@@ -166,54 +179,57 @@ def plan(bundles: list[tuple[str, float, dict[str, float], int]], shares: dict[s
         if best[1] is None:
             break
         i, a, b, k = best[1]
+        c, v = column[start[i] : stop[i]], value[start[i] : stop[i]]
         x[i, a] -= k
         x[i, b] += k
-        off[:, a] -= k * held[i]
-        off[:, b] += k * held[i]
-        slope[:, a] -= k * (held @ (held[i] * weight[:, a]))
-        slope[:, b] += k * (held @ (held[i] * weight[:, b]))
-    return {b[0]: [(s, int(k)) for s, k in zip(splits, row, strict=True) if k] for b, row in zip(bundles, x, strict=True)}
+        for s, moved in ((a, -k), (b, k)):
+            step = np.zeros(sizes + 1)
+            step[c] = v * weight[c, s]
+            slope[:, s] += moved * times(step)
+    return x
 
 
-def _leading(c: Column, bits: int) -> Column:
-    """A count by its leading bits; by all of them if ``bits`` is 0."""
-    c = c.cast("long")
-    shift = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(c, F.lit(1)))).cast("int") + 1 - bits)
-    return F.when(F.lit(bits) == 0, c).otherwise(F.call_function("shiftleft", F.call_function("shiftright", c, shift), shift))
+def _bundles(parts: DataFrame) -> DataFrame:
+    """``parts`` with the column ``bundle``, a key of a component's size and profile and of nothing else."""
+    profile = F.transform("profile", lambda p: F.struct(p["label"].alias("l"), p["n"].cast("long").alias("n")))
+    return parts.withColumn("bundle", F.md5(F.to_json(F.struct(F.col("size").cast("long").alias("s"), profile.alias("p")))))
 
 
-def _bundles(parts: DataFrame) -> DataFrame:
-    """``parts`` with the column ``bundle``, at the finest resolution that has at most ``MOST`` bundles."""
-    key = lambda bits: F.md5(F.to_json(F.struct(_leading(F.col("size"), bits).alias("s"), F.transform("profile", lambda p: F.struct(p["label"].alias("l"), _leading(p["n"], bits).alias("n"))).alias("p"))))
-    # the last resort has at most 64 sizes and 256 labels
-    main = F.element_at(F.array_sort("profile", lambda a, b: F.when(a["n"] != b["n"], F.signum((b["n"] - a["n"]).cast("double")).cast("int")).when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0)), 1)["label"]
-    coarse = F.concat_ws("/", F.floor(F.log2("size")).cast("string"), F.pmod(F.xxhash64(main), F.lit(256)).cast("string"))
-    keys = [*(key(b) for b in BITS), coarse]
-    seen = parts.agg(*(F.approx_count_distinct(k, 0.02).alias(f"k{i}") for i, k in enumerate(keys))).first()
-    fine = next((k for i, k in enumerate(keys[:-1]) if seen[i] <= MOST * 0.9), coarse)
-    return parts.withColumn("bundle", fine)
+def _solver(share: list[float], batch: int = 50_000):
+    """The function over all bundles, in their order, that gives each the number of components up to the end of each split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        given = pa.Table.from_batches(held)
+        flat = pc.list_flatten(given["labels"])
+        named = pc.unique(flat)
+        labels = pc.index_in(flat, value_set=named.take(pc.sort_indices(named)))
+        number = lambda c, kind: c.to_numpy().astype(kind)
+        x = solve(number(given["size"], float), number(given["n"], np.int64), number(pc.list_value_length(given["labels"]), np.int64), number(labels, np.int64), number(pc.list_flatten(given["rows"]), float), np.array(share))
+        ends = np.cumsum(x, axis=1)
+        for i in range(0, len(ends), batch):
+            some = ends[i : i + batch]
+            high = pa.ListArray.from_arrays(np.arange(0, some.size + 1, len(share), dtype=np.int32), pa.array(some.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([given["bundle"].slice(i, batch).combine_chunks(), high], names=["b", "high"])
+
+    return run
 
 
 def allocate(parts: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
     """``parts`` with the columns ``bundle`` and ``split``; ``targets(split_name, target_share)``."""
     shares = {r[0]: float(r[1]) for r in targets.where("split_name is not null and target_share > 0").groupBy("split_name").agg(F.max("target_share")).collect()}
     tagged = _bundles(parts)
-    # one row per bundle and label; what a bundle's components have on average, which is what each has where the resolution is exact
-    rows = tagged.select("bundle", "size", F.explode("profile").alias("p")).groupBy("bundle", "p.label").agg(F.sum("p.n").alias("rows")).collect()
-    counts = {r[0]: (r[1], r[2]) for r in tagged.groupBy("bundle").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()}
-    profiles: dict[str, dict[str, float]] = defaultdict(dict)
-    for r in rows:
-        profiles[r.bundle][r.label] = r.rows / counts[r.bundle][0]
-    solved = plan([(b, s / n, profiles[b], n) for b, (n, s) in counts.items()], shares)
-    ranges = []
-    for name, parted in solved.items():
-        start = 0
-        for split, n in parted:
-            ranges.append((name, split, start, start + n))
-            start += n
-    cuts = parts.sparkSession.createDataFrame(ranges, "b string, split string, low long, high long")  # at most MOST bundles times the splits
+    if not shares:
+        return tagged.withColumn("split", F.lit(None).cast("string"))
+    counted = tagged.groupBy("bundle", "size", "profile").agg(F.count("*").alias("n"))
+    given = counted.select("bundle", F.col("size").cast("long").alias("size"), "n", F.col("profile")["label"].alias("labels"), F.col("profile")["n"].cast("array<long>").alias("rows"))
+    # one row per distinct bundle, all in one task; solved once and written, as later stages read it
+    solved = cut(given.repartition(1).sortWithinPartitions("bundle").mapInArrow(_solver([shares[s] for s in sorted(shares)]), "b string, high array<long>"))
     ranked = hash_rank(tagged.withColumn("_u", unit_hash("component", seed=seed)), ["bundle"], "_u", "component")
-    return ranked.join(F.broadcast(cuts), (F.col("bundle") == F.col("b")) & (F.col("rank") > F.col("low")) & (F.col("rank") <= F.col("high")), "left").drop("b", "low", "high", "_u", "rank")
+    placed = F.size(F.filter("high", lambda h: h < F.col("rank")))
+    return ranked.join(solved, F.col("bundle") == F.col("b"), "left").withColumn("split", F.get(F.array(*(F.lit(s) for s in sorted(shares))), placed)).drop("b", "high", "_u", "rank")
 
 
 def torn(allocated: DataFrame) -> DataFrame:
